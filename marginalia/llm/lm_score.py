@@ -1 +1,369 @@
-def lm_scores(docs): raise NotImplementedError
+"""Language-model scoring: word counts, and logistic context mixing over bytes.
+
+Base score. Words (ASCII white space, lower-cased A-Z) and one end per text are counted over
+all training documents, exactly. Documents are dealt to buckets by a hash; a bucket
+asks once for each of its distinct tokens, the counts are summed over a token's buckets
+by a shuffle on the token, and go back to the bucket. No vocabulary is held as a whole.
+
+Model. The text's words, joined by single spaces and ended by a line feed, are predicted bit
+by bit. For each of the last 1 to 5 bytes as context, hashed together with the bits of the
+current byte so far, a slot counts zeros and ones. The slots' log odds are combined by
+weights that are chosen (gated) by the bit's place and by the highest context seen before, and the
+result is refined by an adaptive table of what such predictions came to. Each task
+learns online: it predicts a piece with what it has counted so far, moves the weights along the
+error, refines the table, then counts the piece. Counts and tables of all tasks are added, weights are averaged by
+bytes; all are whole numbers, so the order of tasks changes nothing. The model has a fixed size (``SLOT_BITS``)
+and learns from every training document. Scoring leaves it as it is, so a score depends on the text
+and the model alone; equal contexts of a piece are computed once.
+
+Learned from: documents for which crc32(id as text) mod 5 is not 1.
+
+Defined results: null counts as the empty text, which has one token, the end; a null id
+counts as a training document; repeated rows count and are scored each; without training documents all
+counts are 0 and the model gives each bit a half; an empty table gives an empty result; other columns
+are never read.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import as_bytes, checkpointed, fold_of
+
+ORDERS = (1, 2, 3, 4, 5)
+#: Slots of each order, as powers of two.
+SLOT_BITS = (16, 18, 19, 20, 20)
+LONGEST = max(ORDERS)
+GATES = 1 + len(ORDERS)
+STEPS = 33
+REACH = 12.0
+RATE = 0.05
+PIECE = 3 << 20
+CHUNK = 1 << 15
+BLOCK = 1 << 14
+BUCKET_BYTES = 12 << 20
+LEAST_BUCKETS = 8
+FIXED = 1 << 20
+_MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
+PAD = b"\n" * LONGEST
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    """The words and the end (the empty word)."""
+    return [*text.lower().split(), b""]
+
+
+# ---- the model over bytes ----
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the texts, it and the LONGEST bytes before it in one number; and the text's number."""
+    data = np.frombuffer(PAD + PAD.join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    key = np.zeros(len(data) - LONGEST, np.uint64)
+    for k in range(LONGEST + 1):
+        key |= data[LONGEST - k : len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+    owner = np.repeat(np.arange(len(size)), size + LONGEST)[: len(key)]
+    start = np.cumsum(size + LONGEST) - (size + LONGEST)
+    own = np.arange(len(key)) - start[owner] < size[owner]
+    return key[own], owner[own]
+
+
+def pieces(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """Collects texts to pieces of about PIECE bytes; a longer text is cut, with its last bytes as lead.
+
+    Gives the numbers of the texts, their bytes, and the length of each lead.
+    """
+    ids, held, leads, n = [], [], [], 0
+    for number, text in texts:
+        for low in range(0, len(text), PIECE):
+            lead = min(low, LONGEST)
+            ids.append(number)
+            held.append(text[low - lead : low + PIECE])
+            leads.append(lead)
+            n += len(held[-1])
+            if n >= PIECE or len(ids) > 60_000:
+                yield ids, held, leads
+                ids, held, leads, n = [], [], [], 0
+    if ids:
+        yield ids, held, leads
+
+
+def model_text(text: bytes) -> bytes:
+    return b" ".join(text.lower().split()) + b"\n"
+
+
+def context_hashes(key: np.ndarray) -> list[np.ndarray]:
+    return [((key >> np.uint64(8)) & np.uint64((1 << 8 * o) - 1)) * _MIX[0] + np.uint64(o * 0xC2B2AE3D27D4EB4F % (1 << 64)) for o in ORDERS]
+
+
+def slots(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    x = hashes ^ (node * _MIX[1])
+    x ^= x >> np.uint64(29)
+    x *= _MIX[2]
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+
+
+def combined(weights: np.ndarray, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
+    """Weighted sum of log odds; the gate picks the weights."""
+    own = weights.astype(np.float32).T.copy()
+    z = own[0][gate] * inputs[0]
+    for w, x in zip(own[1:], inputs[1:], strict=True):
+        z += w[gate] * x
+    return np.clip(z, -REACH, REACH, out=z)
+
+
+def step_of(z: np.ndarray) -> np.ndarray:
+    return np.rint((z + np.float32(REACH)) * np.float32((STEPS - 1) / (2 * REACH))).astype(np.int64)
+
+
+class Learner:
+    """Counts of one task, packed as ones << 32 | zeros; weights by bit, gate and order; the refining table."""
+
+    def __init__(self) -> None:
+        self.counts = [np.zeros(1 << b, np.int64) for b in SLOT_BITS]
+        self.weights = np.full((8, GATES, len(ORDERS)), 0.25)
+        self.refined = np.zeros((2, 8, GATES, STEPS), np.int64)
+        self.n_bytes = 0
+
+    def learn(self, key: np.ndarray) -> None:
+        self.n_bytes += len(key)
+        key = np.sort(key)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[first, len(key)])
+        key = key[first]
+        chunks = -(-len(key) // CHUNK)
+        for k in range(chunks):
+            self._chunk(key[k::chunks], count[k::chunks])
+
+    def _chunk(self, key: np.ndarray, count: np.ndarray) -> None:
+        hashes = context_hashes(key)
+        byte = key & np.uint64(255)
+        weight = count.astype(np.float32)
+        total = float(count.sum())
+        for bit in range(8):
+            node = (byte >> np.uint64(8 - bit)) | np.uint64(1 << bit)
+            one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
+            gate = np.zeros(len(key), np.int64)
+            inputs, places = [], []
+            for o, bits in enumerate(SLOT_BITS):
+                at = slots(hashes[o], node, bits)
+                seen = self.counts[o][at]
+                inputs.append(odds((seen & 0xFFFFFFFF).astype(np.float32), (seen >> 32).astype(np.float32)))
+                places.append(at)
+                gate[seen > 0] = o + 1
+            z = combined(self.weights[bit], gate, inputs)
+            error = (one - sigmoid(z)) * weight
+            whole = np.bincount(gate, weight, GATES) + 1e-9
+            for o, x in enumerate(inputs):
+                moved = error * x
+                power = float(np.dot(weight, x * x)) / total + 1
+                self.weights[bit, :, o] += RATE * np.bincount(gate, moved, GATES) / whole / power
+            cell = gate * STEPS + step_of(z)
+            for side, n in ((0, weight), (1, weight * one)):
+                self.refined[side, bit] += np.rint(np.bincount(cell, n, GATES * STEPS)).astype(np.int64).reshape(GATES, STEPS)
+            for o, at in enumerate(places):
+                np.add.at(self.counts[o], at, count << (32 * one))
+
+    def parts(self) -> Iterator[tuple[str, bytes]]:
+        """Whole numbers by name, to be added to those of other tasks."""
+        for o, counts in enumerate(self.counts):
+            for k in range(0, len(counts), BLOCK):
+                block = counts[k : k + BLOCK]
+                if block.any():
+                    yield f"count {o} {k}", block.view(np.int32).tobytes()
+        yield "weights", np.r_[np.rint(self.weights.reshape(-1) * FIXED).astype(np.int64) * self.n_bytes, self.n_bytes].tobytes()
+        yield "refined", self.refined.tobytes()
+
+
+class Model:
+    """The sum of all learners: log odds and whether a slot was seen, weights, refined probabilities."""
+
+    def __init__(self, parts: Iterator[tuple[str, bytes]]):
+        self.odds = [np.zeros(1 << b, np.float32) for b in SLOT_BITS]
+        self.seen = [np.zeros(1 << b, bool) for b in SLOT_BITS]
+        self.weights = np.full((8, GATES, len(ORDERS)), 0.25)
+        refined = np.zeros((2, 8, GATES, STEPS))
+        for name, data in parts:
+            if name == "weights":
+                sums = np.frombuffer(data, np.int64)
+                self.weights = (sums[:-1] / max(1, sums[-1]) / FIXED).reshape(self.weights.shape)
+            elif name == "refined":
+                refined = np.frombuffer(data, np.int64).reshape(refined.shape).astype(float)
+            else:
+                _, o, k = name.split()
+                block = np.frombuffer(data, np.float32)
+                part = slice(int(k), int(k) + len(block))
+                self.odds[int(o)][part] = np.nan_to_num(block)
+                self.seen[int(o)][part] = ~np.isnan(block)
+        centre = sigmoid(np.linspace(-REACH, REACH, STEPS))
+        self.refined = ((refined[1] + 20 * centre) / (refined[0] + 20)).astype(np.float32)
+
+    def log10(self, key: np.ndarray) -> np.ndarray:
+        """Of each number as made by ``grams``: log10 of the probability of its byte."""
+        out = np.empty(len(key))
+        for low in range(0, len(key), CHUNK):
+            out[low : low + CHUNK] = self._chunk(key[low : low + CHUNK])
+        return out
+
+    def _chunk(self, key: np.ndarray) -> np.ndarray:
+        hashes = context_hashes(key)
+        byte = key & np.uint64(255)
+        chance = np.ones(len(key))
+        for bit in range(8):
+            node = (byte >> np.uint64(8 - bit)) | np.uint64(1 << bit)
+            one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            gate = np.zeros(len(key), np.int64)
+            inputs = []
+            for o, bits in enumerate(SLOT_BITS):
+                at = slots(hashes[o], node, bits)
+                inputs.append(self.odds[o][at])
+                gate[self.seen[o][at]] = o + 1
+            z = combined(self.weights[bit], gate, inputs)
+            p = (sigmoid(z) + self.refined[bit, gate, step_of(z)]) / 2
+            chance *= np.where(one, p, 1 - p)
+        return np.log10(chance)
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each text."""
+        out = np.zeros(len(texts))
+        for ids, held, leads in pieces(enumerate(texts)):
+            key, owner = grams(held)
+            if any(leads):
+                # The lead of a cut text has been scored with the piece before.
+                size = np.array([len(t) for t in held])
+                place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                key, owner = key[place >= np.array(leads)[owner]], owner[place >= np.array(leads)[owner]]
+            both = np.sort(key << np.uint64(16) | owner.astype(np.uint64))
+            key, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            each = np.repeat(self.log10(key[first]), np.diff(np.r_[first, len(key)]))
+            np.add.at(out, ids, np.bincount(owner, each, len(held)))
+        return out
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    learner = Learner()
+    texts = (x for batch in batches for x in enumerate(map(model_text, as_bytes(batch.column(0)))))
+    for _, held, _ in pieces(texts):
+        learner.learn(grams(held)[0])
+    if learner.n_bytes:
+        for name, data in learner.parts():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "data"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the parts of one name after another; counts become log odds (NaN: never seen)."""
+    name, total = None, None
+
+    def out() -> pa.RecordBatch:
+        data = total
+        if name.startswith("count"):
+            zeros, ones = total[::2], total[1::2]
+            data = np.where(zeros + ones > 0, np.log((ones + 0.4) / (zeros + 0.4)), np.nan).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data.tobytes()], pa.binary())], ["name", "data"])
+
+    for batch in batches:
+        for own, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            part = np.frombuffer(data, np.int32 if own.startswith("count") else np.int64).astype(np.int64)
+            if own != name:
+                if name is not None:
+                    yield out()
+                name, total = own, part
+            else:
+                total = total + part
+    if name is not None:
+        yield out()
+
+
+def learned(texts: DataFrame) -> Model:
+    """Trains on all rows of ``texts`` (text). The model's size is fixed, so it may come to the driver."""
+    parts = texts.mapInArrow(_learned, "name string, data binary").repartition("name").sortWithinPartitions("name")
+    rows = parts.mapInArrow(_added, "name string, data binary").toLocalIterator()
+    return Model((r["name"], bytes(r["data"])) for r in rows)
+
+
+# ---- word counts by buckets, and the scores ----
+
+
+def _asked(table: pa.Table) -> pa.Table:
+    """The distinct tokens of a bucket in sorted order, as hashes, with their counts in training documents."""
+    counts: Counter[bytes] = Counter()
+    seen: set[bytes] = set()
+    for text, held_out in zip(as_bytes(table.column("text")), table.column("held_out").to_pylist(), strict=True):
+        if held_out:
+            seen.update(tokens_of(text))
+        else:
+            counts.update(tokens_of(text))
+    words = sorted(seen | counts.keys())
+    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
+    n = len(words)
+    columns = [pa.array(np.full(n, table.column("bucket")[0].as_py(), np.int64)), pa.array(np.arange(n)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), pa.array(np.fromiter((counts[w] for w in words), np.int64, n))]
+    return pa.Table.from_arrays(columns, ["bucket", "place", "h1", "h2", "n"])
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, logs double, score double, vocabulary long, train_tokens long"
+
+
+def _scored(model):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        count = np.zeros(answers.num_rows, np.int64)
+        count[answers.column("place").to_numpy()] = answers.column("c").to_numpy()
+        own = as_bytes(docs.column("text"))
+        words = sorted({w for text in own for w in tokens_of(text)})
+        number = {w: k for k, w in enumerate(words)}
+        logs = np.log10(count + 0.5)
+        rows = []
+        for text in own:
+            tokens = tokens_of(text)
+            at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+            rows.append((len(tokens), int((count[at] > 0).sum()), float(logs[at].sum())))
+        n_tokens, n_known, sums = zip(*rows, strict=True) if rows else ([], [], [])
+        texts = [model_text(t) for t in own]
+        # The bucket's share of the vocabulary and of all training tokens goes with its first row. A known
+        # token belongs to the first bucket that asked for it.
+        first = answers.column("first").to_numpy(zero_copy_only=False)
+        extra = np.zeros((2, len(own)), np.int64)
+        if len(own):
+            extra[:, 0] = (first & (answers.column("c").to_numpy() > 0)).sum(), answers.column("n").to_numpy().sum()
+        columns = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), *[pa.array(x, pa.int64()) for x in (n_tokens, n_known, [len(t) for t in texts])], pa.array(sums, pa.float64()), pa.array(model.value.scores(texts), pa.float64()), *[pa.array(x) for x in extra]]
+        return pa.Table.from_arrays(columns, [f.split()[0] for f in RESULT.split(", ")])
+
+    return run
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row."""
+    held_out = F.coalesce(fold_of(F.col(id_col).cast("long"), 5) == 1, F.lit(False))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
+    total = picked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    model = docs.sparkSession.sparkContext.broadcast(learned(picked.where("not held_out").select("text")))
+
+    buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
+    dealt = picked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition("bucket")
+    asked = dealt.groupBy("bucket").applyInArrow(_asked, "bucket long, place long, h1 long, h2 long, n long")
+    token = Window.partitionBy("h1", "h2")
+    answers = asked.select("bucket", "place", "n", F.sum("n").over(token).alias("c"), (F.row_number().over(token.orderBy("bucket")) == 1).alias("first"))
+    met = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scored(model), RESULT)
+    scored = checkpointed(met)
+
+    whole = scored.agg(F.sum("train_tokens").alias("n"), F.sum("vocabulary").alias("v")).first()
+    n, v = whole.n or 0, whole.v or 0
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
+    bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
