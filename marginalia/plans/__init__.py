@@ -1,0 +1 @@
+"""Composed plans, the tools over them, and the registry of queries."""

@@ -1,4 +1,596 @@
-"""Queries over the given tables, each with the SQL that checks it."""
+"""Queries over the given tables, each with the SQL that checks it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The SQL shares one prefix of common tables (``tables.LIBRARY_SQL``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import metadata as md
+from ..functions import text as tx
+from ..functions import vectors as vf
+from ..operators import chunking, filters, fusion, lexical, library, maintain, vector
+from ..operators.filters import Filters
+from .hybrid import hybrid_search
+from .tables import LIBRARY_SQL, Library
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, ctes: str = "", plain: bool = False):
+    """Registers a function of a Library under its name; ``sql`` follows the common tables."""
+
+    def register(f: Callable[[Library], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Library(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql if plain else f"WITH {LIBRARY_SQL}{',' + ctes if ctes else ''}\n{sql}"
+        return f
+
+    return register
+
+
+# ---- chunks ----
+
+
+@query("SELECT id, source_id, chunk_index, title, content FROM chunks")
+def chunk_plain(lib: Library) -> DataFrame:
+    return lib.chunks.select("id", "source_id", "chunk_index", "title", "content")
+
+
+@query("SELECT doc_id, len(w) AS n_words FROM worded")
+def chunk_word_count(lib: Library) -> DataFrame:
+    return lib.documents.select("doc_id", tx.word_count("text").alias("n_words"))
+
+
+def _windows_sql(size: int, step: int) -> str:
+    return f"""
+SELECT doc_id, i AS chunk_index, CASE WHEN len(w) = 0 THEN '' WHEN len(w) <= {size} THEN trim(text) ELSE array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') END AS content
+FROM (SELECT *, unnest(range(CASE WHEN len(w) <= {size} THEN 1 ELSE CAST(ceil((len(w) - {size}) / {step}.0) AS BIGINT) + 1 END)) AS i FROM worded)
+"""
+
+
+@query(_windows_sql(50, 40))
+def chunk_small_windows(lib: Library) -> DataFrame:
+    return chunking.chunk_plain(lib.documents.select("doc_id", "text"), size=50, overlap=10)
+
+
+@query(f"SELECT 'text' AS kind, * FROM ({_windows_sql(50, 1)}) UNION ALL SELECT 'code' AS kind, * FROM ({_windows_sql(50, 50)})")
+def chunk_overlap_clamp(lib: Library) -> DataFrame:
+    """An overlap beyond the size leaves a step of one word for text, of the whole window for code."""
+    docs = lib.documents.select("doc_id", "text")
+    text = chunking.chunk_plain(docs, size=50, overlap=90).withColumn("kind", F.lit("text"))
+    return text.unionByName(chunking.chunk_code_windows(docs, size=50, overlap=90).withColumn("kind", F.lit("code")))
+
+
+@query()
+def chunk_markdown(lib: Library) -> DataFrame:
+    """Each conversation as Markdown: a heading for each turn."""
+    turn = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), "text")
+    turns = F.sort_array(F.collect_list(F.struct("turn", turn.alias("text"))))
+    talks = lib.table("conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n\n").alias("text"))
+    return chunking.chunk_markdown(talks, size=60, overlap=10)
+
+
+@query()
+def html_to_text(lib: Library) -> DataFrame:
+    from ..sources.formats import html_text
+
+    return lib.table("pages").select("page_id", html_text(F.col("html")).alias("content"))
+
+
+# ---- vectors ----
+
+_QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+_BITS = "list_aggregate(list_transform(range(64), lambda i: CASE WHEN {v}[i + 1] > 0 THEN CAST(power(2, i) AS HUGEINT) ELSE 0 END), 'sum')"
+_HAMMING = "list_sum(list_transform(range(1, 65), lambda i: CAST((embedding[i] > 0) <> (q[i] > 0) AS INT)))"
+_L2 = "list_sum(list_transform(range(1, 65), lambda i: power(CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE), 2)))"
+_NEAR = f"""
+measured AS (SELECT document_id, {_HAMMING} AS hamming, {_L2} AS distance FROM (SELECT *, {_QUERY} AS q FROM vectors)),
+pool AS (SELECT * FROM measured ORDER BY hamming, document_id LIMIT 200),
+wide AS (SELECT * FROM measured ORDER BY hamming, document_id LIMIT 1000)
+"""
+
+
+@query(f"SELECT vec_id, CAST(b AS VARCHAR) AS word FROM (SELECT vec_id, {_BITS.format(v='embedding')} AS b FROM embeddings)", plain=True)
+def vec_binary_quantize(lib: Library) -> DataFrame:
+    word = F.element_at(vf.quantized(F.col("embedding"), 64), 1)
+    unsigned = F.conv(F.hex(word), 16, 10)
+    return lib.table("embeddings").select("vec_id", unsigned.alias("word"))
+
+
+@query("SELECT document_id, CAST(hamming AS INT) AS hamming FROM pool", _NEAR)
+def vec_hamming_topk(lib: Library) -> DataFrame:
+    return vector.hamming_pool(lib.vectors, lib.vector_of(0), 200).select("document_id", "hamming")
+
+
+@query("SELECT document_id, round(distance, 6) AS distance FROM measured ORDER BY measured.distance, document_id LIMIT 10", _NEAR)
+def vec_exact_l2_topk(lib: Library) -> DataFrame:
+    return vector.exact(lib.vectors, lib.vector_of(0)).orderBy("distance", "document_id").limit(10).select("document_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT document_id, round(distance, 6) AS distance FROM pool ORDER BY pool.distance, document_id LIMIT 10", _NEAR)
+def vec_two_stage(lib: Library) -> DataFrame:
+    return vector.vector_search(lib.vectors, lib.vector_of(0), 10).select("document_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT document_id, round(distance, 6) AS distance FROM wide JOIN joined ON id = document_id WHERE collection_type = 'code' AND source_type = 'en' ORDER BY wide.distance, document_id LIMIT 10", _NEAR)
+def vec_two_stage_filtered(lib: Library) -> DataFrame:
+    allowed = lib.joined.where(Filters(collection="code", source_type="en").predicate()).select(F.col("id").alias("document_id"))
+    return vector.vector_search(lib.vectors, lib.vector_of(0), 10, allowed).select("document_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT document_id, round(distance, 4) AS distance FROM (SELECT * FROM (SELECT * FROM measured ORDER BY hamming, document_id LIMIT 220) p ORDER BY p.distance, document_id LIMIT 11) WHERE document_id <> 0", _NEAR)
+def vec_related(lib: Library) -> DataFrame:
+    return vector.related(lib.vectors, 0, 10).select("document_id", F.round("distance", 4).alias("distance"))
+
+
+@query("SELECT document_id FROM vectors WHERE document_id NOT IN (SELECT id FROM chunks)")
+def orphan_vectors(lib: Library) -> DataFrame:
+    return vector.orphans(lib.vectors, lib.chunks).select("document_id")
+
+
+# ---- full text ----
+
+_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_TOKENIZED = f"tokenized AS (SELECT id, {_TOKENS.format(c='title')} AS a, {_TOKENS.format(c='content')} AS b FROM chunks)"
+
+
+def _count_sql(tokens: str, phrase: list[str]) -> str:
+    test = " AND ".join(f"{tokens}[i + {k}] = '{t}'" for k, t in enumerate(phrase))
+    return f"len(list_filter(range(1, greatest(len({tokens}) - {len(phrase) - 2}, 1)), lambda i: {test}))"
+
+
+def _bm25_sql(text: str) -> str:
+    phrases = tx.query_phrases(text)
+    counts = ", ".join(f"{_count_sql('a', p)} + {_count_sql('b', p)} AS f{k}" for k, p in enumerate(phrases))
+    stats = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(phrases)))
+    idf = "CASE WHEN n - n{k} <= n{k} THEN 1e-6 ELSE ln((n - n{k} + 0.5) / (n{k} + 0.5)) END"
+    rank = " ".join(f"- {idf.format(k=k)} * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in range(len(phrases)))
+    return f"""
+{_TOKENIZED},
+counted AS (SELECT id AS doc_id, len(a) + len(b) AS length, {counts} FROM tokenized),
+stats AS (SELECT count(*) AS n, avg(length) AS mean, {stats} FROM counted),
+ranked AS (SELECT doc_id, 0.0 {rank} AS rank FROM counted, stats WHERE {" AND ".join(f"f{k} > 0" for k in range(len(phrases)))})
+"""
+
+
+@query("SELECT id, a AS title_tokens, len(b) AS n_tokens, list_sort(list_distinct(b))[:20] AS tokens FROM tokenized", _TOKENIZED)
+def fts_tokenize(lib: Library) -> DataFrame:
+    own = lib.chunks.select("id", tx.tokens("title").alias("title_tokens"), tx.tokens("content").alias("t"))
+    return own.select("id", "title_tokens", F.size("t").alias("n_tokens"), F.slice(F.array_sort(F.array_distinct("t")), 1, 20).alias("tokens"))
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 10", _bm25_sql("ingre"))
+def fts_bm25_topk(lib: Library) -> DataFrame:
+    return lexical.fts_search(lib.chunks, "ingre", 10).select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 20", _bm25_sql("ingre atble"))
+def fts_all_terms(lib: Library) -> DataFrame:
+    return lexical.fts_search(lib.chunks, "ingre atble", 20).select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 20", _bm25_sql("is-the"))
+def fts_phrase(lib: Library) -> DataFrame:
+    return lexical.fts_search(lib.chunks, "is-the", 20).select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM (SELECT * FROM ranked ORDER BY rank, doc_id LIMIT 500) p JOIN joined j ON j.id = p.doc_id WHERE collection_type = 'project' ORDER BY p.rank, doc_id LIMIT 10", _bm25_sql("ingre"))
+def fts_filtered(lib: Library) -> DataFrame:
+    return lexical.fts_search(lib.joined, "ingre", 10, filters.in_collection("project")).select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM ranked p JOIN joined j ON j.id = p.doc_id WHERE collection_type = 'project' ORDER BY p.rank, doc_id LIMIT 10", _bm25_sql("ingre"))
+def fts_prefiltered(lib: Library) -> DataFrame:
+    return lexical.fts_search(lib.joined, "ingre", 10, filters.in_collection("project"), prefilter=True).select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+@query("SELECT term, count(*) AS n_chunks, CAST(sum(tf) AS BIGINT) AS n_places FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(b) AS term FROM tokenized) GROUP BY id, term) GROUP BY term", _TOKENIZED)
+def fts_postings(lib: Library) -> DataFrame:
+    own = lexical.postings(lib.chunks).where("column_name = 'content'")
+    return own.groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_places"))
+
+
+# ---- fusion ----
+
+
+def _fused_sql(filtered: str = "", pool: str = "pool", text_pool: int = 30, k: int = 60, weights: tuple[float, float] = (0.7, 0.3)) -> str:
+    a, b = weights
+    whole = (a + b) / (k + 1) or 1.0
+    test = f"WHERE {filtered}" if filtered else ""
+    return f"""
+near AS (SELECT p.document_id AS doc_id, row_number() OVER (ORDER BY p.distance, p.document_id) - 1 AS place
+  FROM {pool} p {"JOIN joined j ON j.id = p.document_id " + test if filtered else ""} ORDER BY p.distance, p.document_id LIMIT 10),
+text AS (SELECT p.doc_id, row_number() OVER (ORDER BY p.rank, p.doc_id) - 1 AS place
+  FROM (SELECT * FROM ranked ORDER BY rank, doc_id LIMIT {text_pool}) p JOIN joined j ON j.id = p.doc_id {test} ORDER BY p.rank, p.doc_id LIMIT 10),
+fused AS (SELECT doc_id, sum(part) / {whole} AS score FROM
+  (SELECT doc_id, {a} / ({k} + place + 1) AS part FROM near UNION ALL SELECT doc_id, {b} / ({k} + place + 1) FROM text) GROUP BY doc_id)
+"""
+
+
+_BEST = "SELECT id, title, collection, source_path, source_type, round(score, 9) AS score FROM fused JOIN joined ON id = doc_id ORDER BY fused.score DESC, id LIMIT 10"
+
+
+def _best(found: DataFrame) -> DataFrame:
+    return found.select("id", "title", "collection", "source_path", "source_type", F.round("score", 9).alias("score"))
+
+
+@query("SELECT doc_id, round(score, 9) AS score FROM fused", f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql()}")
+def rrf_fusion(lib: Library) -> DataFrame:
+    near = fusion.ranked(vector.vector_search(lib.vectors, lib.vector_of(0), 10).withColumnRenamed("document_id", "doc_id"), "distance", "doc_id")
+    text = fusion.ranked(lexical.fts_search(lib.chunks, "ingre", 10), "rank", "doc_id")
+    return fusion.rrf(near, text).select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql()}")
+def hybrid_search_query(lib: Library) -> DataFrame:
+    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0)))
+
+
+QUERIES["hybrid_search"] = QUERIES.pop("hybrid_search_query")
+ORACLES["hybrid_search"] = ORACLES.pop("hybrid_search_query")
+
+
+@query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql(chr(39).join(['source_type = ', 'en', '']) + ' AND contains(lower(source_path), ' + chr(39) + 'src1' + chr(39) + ')', 'wide', 500)}")
+def hybrid_search_filtered(lib: Library) -> DataFrame:
+    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), Filters(source_type="en", path="SRC1")))
+
+
+@query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql(weights=(1.0, 0.0))}")
+def hybrid_zero_weight(lib: Library) -> DataFrame:
+    """A weight of 0 keeps its rows, with nothing to add."""
+    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), vector_weight=1.0, text_weight=0.0))
+
+
+@query(_BEST, f"{_NEAR.replace('LIMIT 200', 'LIMIT 0')},{_bm25_sql('atble')},{_fused_sql()}")
+def hybrid_text_only(lib: Library) -> DataFrame:
+    return _best(hybrid_search(lib.joined, lib.vectors, "atble", None))
+
+
+# ---- grep ----
+
+
+def _grep_sql(expression: str, rows: str, limit: int) -> str:
+    return f"""
+SELECT id, chunk_index, 1 + len(left(content, place - 1)) - len(replace(left(content, place - 1), chr(10), '')) AS line, match
+FROM (SELECT *, regexp_extract(content, '{expression}') AS match, strpos(content, regexp_extract(content, '{expression}')) AS place
+      FROM {rows} WHERE regexp_matches(content, '{expression}') ORDER BY id LIMIT {limit})
+"""
+
+
+@query(_grep_sql("(?i)INGRE", "chunks", 50))
+def grep_literal(lib: Library) -> DataFrame:
+    return lexical.grep(lib.chunks, "INGRE", limit=50).select("id", "chunk_index", "line", "match")
+
+
+@query(_grep_sql("[Tt]h[a-z]+ble of [a-z]+", "(SELECT * FROM chunks ORDER BY id LIMIT 20000)", 20))
+def grep_regex(lib: Library) -> DataFrame:
+    return lexical.grep(lib.chunks, "[Tt]h[a-z]+ble of [a-z]+", regex=True).select("id", "chunk_index", "line", "match")
+
+
+@query("""
+SELECT id, match, CASE WHEN b > 1 THEN '…' ELSE '' END || regexp_replace(substr(content, b, e - b), '^\\s+|\\s+$', '', 'g') || CASE WHEN e <= length(content) THEN '…' ELSE '' END AS context
+FROM (SELECT *, greatest(place - 120, 1) AS b, least(place + length(match) + 120, length(content) + 1) AS e
+      FROM (SELECT *, regexp_extract(content, '(?i)atble') AS match, strpos(content, regexp_extract(content, '(?i)atble')) AS place
+            FROM chunks WHERE regexp_matches(content, '(?i)atble') ORDER BY id LIMIT 20))
+""")
+def grep_context(lib: Library) -> DataFrame:
+    return lexical.grep(lib.chunks, "atble").select("id", "match", "context")
+
+
+# ---- filters ----
+
+
+@query("SELECT id FROM joined WHERE contains(lower(source_path), 'src1/e')")
+def filter_path(lib: Library) -> DataFrame:
+    return lib.joined.where(Filters(path="SRC1/E").predicate()).select("id")
+
+
+@query("SELECT id FROM joined WHERE left(coalesce(date, author_date), 10) BETWEEN '2024-03-01' AND '2024-04-15' OR coalesce(date, author_date) IS NULL")
+def filter_date_range(lib: Library) -> DataFrame:
+    return lib.joined.where(Filters(date_from="2024-03-01", date_to="2024-04-15T10:00:00Z").predicate()).select("id")
+
+
+@query("SELECT id FROM joined WHERE len(list_filter(tags, lambda t: contains(t, 'lon'))) > 0 AND CAST(n_chars AS VARCHAR) <> '0' AND lang = 'de'")
+def filter_metadata(lib: Library) -> DataFrame:
+    return lib.joined.where(Filters(metadata={"tags": "LON", "lang": "DE"}).predicate()).select("id")
+
+
+@query("SELECT id FROM joined WHERE n_chars = (SELECT n_chars FROM docs ORDER BY doc_id LIMIT 1)")
+def filter_metadata_number(lib: Library) -> DataFrame:
+    n = lib.documents.orderBy("doc_id").select(F.col("n_chars").cast("string")).limit(1).scalar()
+    own = md.field("metadata", "n_chars")
+    return lib.joined.where(own == n).select("id")
+
+
+@query("SELECT id FROM joined WHERE len(list_filter(authors, lambda a: contains(lower(a), 'author a3'))) > 0")
+def filter_author(lib: Library) -> DataFrame:
+    return lib.joined.where(Filters(author="AUTHOR A3").predicate()).select("id")
+
+
+@query("SELECT id FROM joined WHERE contains(sender, 'user3@')")
+def filter_sender(lib: Library) -> DataFrame:
+    return lib.joined.where(Filters(sender="User3@").predicate()).select("id")
+
+
+@query("SELECT id FROM joined WHERE collection = 'src3' UNION ALL SELECT id FROM joined WHERE collection_type = 'system'")
+def filter_collection(lib: Library) -> DataFrame:
+    own = lib.joined.where(Filters(collection="src3").predicate()).select("id")
+    return own.unionAll(lib.joined.where(Filters(collection="system").predicate()).select("id"))
+
+
+# ---- facets, timeline ----
+
+
+@query("SELECT source_type, count(*) AS n FROM sources GROUP BY source_type")
+def facet_source_types(lib: Library) -> DataFrame:
+    return library.source_types(lib.sources)
+
+
+@query("""
+SELECT key, n FROM (
+  SELECT unnest(['lang', 'n_chars', 'tags', 'authors', 'date', 'author_date', 'sender']) AS key,
+         unnest([count(lang), count(n_chars), count(*), count(*), count(date), count(author_date), count(sender)]) AS n FROM chunks) WHERE n > 0
+""")
+def facet_keys(lib: Library) -> DataFrame:
+    return library.facet_keys(lib.chunks)
+
+
+@query("""
+SELECT key, value, n FROM (
+  SELECT key, value, count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, value) AS place FROM (
+    SELECT 'tags' AS key, unnest(tags) AS value FROM chunks UNION ALL SELECT 'authors', unnest(authors) FROM chunks
+    UNION ALL SELECT 'sender', sender FROM chunks WHERE sender IS NOT NULL) GROUP BY key, value) WHERE place <= 8
+""")
+def facet_values_top8(lib: Library) -> DataFrame:
+    return library.facet_values(lib.chunks)
+
+
+@query("SELECT k AS value, count(*) AS n FROM (SELECT json_extract_string(props, '$.k') AS k FROM events) WHERE k IS NOT NULL GROUP BY k", plain=True)
+def facet_event_values(lib: Library) -> DataFrame:
+    return lib.table("events").select(F.explode(md.values("props", "k")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT min(left(coalesce(date, author_date, last_indexed_at), 10)) AS first_day, max(left(coalesce(date, author_date, last_indexed_at), 10)) AS last_day FROM joined")
+def facet_date_range(lib: Library) -> DataFrame:
+    return library.facet_dates(lib.joined)
+
+
+@query("""
+SELECT id, title, collection, source_path, source_type, doc_date FROM (SELECT *, coalesce(date, author_date, last_indexed_at) AS doc_date FROM joined)
+WHERE left(doc_date, 10) BETWEEN '2024-02-01' AND '2024-10-31' AND collection_type = 'code' ORDER BY doc_date DESC, id LIMIT 50
+""")
+def timeline(lib: Library) -> DataFrame:
+    return library.timeline(lib.joined, filters.in_collection("code"), "2024-02-01", "2024-10-31")
+
+
+# ---- rollups, lists, pages ----
+
+
+@query("""
+SELECT l.name, l.collection_type, coalesce(s.n, 0) AS source_count, coalesce(c.n, 0) AS chunk_count, s.t AS last_indexed_at, coalesce(c.n > 0 AND c.v = 0, false) AS needs_reindex, l.name <> 'src4' AS enabled
+FROM collections l LEFT JOIN (SELECT collection_id, count(*) AS n, max(last_indexed_at) AS t FROM sources GROUP BY 1) s ON s.collection_id = l.id
+LEFT JOIN (SELECT collection_id, count(*) AS n, count(document_id) AS v FROM chunks LEFT JOIN vectors ON document_id = id GROUP BY 1) c ON c.collection_id = l.id
+""")
+def list_collections(lib: Library) -> DataFrame:
+    return library.collection_rollup(lib.collections, lib.sources, lib.chunks, lib.vectors, disabled=("src4",))
+
+
+@query("""
+SELECT 'type' AS kind, source_type AS name, count(*) AS n FROM sources WHERE collection_id = 3 GROUP BY source_type
+UNION ALL SELECT 'title', title, 1 FROM (SELECT DISTINCT title FROM chunks WHERE collection_id = 3 ORDER BY title LIMIT 10)
+UNION ALL SELECT 'count', 'chunks', count(*) FROM chunks WHERE collection_id = 3
+""")
+def collection_info(lib: Library) -> DataFrame:
+    own = F.col("collection_id") == 3
+    types = library.source_types(lib.sources.where(own)).select(F.lit("type").alias("kind"), F.col("source_type").alias("name"), "n")
+    titles = library.sample_titles(lib.chunks.where(own)).select(F.lit("title").alias("kind"), F.col("title").alias("name"), F.lit(1).cast("long").alias("n"))
+    return types.unionAll(titles).unionAll(lib.chunks.where(own).agg(F.count("*").alias("n")).select(F.lit("count").alias("kind"), F.lit("chunks").alias("name"), "n"))
+
+
+@query("""
+SELECT s.id, source_path, source_type, last_indexed_at, n AS chunk_count FROM sources s JOIN (SELECT source_id, count(*) AS n FROM chunks GROUP BY 1) c ON s.id = c.source_id
+WHERE contains(lower(source_path), '/de/') ORDER BY source_path, s.id LIMIT 200
+""")
+def list_sources(lib: Library) -> DataFrame:
+    return library.list_sources(lib.sources, lib.chunks, "/DE/")
+
+
+@query("SELECT id, source_id, collection_id, chunk_index, title FROM chunks WHERE (source_id, chunk_index) > (40, 0) ORDER BY source_id, chunk_index LIMIT 100")
+def page_chunks_forward(lib: Library) -> DataFrame:
+    return library.chunk_page(lib.chunks, "40:0")
+
+
+@query("SELECT id, source_id, collection_id, chunk_index, title FROM chunks WHERE (source_id, chunk_index) < (160, 0) ORDER BY source_id DESC, chunk_index DESC LIMIT 100")
+def page_chunks_backward(lib: Library) -> DataFrame:
+    return library.chunk_page(lib.chunks, "160:0", backward=True)
+
+
+@query("""
+SELECT s.id, source_path, source_type, n AS chunk_count FROM sources s JOIN (SELECT source_id, count(*) AS n FROM chunks GROUP BY 1) c ON s.id = c.source_id
+WHERE source_path > '/src12/' ORDER BY source_path LIMIT 100
+""")
+def page_sources(lib: Library) -> DataFrame:
+    return library.source_page(lib.sources, lib.chunks, "/src12/")
+
+
+@query("SELECT id, source_id, chunk_index, title, content FROM chunks WHERE source_id = (SELECT min(source_id) FROM chunks WHERE chunk_index = 3) AND chunk_index BETWEEN 2 AND 4")
+def chunk_neighbours(lib: Library) -> DataFrame:
+    seed = lib.chunks.where("chunk_index = 3").agg(F.min("id")).first()[0]
+    return library.neighbours(lib.chunks, -1 if seed is None else seed, 1, 1)
+
+
+@query("""
+SELECT source_id, left(t, 5000) AS content, length(t) > 5000 AS truncated
+FROM (SELECT source_id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS t FROM chunks WHERE source_id = (SELECT min(source_id) FROM chunks WHERE chunk_index = 3) GROUP BY source_id)
+""")
+def read_source(lib: Library) -> DataFrame:
+    seed = lib.chunks.where("chunk_index = 3").agg(F.min("source_id")).first()[0]
+    return library.read_source(lib.chunks, -1 if seed is None else seed, max_chars=5000)
+
+
+@query("""
+SELECT conv_id AS source_id, left(t, 60000) AS content, length(t) > 60000 AS truncated
+FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+""", plain=True)
+def read_conversations(lib: Library) -> DataFrame:
+    """Every conversation read as a source of its turns."""
+    turns = lib.table("conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"), F.lit("").alias("metadata"))
+    return library.read_source(turns, F.col("source_id"))
+
+
+@query("SELECT (SELECT count(*) FROM collections) AS collections, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM vectors) AS vectors, (SELECT max(last_indexed_at) FROM sources) AS last_indexed_at")
+def status_counts(lib: Library) -> DataFrame:
+    return library.status_counts(lib.collections, lib.sources, lib.chunks, lib.vectors)
+
+
+@query("SELECT name, coalesce(c.n > 0 AND c.v = 0, false) AS needs_reindex FROM collections l LEFT JOIN (SELECT collection_id, count(*) AS n, count(document_id) AS v FROM chunks LEFT JOIN vectors ON document_id = id GROUP BY 1) c ON c.collection_id = l.id")
+def needs_reindex(lib: Library) -> DataFrame:
+    return library.collection_rollup(lib.collections, lib.sources, lib.chunks, lib.vectors).select("name", "needs_reindex")
+
+
+# ---- maintenance ----
+
+
+@query("SELECT c.id FROM chunks c JOIN sources s ON c.source_id = s.id WHERE s.source_type <> 'fr'")
+def prune_complement(lib: Library) -> DataFrame:
+    """French files are gone from the listing: what stays of the chunks."""
+    return maintain.prune(lib.sources, lib.chunks, lib.vectors, lib.sources.where("source_type <> 'fr'"))[1].select("id")
+
+
+def _file_states(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """What is indexed, and a listing in which some files have a new time, some a new text, some are new."""
+    own = lib.documents.select(lib.path.alias("source_path"), F.sha2("text", 256).alias("file_hash"), F.col("n_chars").cast("string").alias("file_modified_at"), "doc_id")
+    known = own.where("doc_id % 4 <> 3")
+    time = F.when(F.col("doc_id") % 4 == 0, F.col("file_modified_at")).otherwise(F.lit("later")).alias("file_modified_at")
+    content = F.when(F.col("doc_id") % 4 == 2, F.sha2(F.concat("file_hash", F.lit("!")), 256)).otherwise(F.col("file_hash")).alias("file_hash")
+    return known, own.select("source_path", content, time)
+
+
+@query("SELECT source_path, CASE doc_id % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'touch' ELSE 'parse' END AS status FROM (SELECT *, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS source_path FROM docs)")
+def change_detection(lib: Library) -> DataFrame:
+    known, files = _file_states(lib)
+    return maintain.changes(files, known)
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 4 >= 2) AS indexed, count(*) FILTER (WHERE doc_id % 4 < 2) AS skipped, 0 AS failed, count(*) AS total_found FROM docs")
+def run_counters(lib: Library) -> DataFrame:
+    known, files = _file_states(lib)
+    return maintain.run_counts(maintain.changes(files, known))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id", plain=True)
+def upsert_latest_wins(lib: Library) -> DataFrame:
+    """Half of the events are stored, the others come later: each user keeps the latest."""
+    events = lib.table("events").select("user_id", "event_id", "ts").withColumn("at", F.struct("ts", "event_id"))
+    stored, new = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    latest = maintain.upserted(stored.unionByName(new), new.where("false"), ["user_id"], "at")
+    return latest.select("user_id", "event_id")
+
+
+@query("SELECT vec_id AS id, len(embedding) AS n FROM embeddings ORDER BY vec_id DESC LIMIT 300", plain=True)
+def cache_evict_fifo(lib: Library) -> DataFrame:
+    cache = lib.table("embeddings").select(F.col("vec_id").alias("id"), F.lit("model").alias("model_key"), F.col("vec_id").cast("string").alias("query"), "embedding")
+    return maintain.cache_put(cache.where("id % 2 = 0"), cache.where("id % 2 = 1"), 300).select("id", F.size("embedding").alias("n"))
+
+
+@query("SELECT count(*) AS entries, CAST(sum(4 * len(embedding) + length(CAST(vec_id AS VARCHAR))) AS BIGINT) AS bytes FROM embeddings", plain=True)
+def cache_stats(lib: Library) -> DataFrame:
+    return maintain.cache_stats(lib.table("embeddings").select("embedding", F.col("vec_id").cast("string").alias("query")))
+
+
+@query("SELECT id, CASE WHEN starts_with(source_path, '/src1/') THEN '/moved/one/' || substr(source_path, 7) ELSE source_path END AS source_path FROM sources")
+def rewrite_paths(lib: Library) -> DataFrame:
+    return maintain.paths_rewritten(lib.sources, "/src1/", "/moved/one/").select("id", "source_path")
+
+
+@query("SELECT id FROM sources WHERE NOT starts_with(source_path, '/src1')")
+def clear_prefix(lib: Library) -> DataFrame:
+    return maintain.clear_prefix(lib.sources, lib.chunks, lib.vectors, "/src1")[0].select("id")
+
+
+@query("SELECT document_id FROM vectors WHERE document_id NOT IN (SELECT id FROM chunks WHERE collection_id = 5)")
+def clear_collection(lib: Library) -> DataFrame:
+    return maintain.clear_collection(lib.sources, lib.chunks, lib.vectors, 5)[2].select("document_id")
+
+
+@query("SELECT doc_id, sha256(text) AS file_hash FROM docs")
+def source_hash(lib: Library) -> DataFrame:
+    return lib.documents.select("doc_id", F.sha2("text", 256).alias("file_hash"))
+
+
+@query("SELECT id, CASE WHEN length(content) <= 300 THEN content ELSE rtrim(left(content, 300), ' ' || chr(10) || chr(9)) || '…' END AS text, length(content) > 300 AS truncated FROM chunks")
+def snippets(lib: Library) -> DataFrame:
+    return lib.chunks.select("id", tx.snippet("content", 300).alias("s")).select("id", "s.text", "s.truncated")
+
+
+@query("""
+SELECT id, CASE source_type WHEN 'de' THEN 'vscode://file' || source_path || ':1' ELSE CASE WHEN starts_with(source_path, '/src7/') THEN 'obsidian://open?vault=My+Notes&file=' || replace(substr(source_path, 7), '/', '%2F') ELSE 'file://' || source_path END END AS uri
+FROM sources WHERE NOT (source_type = 'de' AND starts_with(source_path, '/src7/'))
+""")
+def source_uris(lib: Library) -> DataFrame:
+    kind = F.when(F.col("source_type") == "de", F.lit("code")).otherwise(F.col("source_type"))
+    uri = md.source_uri(F.col("source_path"), kind, F.lit(""), {"/src7": "My Notes"})
+    return lib.sources.where("NOT (source_type = 'de' AND startswith(source_path, '/src7/'))").select("id", uri.alias("uri"))
+
+
+@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?i)\\b(?:from|into|join)\\s+([a-z_][a-z0-9_.]*)', 1)))[:50] AS tables FROM (SELECT doc_id, replace(text, ' of ', ' from ') AS text FROM docs WHERE lang = 'en')")
+def sql_table_names(lib: Library) -> DataFrame:
+    """What would name a table if ``of`` read ``from``."""
+    text = F.replace(F.col("text"), F.lit(" of "), F.lit(" from "))
+    return lib.documents.where("lang = 'en'").select("doc_id", F.slice(F.array_sort(tx.sql_tables(text, 1 << 20)), 1, 50).alias("tables"))
+
+
+@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(?m)^\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*\\(\\)', 1))) AS names FROM pages", plain=True)
+def shell_functions(lib: Library) -> DataFrame:
+    return lib.table("pages").select("page_id", F.array_sort(tx.shell_functions("html")).alias("names"))
+
+
+@query("SELECT source_id FROM chunks LEFT JOIN embeddings e ON e.vec_id = source_id + chunk_index GROUP BY source_id HAVING count(*) = count(e.vec_id) AND bool_or(trim(content) <> '')")
+def all_or_nothing_items(lib: Library) -> DataFrame:
+    """A chunk has the vector numbered source + index, if there is one."""
+    v = lib.table("embeddings").select(F.col("vec_id").alias("__n"), "embedding")
+    items = lib.chunks.join(v, F.col("source_id") + F.col("chunk_index") == F.col("__n"), "left")
+    return maintain.complete_items(items)
+
+
+@query("SELECT doc_id FROM docs WHERE NOT (starts_with(text, 'The') OR starts_with(text, 'An'))")
+def commit_blacklist(lib: Library) -> DataFrame:
+    """First lines as commit subjects."""
+    subject = F.substring_index("text", "\n", 1)
+    return lib.documents.where(filters.not_blacklisted(subject, ["The", "An"])).select("doc_id")
+
+
+@query("SELECT name, list_sort(list(kind)) AS kinds FROM (SELECT DISTINCT source AS name, lang AS kind FROM docs) GROUP BY name HAVING count(*) > 1")
+def name_conflicts(lib: Library) -> DataFrame:
+    return maintain.name_conflicts(lib.documents.select(F.col("source").alias("name"), F.col("lang").alias("kind")))
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)(ingre|atble)', '<mark>\\1</mark>', 'g') AS marked FROM docs WHERE regexp_matches(text, '(?i)(ingre|atble)')")
+def highlights(lib: Library) -> DataFrame:
+    hit = tx.contains_folded("text", "ingre") | tx.contains_folded("text", "atble")
+    return lib.documents.where(hit).select("doc_id", tx.highlight("text", "Ingre atble x").alias("marked"))
+
+
+@query("SELECT event_id, CASE WHEN d >= 0 THEN d END AS days FROM (SELECT event_id, CAST(floor((epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(ts)) / 86400) AS BIGINT) AS d FROM events)", plain=True)
+def days_since(lib: Library) -> DataFrame:
+    return lib.table("events").select("event_id", tx.days_since(F.col("ts"), F.lit("2024-06-01 00:00:00").cast("timestamp")).alias("days"))
+
+
+@query("SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations", plain=True)
+def turn_neighbours(lib: Library) -> DataFrame:
+    """Each turn with its neighbours in the conversation."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return lib.table("conversations").select("conv_id", "turn", "role", F.lag("turn").over(w).alias("before"), F.lead("turn").over(w).alias("after"))
+
+
+@query("SELECT doc_id, coalesce(left(message, 7), '') AS short, n_parts FROM (SELECT doc_id, text AS message, len(string_split(line, '|')) AS n_parts FROM (SELECT doc_id, text, doc_id || '|' || lang || '|' || source || '|' || n_chars || '|' || 'subject' AS line FROM docs))")
+def commit_lines(lib: Library) -> DataFrame:
+    """Log lines are split at bars into five parts."""
+    line = F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"), F.lit("subject"))
+    return lib.documents.select("doc_id", F.left("text", F.lit(7)).alias("short"), F.size(F.split(line, r"\|", 5)).alias("n_parts"))
