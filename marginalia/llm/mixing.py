@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 SEED = 42
 
 
@@ -42,17 +44,17 @@ def poisson_quantile(u: Column, rate: Column, most: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, key: Column, weights: dict[str | None, float] | None, epochs: float) -> DataFrame:
-    """``__mix_key, __rate, __most``: rate is weight / (sum of weights) * epochs * rows / rows of the source."""
-    counts = docs.groupBy(key.alias("__mix_key")).agg(F.count("*").alias("rows"))
+    """``mix_key, rate, most``: rate is weight / (sum of weights) * epochs * rows / rows of the source."""
+    counts = docs.groupBy(key.alias("mix_key")).agg(F.count("*").alias("rows"))
     if weights is None:
         weighed = counts.withColumn("weight", F.lit(1.0))
     else:
         named = F.create_map(*[F.lit(x) for k, w in weights.items() for x in ("" if k is None else f"s{k}", float(w))])
-        weighed = counts.withColumn("weight", F.coalesce(named[F.col("__mix_key")], F.lit(0.0)))
+        weighed = counts.withColumn("weight", F.coalesce(named[F.col("mix_key")], F.lit(0.0)))
     whole = weighed.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight")).first()
     rate = F.col("weight") / F.lit(whole.weight or 1.0) * F.lit(float((whole.rows or 0) * epochs)) / F.col("rows")
     # Beyond rate + 12 deviations + 30 less than 1e-15 of the distribution is left.
-    return weighed.select("__mix_key", rate.alias("__rate")).withColumn("__most", F.ceil(F.col("__rate") + 12 * F.sqrt("__rate") + 30).cast("int"))
+    return weighed.select("mix_key", rate.alias("rate")).withColumn("most", F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -62,9 +64,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit(""))
     names = [c for c in docs.columns if c != "copy_no"]
-    drawn = docs.withColumn("__mix_key", key).join(source_rates(docs, key, weights, epochs), "__mix_key")
-    copies = poisson_quantile(uniform(F.col(id_col), seed), F.col("__rate"), F.col("__most"))
-    counted = drawn.withColumn("__copies", copies).where("__copies > 0")
-    dealt = counted.select(*names, F.explode(F.sequence(F.lit(1), "__copies")).alias("copy_no"))
-    place = F.xxhash64(F.col(id_col), F.col("copy_no"), F.lit(seed))
-    return dealt.withColumn("__place", place).repartition("__place").sortWithinPartitions("__place").drop("__place")
+    own, rate, most, n, place = free_names(docs, "mix_key", "rate", "most", "copies", "place")
+    rates = source_rates(docs, key, weights, epochs).toDF(own, rate, most)
+    drawn = docs.withColumn(own, key).join(rates, own)
+    copies = poisson_quantile(uniform(F.col(id_col), seed), F.col(rate), F.col(most))
+    counted = drawn.withColumn(n, copies).where(F.col(n) > 0)
+    dealt = counted.select(*names, F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy_no"))
+    spread = dealt.withColumn(place, F.xxhash64(F.col(id_col), F.col("copy_no"), F.lit(seed)))
+    return spread.repartition(place).sortWithinPartitions(place).drop(place)

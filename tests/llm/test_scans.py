@@ -1,0 +1,101 @@
+"""License and secret scans against plain searches."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from marginalia.llm import license_scan, secret_scan
+
+from .fixtures import TEXTS, by_id, documents
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LABELS = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def plain_licenses(text):
+    words = WORD.findall(lower(text))
+    places, labels = [], set()
+    for phrase, label in LABELS.items():
+        own = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(own)] == own]
+        places += at
+        labels |= {label} if at else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licenses(spark):
+    found = by_id(license_scan.licenses(documents(spark)))
+    for i, text in TEXTS:
+        r = found[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_licenses(text)
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+        assert 0 <= r.score <= 1
+    assert license_scan.licenses(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_licenses_of_random_words(seed):
+    rng = random.Random(seed)
+    pool = "under the mit license apache version 2 cc by nc Under MIT é x".split()
+    text = "".join(rng.choice(pool) + rng.choice([" ", ", ", "\n", "_", "-"]) for _ in range(80))
+    assert license_scan.scan(text.encode())[:5] == plain_licenses(text)
+
+
+def test_rules_and_suppression():
+    assert len(license_scan.rules()) > 300
+    text = b"Released under the terms of the GNU General Public License version 3. SPDX-License-Identifier: Apache-2.0"
+    assert license_scan.scan(text)[5] == "apache-2,gpl-3"
+    found = license_scan.resolved([license_scan.Found(0, 4, "a", 10, 1), license_scan.Found(1, 3, "b", 5, 1), license_scan.Found(3, 6, "c", 5, 1)])
+    assert [f.label for f in found] == ["a", "c"]
+    # Every rule needs its keywords and one of the anchors, so the prefilter loses nothing.
+    samples = [f" spdx license identifier {n} ".encode() for n in ("mit", "bsd 2 clause", "mpl 2 0")] + [b" cc by sa 4 0 ", b" all rights reserved "]
+    for s in samples:
+        for r in license_scan.rules():
+            if r.pattern.search(s):
+                assert all(k in s for k in r.keywords) and any(a in s for a in license_scan.ANCHORS)
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain_secrets(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    written = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+    return *(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(written.encode()).hexdigest(), written
+
+
+def test_secrets(spark):
+    found = by_id(secret_scan.secrets(documents(spark)))
+    for i, text in TEXTS:
+        *counts, digest, written = plain_secrets(text)
+        r = found[i]
+        assert [r.n_assign, r.n_access, r.n_hex] == counts and r.base_sha256 == digest
+        assert set(filter(None, written.split(","))) <= set(filter(None, r.spans.split(",")))
+    assert secret_scan.secrets(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_secrets_of_random_pieces(seed):
+    rng = random.Random(seed)
+    pool = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "AKIA", "ABC123", "deadbeef", "0123", "é", "x", "-", "ghp_abc", "\n", "aaaa"]
+    text = "".join(rng.choice(pool) for _ in range(120))
+    *counts, digest, _ = plain_secrets(text)
+    assert list(secret_scan.scan(text.encode())[:4]) == [*counts, digest]
+
+
+def test_automaton_fires_where_triggers_match():
+    state = secret_scan.automaton()
+    assert len(state.moves) % 256 == 0 and all(s in state.fired for s in range(state.accepting, len(state.moves), 256))
+    for k, text in enumerate((b"api_key: x", b"AKIA1", b"0123456789abcdef", b"-----BEGIN RSA", b"ghp_a", b"xoxb-1", b"eyJab.eyJ", b"Authorization:  Bearer x", b"http://", b"AIzaX", b"sk_live_1")):
+        assert secret_scan.fired_rules(b"zz " + text + b" zz") == 1 << k
+    assert secret_scan.fired_rules(b"nothing to see, 0123456789abcde g") == 0
+    assert "code_host" in secret_scan.scan(b"x ghp_0123456789ABCDEFGHIJ012345 y")[4]
