@@ -93,13 +93,12 @@ def text_of_html(markup: str) -> str:
     return "\n".join(line.strip() for node in parser.found for line in node.split("\n") if line.strip())
 
 
-@F.pandas_udf("string")
-def _html_text(markup: pd.Series) -> pd.Series:
-    return markup.map(lambda m: text_of_html(m or ""))
-
-
 def html_text(markup: Column) -> Column:
-    return _html_text(markup)
+    @F.pandas_udf("string")
+    def run(markups: pd.Series) -> pd.Series:
+        return markups.map(lambda m: text_of_html(m or ""))
+
+    return run(markup)
 
 
 def html_parts(data: bytes, name: str) -> list[Part]:
