@@ -539,7 +539,7 @@ def source_uris(lib: Library) -> DataFrame:
     return lib.sources.where("NOT (source_type = 'de' AND startswith(source_path, '/src7/'))").select("id", uri.alias("uri"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?i)\\b(?:from|into|join)\\s+([a-z_][a-z0-9_.]*)', 1)))[:50] AS tables FROM (SELECT doc_id, replace(text, ' of ', ' from ') AS text FROM docs WHERE lang = 'en')")
+@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?i)\\b(?:from|into|join)\\s+([a-z_]\\w*(?:\\.[a-z_]\\w*)*)', 1)))[:50] AS tables FROM (SELECT doc_id, replace(text, ' of ', ' from ') AS text FROM docs WHERE lang = 'en')")
 def sql_table_names(lib: Library) -> DataFrame:
     """What would name a table if ``of`` read ``from``."""
     text = F.replace(F.col("text"), F.lit(" of "), F.lit(" from "))

@@ -30,6 +30,22 @@ class Tools:
     vectors: DataFrame
     embedder: Embedder | None = None
     settings: Settings = field(default_factory=Settings)
+    #: Query vectors by (model_key, query), and the key of the model in use.
+    cache: DataFrame | None = None
+    model_key: str = ""
+
+    def query_vector(self, query: str) -> list[float] | None:
+        """From the cache if it is there, else from the model; None if there is none or it fails."""
+        if self.embedder is None or not query.strip():
+            return None
+        if self.cache is not None:
+            row = self.cache.where((F.col("model_key") == self.model_key) & (F.col("query") == query)).select("embedding").first()
+            if row is not None and row[0]:
+                return list(row[0])
+        try:
+            return self.embedder.embed_batch([query])[0]
+        except Exception:  # noqa: BLE001  the full text alone answers then
+            return None
 
     @property
     def joined(self) -> DataFrame:
@@ -49,12 +65,7 @@ class Tools:
 
     def search(self, query: str, chosen: Filters | None = None, max_chars: int = 1200) -> DataFrame:
         """A model that is missing or fails leaves the full text alone."""
-        wanted = None
-        if self.embedder is not None and query.strip():
-            try:
-                wanted = self.embedder.embed_batch([query])[0]
-            except Exception:  # noqa: BLE001
-                wanted = None
+        wanted = self.query_vector(query)
         s = self.settings.search
         found = hybrid_search(self.joined, self.vectors, query, wanted, chosen, s.top_k, s.rrf_k, s.vector_weight, s.fts_weight)
         return self._excerpted(found, max_chars).orderBy(F.desc("score"), "id")

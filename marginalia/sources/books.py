@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunking import OVERLAP, SIZE, chunk_plain
+
 PREFERRED = ("EPUB", "PDF")
 # Tables of a catalog and their columns.
 TABLES = {
@@ -83,3 +85,13 @@ def best_format(found: DataFrame, library: str, present: DataFrame) -> DataFrame
     kept = paths.join(present.select("file_path"), "file_path", "left_semi")
     first = kept.groupBy("book_id").agg(F.min_by(F.struct("file_path", "format"), "place").alias("best")).select("book_id", "best.*")
     return found.join(first, "book_id", "left")
+
+
+def book_chunks(pages: DataFrame, descriptions: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of a book's chapters or pages (book_id, number, text), then of its description, numbered through."""
+    body = chunk_plain(pages.select("book_id", F.lit(0).alias("kind"), "number", "text"), size=size, overlap=overlap)
+    about = descriptions.where("trim(coalesce(description, '')) <> ''").select("book_id", F.lit(1).alias("kind"), F.lit(0).alias("number"), F.col("description").alias("text"))
+    both = body.unionByName(chunk_plain(about, size=size, overlap=overlap))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("kind", "number", "chunk_index")) - 1
+    kind = F.when(F.col("kind") == 1, "description").otherwise("text")
+    return both.select("book_id", kind.alias("chunk_type"), "number", place.alias("chunk_index"), "content")
