@@ -64,13 +64,3 @@ QUERY_CACHE = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
-PARSED = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("chunk_index", T.IntegerType()),
-            T.StructField("title", T.StringType()),
-            T.StructField("text", T.StringType()),
-            T.StructField("metadata", T.StringType()),
-        ]
-    )
-)

@@ -19,7 +19,6 @@ TYPES = {
     ".json": "plaintext", ".yaml": "plaintext", ".yml": "plaintext", ".epub": "epub", ".xlsx": "xlsx", ".pptx": "pptx", ".ipynb": "ipynb", ".xml": "xml",
     ".sql": "sql", ".sh": "shell", ".bash": "shell",
 }
-VAULT_FOLDERS = (".obsidian", ".trash", ".git")
 
 
 def source_type(path: Column) -> Column:

@@ -19,8 +19,6 @@ from .code import language_of
 # Tracked files that aren't indexed.
 LOCK_FILES = (".DS_Store", ".terraform.lock.hcl", "go.sum", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "uv.lock")
 BUILD_FOLDERS = (".idea", ".vscode", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", "dist", "build", ".egg-info", "vendor", ".terraform", "cdk.out")
-COMMITS = "repo string, sha string, author_name string, author_email string, author_date string, subject string"
-CHANGES = "repo string, sha string, additions long, deletions long, is_binary boolean, file_path string"
 
 
 def git(repo: str, *arguments: str) -> str:
