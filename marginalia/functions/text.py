@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,10 +41,18 @@ def clamp_code_window(size: int, overlap: int) -> tuple[int, int]:
 def windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words, ``overlap`` shared; a text that fits is left as it is, one without words gives none."""
     step = size - overlap
-    own = words(text)
-    last = F.ceil((F.size(own) - size) / F.lit(step)).cast("int") * step
-    cut = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.array_join(F.slice(own, s + 1, size), " "))
-    return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(F.size(own) <= size, F.array(text)).otherwise(cut)
+
+    def cut(own: Column) -> Column:
+        last = F.ceil((F.size(own) - size) / F.lit(step)).cast("int") * step
+        parts = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.array_join(F.slice(own, s + 1, size), " "))
+        return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(F.size(own) <= size, F.array(text)).otherwise(parts)
+
+    return bound(words(text), cut)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often the body (or a lambda in it) names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def trimmed(text: Column) -> Column:

@@ -122,12 +122,15 @@ def chunk_commits(changes: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
     body = F.concat(F.col("subject"), F.lit("\n\n"), F.col("diff"))
     kept = kept.withColumn("__lead", lead).withColumn("__body", body)
     room = F.greatest(F.lit(least), F.lit(size) - tx.word_count("__lead"))
-    # Windows of a size that depends on the row.
-    own = tx.words("__body")
-    step = F.greatest(room - overlap, F.lit(1))
-    last = (F.ceil((F.size(own) - room) / step) * step).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last, step), lambda s: F.array_join(F.slice(own, s + 1, room), " "))
     whole = tx.word_count(F.concat("__lead", "__body")) <= size
-    bodies = F.when(whole | (F.size(own) <= room), F.array("__body")).otherwise(cut)
+
+    def cut(own: Column) -> Column:
+        """Windows of a size that depends on the row."""
+        step = F.greatest(room - overlap, F.lit(1))
+        last = (F.ceil((F.size(own) - room) / step) * step).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last, step), lambda s: F.array_join(F.slice(own, s + 1, room), " "))
+        return F.when(whole | (F.size(own) <= room), F.array("__body")).otherwise(parts)
+
+    bodies = tx.bound(tx.words("__body"), cut)
     out = kept.select(*changes.columns, "__lead", F.posexplode(bodies).alias("chunk_index", "__part"))
     return out.select(*changes.columns, "chunk_index", F.concat("__lead", "__part").alias("content"))

@@ -39,12 +39,12 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     phrases = tx.query_phrases(query)
     if not phrases:
         return chunks.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("rank")).where(F.lit(False))
-    title, content = tx.tokens("title"), tx.tokens("content")
-    counted = chunks.select(
-        F.col("id").alias("doc_id"),
-        (F.size(title) + F.size(content)).alias("length"),
-        *[(phrase_count(title, p) + phrase_count(content, p)).alias(f"f{k}") for k, p in enumerate(phrases)],
-    )
+
+    def counts(own: Column) -> Column:
+        return F.array(F.size(own), *[phrase_count(own, p) for p in phrases])
+
+    both = chunks.select(F.col("id").alias("doc_id"), F.zip_with(tx.bound(tx.tokens("title"), counts), tx.bound(tx.tokens("content"), counts), lambda a, b: a + b).alias("n"))
+    counted = both.select("doc_id", F.col("n")[0].alias("length"), *[F.col("n")[k + 1].alias(f"f{k}") for k in range(len(phrases))])
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(phrases))])
     whole = stats.select(F.struct("*")).scalar()
     hits = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(phrases)))).withColumn("whole", whole)
