@@ -71,9 +71,11 @@ def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = slots[:-far], slots[far:]
                 own = (a >= 0) & (b >= 0)
                 a, b = a[own], b[own]
-                for x, y in ((a, b), (b, a)):
-                    for z in range(NONZERO):
-                        table += np.bincount(x * DIM + place[y, z], sign[y, z], SLOTS * DIM)
+                for low in range(0, len(a), 1_000_000):
+                    part = slice(low, low + 1_000_000)
+                    for x, y in ((a[part], b[part]), (b[part], a[part])):
+                        for z in range(NONZERO):
+                            table += np.bincount(x * DIM + place[y, z], sign[y, z], SLOTS * DIM)
     whole = table.astype(np.int64).reshape(-1, BLOCK * DIM)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole))), pa.array([x.tobytes() for x in whole], pa.binary())], ["block", "sums"])
 
@@ -118,7 +120,9 @@ def features(text: bytes, vectors: np.ndarray) -> np.ndarray:
     n = len(slots)
     if not n:
         return out
-    out[:DIM] = vectors[slots].mean(axis=0) * 4
+    # A text of more words than slots is summed by slot, so that its memory is bounded.
+    mean = np.bincount(slots, minlength=SLOTS) @ vectors / n if n > SLOTS else vectors[slots].mean(axis=0)
+    out[:DIM] = mean * 4
     share = np.bincount(KIND[np.frombuffer(text, np.uint8)], minlength=6) / len(text)
     lines = text.split(b"\n")
     distinct = len(np.unique(slots)) / n

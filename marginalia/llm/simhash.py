@@ -33,6 +33,7 @@ from .common import as_bytes, by_group, checkpointed
 BITS = 64
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 20
+SHINGLES_AT_ONCE = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -47,8 +48,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         starts = [0, *[e + 1 for e in ends[: len(ends) - shingle]]]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(whole[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes)
+    ones = np.zeros(BITS, np.int64)
+    for low in range(0, len(hashes), SHINGLES_AT_ONCE):
+        part = np.array(hashes[low : low + SHINGLES_AT_ONCE], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    majority = ones * 2 > len(hashes)
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
