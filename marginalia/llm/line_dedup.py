@@ -34,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_group, checkpointed
+from .common import as_bytes, by_group, checkpointed, free_names
 
 MIN_CHARS = 20
+#: Bits of the filters ahead of joins: 8 MB, whatever the input.
+BITMAP = 1 << 26
 BASE = 0xD1342543DE82EF95
 LENGTH = 0xA24BAED4963EE407
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -147,11 +149,45 @@ def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.groupBy(*content).agg(F.min("doc").alias("doc"), F.min_by("number", "doc").alias("number"))
 
 
+def _bitmap(keys: DataFrame):
+    """Broadcasts a bitmap of fixed size over the hashes of ``keys`` (key long): what isn't in it isn't among the keys.
+
+    It spares shuffles of rows that a join would drop; what it lets through wrongly, the join drops.
+    """
+    part, bit = (F.shiftrightunsigned(_spot(F.col("key")), 15), _spot(F.col("key")).bitwiseAND(32767))
+    rows = keys.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    bits = np.zeros((BITMAP >> 15, 4096), np.uint8)
+    for row in rows:
+        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _spot(key):
+    return F.xxhash64(key).bitwiseAND(BITMAP - 1)
+
+
+def _maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``df`` of which one of the columns may be among ``keys``."""
+    bitmap = _bitmap(keys)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for k in range(len(columns)):
+                spot = batch.column(len(names) + k).to_numpy()
+                hit |= (bitmap.value[spot >> 15, (spot & 32767) >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(hit)).select(names)
+
+    return df.select("*", *[_spot(F.col(c)).alias(f"spot{k}") for k, c in enumerate(columns)]).mapInArrow(run, df.schema)
+
+
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     """(doc, number) of distinct lines that have an earlier one within one edit."""
-    keyed = first.select("doc", "number", "h1", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("half"))
-    shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    partnered = keyed.join(shared, "half", "left_semi").select("doc", "number", "h1").distinct()
+    halves = F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key")
+    shared = checkpointed(first.select(halves).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    likely = _maybe_in(first.select("doc", "number", "h1", "k0", "k1", "k2", "k3"), shared, "k0", "k1", "k2", "k3")
+    partnered = checkpointed(likely.select("doc", "number", "h1", halves).join(shared, "key", "left_semi").select("doc", "number", "h1").distinct())
     wanted = partnered.groupBy("doc").agg(F.collect_list(F.struct("number", "h1")).alias("wanted"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +199,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc", "number", "line"])
 
-    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    named = _maybe_in(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text"), partnered.select(F.col("doc").alias("key")), "doc")
     lines = named.join(wanted, "doc").mapInArrow(pick, "doc long, number long, line string")
     lines = checkpointed(lines.dropDuplicates(["doc", "number"]))
     variants = lines.mapInArrow(_variants, "key long, place long, doc long, number long")
@@ -204,8 +240,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows.append(("\n".join(out), len(lines), len(lines) - len(out)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-    kept = kept.select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
-    joined = docs.join(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__doc"), "left")
-    new = joined.withColumn("__new", cleaned(F.col(text_col), F.col("__kept")))
-    columns = [F.col("__new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return new.select(*columns, *([F.col("__new.n_lines").alias("n_lines"), F.col("__new.n_dropped").alias("n_dropped")] if counts else []))
+    doc, own, result = free_names(docs, "doc", "kept", "new")
+    kept = kept.select(F.col("doc").alias(doc), F.col("kept").alias(own))
+    joined = docs.join(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc), "left")
+    new = joined.withColumn(result, cleaned(F.col(text_col), F.col(own)))
+    columns = [F.col(f"{result}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return new.select(*columns, *([F.col(f"{result}.n_lines").alias("n_lines"), F.col(f"{result}.n_dropped").alias("n_dropped")] if counts else []))
