@@ -17,8 +17,8 @@ SIZE, OVERLAP = 500, 50
 def plain_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows of the trimmed text; a blank one gives one empty chunk."""
     size, overlap = tx.clamp_window(size, overlap)
-    found = tx.windows(tx.trimmed(text), size, overlap)
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+    found = tx.bound(tx.trimmed(text), lambda t: tx.windows(t, size, overlap))
+    return tx.bound(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(""))).otherwise(f))
 
 
 def chunk_plain(df: DataFrame, text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
