@@ -105,7 +105,7 @@ class Rule(NamedTuple):
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, in the order of their priorities; some four hundred."""
+    """All rules, in the order of their priorities; some three hundred and sixty."""
     out = [Rule(100, label, tuple(w.encode() for w in phrase.split()), 1.0, _whole(phrase)) for phrase, label in BASE.items()]
     for priority, wording, keyword, confidence in WORDINGS:
         out += [Rule(priority, label, (keyword.encode(), own.encode()), confidence, _whole(wording.format(name))) for label, name, own in NAMES]

@@ -63,17 +63,17 @@ def tokens_of(text: bytes) -> list[bytes]:
 # ---- the model over bytes ----
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the texts, it and the LONGEST bytes before it in one number; and the text's number."""
+def grams(texts: list[bytes]) -> np.ndarray:
+    """For each byte of the texts, in order: it and the LONGEST bytes before it in one number."""
     data = np.frombuffer(PAD + PAD.join(texts), np.uint8)
+    n = len(data) - LONGEST
+    key = data[:n].astype(np.uint64)
+    for k in range(1, LONGEST + 1):
+        key <<= np.uint64(8)
+        key |= data[k : n + k]
     size = np.array([len(t) for t in texts])
-    key = np.zeros(len(data) - LONGEST, np.uint64)
-    for k in range(LONGEST + 1):
-        key |= data[LONGEST - k : len(data) - k].astype(np.uint64) << np.uint64(8 * k)
-    owner = np.repeat(np.arange(len(size)), size + LONGEST)[: len(key)]
-    start = np.cumsum(size + LONGEST) - (size + LONGEST)
-    own = np.arange(len(key)) - start[owner] < size[owner]
-    return key[own], owner[own]
+    own = np.repeat(np.tile([True, False], len(size)), np.column_stack([size, np.full(len(size), LONGEST)]).ravel())[:n]
+    return key[own]
 
 
 def pieces(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
@@ -143,7 +143,7 @@ class Learner:
 
     def learn(self, key: np.ndarray) -> None:
         self.n_bytes += len(key)
-        key = np.sort(key)
+        key.sort()
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[first, len(key)])
         key = key[first]
@@ -243,17 +243,24 @@ class Model:
         """log10 of the probability of each text."""
         out = np.zeros(len(texts))
         for ids, held, leads in pieces(enumerate(texts)):
-            key, owner = grams(held)
+            key = grams(held)
+            size = np.array([len(t) for t in held])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint16), size)
             if any(leads):
                 # The lead of a cut text has been scored with the piece before.
-                size = np.array([len(t) for t in held])
                 place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
                 key, owner = key[place >= np.array(leads)[owner]], owner[place >= np.array(leads)[owner]]
-            both = np.sort(key << np.uint64(16) | owner.astype(np.uint64))
-            key, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            each = np.repeat(self.log10(key[first]), np.diff(np.r_[first, len(key)]))
-            np.add.at(out, ids, np.bincount(owner, each, len(held)))
+            # One array is sorted, with the text's number in its last bits; the rest goes by parts.
+            key <<= np.uint64(16)
+            key |= owner
+            key.sort()
+            first = np.flatnonzero(np.r_[True, key[1:] >> np.uint64(16) != key[:-1] >> np.uint64(16)])
+            each = np.repeat(self.log10(key[first] >> np.uint64(16)).astype(np.float32), np.diff(np.r_[first, len(key)]))
+            sums = np.zeros(len(held))
+            for low in range(0, len(key), 8 * CHUNK):
+                part = slice(low, low + 8 * CHUNK)
+                sums += np.bincount((key[part] & np.uint64(0xFFFF)).astype(np.int64), each[part], len(held))
+            np.add.at(out, ids, sums)
         return out
 
 
@@ -261,7 +268,7 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     learner = Learner()
     texts = (x for batch in batches for x in enumerate(map(model_text, as_bytes(batch.column(0)))))
     for _, held, _ in pieces(texts):
-        learner.learn(grams(held)[0])
+        learner.learn(grams(held))
     if learner.n_bytes:
         for name, data in learner.parts():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "data"])
@@ -325,8 +332,7 @@ def _scored(model):
         count = np.zeros(answers.num_rows, np.int64)
         count[answers.column("place").to_numpy()] = answers.column("c").to_numpy()
         own = as_bytes(docs.column("text"))
-        words = sorted({w for text in own for w in tokens_of(text)})
-        number = {w: k for k, w in enumerate(words)}
+        number = {w: k for k, w in enumerate(sorted({w for text in own for w in tokens_of(text)}))}
         logs = np.log10(count + 0.5)
         rows = []
         for text in own:
@@ -334,6 +340,7 @@ def _scored(model):
             at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
             rows.append((len(tokens), int((count[at] > 0).sum()), float(logs[at].sum())))
         n_tokens, n_known, sums = zip(*rows, strict=True) if rows else ([], [], [])
+        del number
         texts = [model_text(t) for t in own]
         # The bucket's share of the vocabulary and of all training tokens goes with its first row. A known
         # token belongs to the first bucket that asked for it.

@@ -82,9 +82,6 @@ def test_language_model(spark):
 
 
 def trained(texts):
-    learner = lm_score.Learner()
-    for _, held, _ in lm_score.pieces(enumerate(map(lm_score.model_text, texts))):
-        learner.learn(lm_score.grams(held)[0])
     batches = list(lm_score._learned(iter([batch(texts)])))
     return lm_score.Model((r["name"], r["data"]) for b in lm_score._added(iter(sorted_parts(batches))) for r in b.to_pylist())
 
@@ -308,3 +305,10 @@ def test_pipeline_stages_bear_odd_rows(spark, sf):
 def test_folds(spark):
     rows = spark.range(50).select("id", fold_of(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_mixing_is_the_same_with_any_number_of_sources(spark, monkeypatch):
+    docs = documents(spark, [(i, f"t{i}") for i in range(100)])
+    few = sorted((r.doc_id, r.copy_no) for r in mixing.mixed(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted((r.doc_id, r.copy_no) for r in mixing.mixed(docs).collect()) == few
