@@ -6,9 +6,10 @@ source) of a uniform number hashed from its id and the seed, so that it depends
 nothing else and any executor computes it again alike. Copies are dealt over all
 partitions by a hash and sorted by it inside: a shuffle of the whole corpus.
 
-Sources are counted by partial aggregation; rates are joined on the source, and
-Spark's own size check decides whether they are broadcast; a source that holds a third of
-all rows is divided by the skew handling of adaptive joins.
+Sources are counted by partial aggregation. The rates, a row for each source, are broadcast
+if there are ``BROADCAST_SOURCES`` at most, so that only the copies are shuffled; with more
+sources they are joined by a shuffle on the source, in which the skew handling of adaptive joins divides a
+source that holds a third of all rows.
 
 Defined results: a null source is a source of its own; null ids are hashed as the
 text ``null``; repeated rows get equal numbers of copies; a source without target
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import free_names
 
 SEED = 42
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(doc_id: Column, seed: int = SEED) -> Column:
@@ -51,10 +53,11 @@ def source_rates(docs: DataFrame, key: Column, weights: dict[str | None, float]
     else:
         named = F.create_map(*[F.lit(x) for k, w in weights.items() for x in ("" if k is None else f"s{k}", float(w))])
         weighed = counts.withColumn("weight", F.coalesce(named[F.col("mix_key")], F.lit(0.0)))
-    whole = weighed.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight")).first()
+    whole = weighed.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.count("*").alias("sources")).first()
     rate = F.col("weight") / F.lit(whole.weight or 1.0) * F.lit(float((whole.rows or 0) * epochs)) / F.col("rows")
     # Beyond rate + 12 deviations + 30 less than 1e-15 of the distribution is left.
-    return weighed.select("mix_key", rate.alias("rate")).withColumn("most", F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
+    rates = weighed.select("mix_key", rate.alias("rate")).withColumn("most", F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
+    return F.broadcast(rates) if whole.sources <= BROADCAST_SOURCES else rates
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -65,7 +68,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit(""))
     names = [c for c in docs.columns if c != "copy_no"]
     own, rate, most, n, place = free_names(docs, "mix_key", "rate", "most", "copies", "place")
-    rates = source_rates(docs, key, weights, epochs).toDF(own, rate, most)
+    rates = source_rates(docs, key, weights, epochs)
+    rates = rates.withColumnsRenamed({"mix_key": own, "rate": rate, "most": most})
     drawn = docs.withColumn(own, key).join(rates, own)
     copies = poisson_quantile(uniform(F.col(id_col), seed), F.col(rate), F.col(most))
     counted = drawn.withColumn(n, copies).where(F.col(n) > 0)
