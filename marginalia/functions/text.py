@@ -150,7 +150,9 @@ MARKED, PLAIN = _without_marks()
 
 def tokens(text: Column | str) -> Column:
     """Runs of letters and digits, in lower case and without diacritics."""
-    plain = F.translate(F.lower(_col(text)), MARKED, PLAIN)
+    low = F.lower(_col(text))
+    # Most texts of some languages have nothing to take away.
+    plain = F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, MARKED, PLAIN)).otherwise(low)
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 

@@ -22,10 +22,18 @@ class Library:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows dealt out by a key if the scan has fewer splits than there are cores; else as they are.
+
+        A file that Spark can't split would keep one core busy. A table of many splits isn't shuffled.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def documents(self) -> DataFrame:
         number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long")
-        return self.table("documents").where("doc_id IS NOT NULL AND source IS NOT NULL").withColumn("collection_id", F.coalesce(number, F.lit(-1)))
+        return self.dealt(self.table("documents"), "doc_id").where("doc_id IS NOT NULL AND source IS NOT NULL").withColumn("collection_id", F.coalesce(number, F.lit(-1)))
 
     @cached_property
     def collections(self) -> DataFrame:
