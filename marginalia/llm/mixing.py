@@ -19,6 +19,8 @@ as they are, so ``copy_no`` is the one name added (an input column of that name
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,27 @@ def uniform(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def log_factorial(k: Column) -> Column:
+    """ln k! by Stirling's series, for k of 100 or more to the last digits of a double."""
+    return k * F.log(k) - k + F.log(2 * math.pi * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k)
+
+
 def poisson_quantile(u: Column, rate: Column, most: Column) -> Column:
-    """Smallest k with u < P(X <= k); a mass is the one before times rate / k."""
-    start = F.struct(F.exp(-rate).alias("mass"), F.exp(-rate).alias("below"), F.lit(0).alias("k"))
+    """Smallest k with u < P(X <= k); a mass is the one before times rate / k.
+
+    A large rate starts 12 deviations + 30 below it, with a mass taken in logs: exp(-rate) loses its digits beyond a rate of
+    about 708 and is 0 beyond 745, and less than 1e-30 of the distribution lies below.
+    """
+    far = rate - 12 * F.sqrt(rate) - 30
+    least = F.when(far >= 100, F.floor(far)).otherwise(F.lit(0)).cast("int")
+    mass = F.when(far >= 100, F.exp(least * F.log(rate) - rate - log_factorial(least.cast("double")))).otherwise(F.exp(-rate))
+    start = F.struct(mass.alias("mass"), mass.alias("below"), least.alias("k"))
 
     def step(s: Column, k: Column) -> Column:
         mass = s["mass"] * rate / k
         return F.struct(mass.alias("mass"), (s["below"] + mass).alias("below"), (s["k"] + (u >= s["below"]).cast("int")).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(least + 1, most), start, step, lambda s: s["k"])
 
 
 def source_rates(docs: DataFrame, key: Column, weights: dict[str | None, float] | None, epochs: float) -> DataFrame:

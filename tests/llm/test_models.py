@@ -272,6 +272,21 @@ def test_mixing(spark):
     assert mixing.mixed(documents(spark)).count() > 0
 
 
+@pytest.mark.parametrize("rate", [0.5, 150.0, 400.0, 700.0, 1_000.0, 100_000.0])
+def test_large_rates_are_drawn(spark, rate):
+    n = 200
+    us = [(k + 0.5) / n for k in range(n)]
+    rows = spark.createDataFrame([(u, rate, math.ceil(rate + 12 * math.sqrt(rate) + 30)) for u in us], "u double, rate double, most int")
+    found = {r.u: r.k for r in rows.select("u", mixing.poisson_quantile(F.col("u"), F.col("rate"), F.col("most")).alias("k")).collect()}
+    below, k, want = 0.0, 0, {}
+    for u in us:
+        while u >= below:
+            below += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            k += 1
+        want[u] = k - 1
+    assert found == want
+
+
 def test_mixing_runs_no_python(spark):
     plan = mixing.mixed(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
