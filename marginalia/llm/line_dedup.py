@@ -2,7 +2,8 @@
 
 A line is a duplicate if an earlier one, by (doc_id, number in the document), is equal
 or within one edit (a character inserted, deleted or replaced). Lines shorter than
-``MIN_CHARS`` are left alone: headings, bullets and brackets repeat rightly.
+``MIN_CHARS`` are left alone, or with ``short`` their exact repeats go too, if they aren't empty: within
+so few characters an edit makes another word.
 
 1. Equal lines are folded first, by partial aggregation over a 128-bit hash, to the
    place at which they first stand. A line that a third of all documents share costs a row
@@ -63,20 +64,20 @@ def half_keys(line: str) -> list[int]:
     return [signed(xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), 2 * q + side)) for q in ((n - 1) // 2, n // 2) for side, part in enumerate((line[:q], line[n - q :]))]
 
 
-def _lines(min_chars: int):
+def _lines(min_chars: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 seen = set()
                 for number, raw in enumerate(text.split(b"\n")):
-                    if len(raw) < min_chars or raw in seen:
+                    if len(raw) < least or raw in seen:
                         continue
                     line = raw.decode("utf-8", "replace")
-                    if len(line) < min_chars:
+                    if len(line) < least:
                         continue
                     seen.add(raw)
-                    rows.append((NO_ID if doc_id is None else doc_id, number, line_hash(raw), signed(xxhash.xxh64_intdigest(raw, 3)), *half_keys(line)))
+                    rows.append((NO_ID if doc_id is None else doc_id, number, line_hash(raw), signed(xxhash.xxh64_intdigest(raw, 3)), *(half_keys(line) if len(line) >= min_chars else [None] * 4)))
             columns = zip(*rows, strict=True) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "number", "h1", "h2", "k0", "k1", "k2", "k3"])
 
@@ -141,9 +142,9 @@ def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], names)
 
 
-def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Each distinct line of ``docs`` (doc_id, text) with its earliest place: doc, number, hashes and half keys."""
-    lines = docs.mapInArrow(_lines(min_chars), "doc long, number long, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
+def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """Each distinct line of ``docs`` (doc_id, text) with its earliest place: doc, number, hashes and half keys (null for a short line)."""
+    lines = docs.mapInArrow(_lines(min_chars, 1 if short else min_chars), "doc long, number long, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
     content = ["h1", "h2", "k0", "k1", "k2", "k3"]
     # A document has a line once here, so the smallest id tells the number.
     return lines.groupBy(*content).agg(F.min("doc").alias("doc"), F.min_by("number", "doc").alias("number"))
@@ -209,16 +210,17 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     return pairs.join(lines, ["doc", "number"]).join(of, ["of_doc", "of_number"]).where(close).select("doc", "number").distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``doc`` and ``kept``, the hashes of the lines that stay in that document."""
-    first = checkpointed(first_lines(docs, min_chars))
-    keepers = first.join(near_lines(docs, first), ["doc", "number"], "left_anti")
+    first = checkpointed(first_lines(docs, min_chars, short))
+    keepers = first.join(near_lines(docs, first.where("k0 is not null")), ["doc", "number"], "left_anti")
     return keepers.groupBy("doc").agg(F.collect_list("h1").alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
-    """``docs`` with the duplicate lines taken out of its text; ``counts`` adds n_lines and n_dropped."""
-    kept = kept_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_chars)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False, short: bool = False) -> DataFrame:
+    """``docs`` with the duplicate lines taken out of its text; ``counts`` adds n_lines and n_dropped; ``short`` folds repeats of short lines."""
+    least = 1 if short else min_chars
+    kept = kept_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_chars, short)
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def cleaned(texts: pd.Series, keeps: pd.Series) -> pd.DataFrame:
@@ -231,7 +233,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             left = set() if keep is None else set(keep.tolist())
             out = []
             for line in lines:
-                if len(line) >= min_chars:
+                if len(line) >= least:
                     h = line_hash(line.encode("utf-8", "replace"))
                     if h not in left:
                         continue

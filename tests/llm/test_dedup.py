@@ -8,9 +8,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marginalia.llm import exact_dedup, line_dedup, simhash
 
-from .fixtures import TEXTS, documents
+from .fixtures import SAME, TEXTS, documents
 from .test_scans import lower
 
 
@@ -199,6 +200,12 @@ def test_lines(spark, seed):
     assert line_dedup.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_stage_folds_repeats_of_short_lines(spark):
+    texts = [(1, "Les.\n\nfirst\nLes."), (2, "Les.\nLas.\n\nsecond"), (3, f"first\n{SAME}"), (4, f"{SAME}X\nend"), (5, None)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, documents(spark, texts), "").collect()}
+    assert out == {1: "Les.\n\nfirst", 2: "Las.\n\nsecond", 3: SAME, 4: "end", 5: None}
+
+
 def test_deletion_keys_are_those_of_shorter_lines():
     line = "abracadabra und 𝔘nicode é"
     keys = line_dedup.deletion_keys(line)
