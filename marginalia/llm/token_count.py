@@ -6,22 +6,29 @@ proportional to 1 / (r + 1). A pre-token is a run of characters other than ASCII
 space, led by the word mark. Its segmentation is the most probable one (of equals, that of
 fewer tokens); a character that no piece covers falls back to its UTF-8 bytes, one token each.
 
-Distinct pre-tokens are inserted in a trie. The forward score of a node, the best
-log-probability of the characters up to it, depends on these alone, so it is computed
-once for all pre-tokens that share the prefix; the node that ends a pre-token holds its
-token count. A document's count is the sum over its pre-tokens. Each task has a
-trie of its own, begun anew at a bound of nodes (a matter of memory, not of results),
-so nothing is shuffled.
-
-Defined results: null and empty texts have no tokens; repeated rows repeat their result;
-an empty table gives an empty result; other columns are never read.
+Distinct pre-tokens are sorted and inserted in a trie, which is laid out by depth: a row
+opens new nodes below the prefix it shares with the row before. The forward score of a node,
+the best log-probability of the characters up to it, depends on these alone, so it is
+computed once for all pre-tokens that share the prefix, all nodes of a depth at a time;
+the node that ends a pre-token holds its token count. Beyond ``DEPTH`` characters, where
+prefixes are hardly shared, a pre-token goes on from its node with the scores of the last
+few characters alone, so that one long word takes no more memory than its characters. A
+document's count is the sum over its pre-tokens. Each task keeps the counts of the words it
+has met, begun anew at a bound of characters (a matter of memory, not of results), so
+nothing is shuffled.
+
+Defined results: null and empty texts have no tokens; a very long text is read in slices that end at
+white space; repeated rows repeat their result; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +37,28 @@ from .common import as_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
-MOST_NODES = 300_000
+DEPTH = 48
+#: Words of a trie, bytes of text that are looked at together, and characters of known words that a task holds.
+ROWS = 1 << 15
+SLICE = 4 << 20
+MOST_CHARS = 6 << 20
+SLOT_BITS = 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = [np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)]
+_SPACE = re.compile(rb"\s")
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    x = (codes.astype(np.uint64) + np.uint64(1)) * _SPREAD[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def text_hash(piece: str) -> int:
+    """Polynomial in the characters, modulo 2**64."""
+    h = 0
+    for x in mixed(np.array([ord(c) for c in piece], np.uint64)).tolist():
+        h = (h * int(BASE) + x) & 0xFFFFFFFFFFFFFFFF
+    return h
 
 
 class UnigramModel:
@@ -40,6 +68,26 @@ class UnigramModel:
         self.longest = max(map(len, pieces), default=1)
         #: Of a byte that stands for itself: less probable than any piece.
         self.byte_score = min(self.scores.values(), default=0.0) - 10.0
+        self.lengths = sorted({len(p) for p in self.scores if p})
+        # Two tables of slots by hash; a piece whose slot is taken in the first goes to the second.
+        self.tables = [(np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -np.inf)) for _ in _SPREAD]
+        for p, score in self.scores.items():
+            h = np.uint64(text_hash(p))
+            for spread, (hashes, found) in zip(_SPREAD, self.tables, strict=True):
+                at = int(np.multiply(h, spread) >> np.uint64(64 - SLOT_BITS)) if p else 0
+                if found[at] == -np.inf:
+                    hashes[at], found[at] = h, score
+                    break
+            else:
+                raise ValueError(f"no slot for {p!r}")
+
+    def found(self, h: np.ndarray) -> np.ndarray:
+        """Score of the piece of each hash; minus infinity where there is none."""
+        out = np.full(len(h), -np.inf)
+        for spread, (hashes, scores) in zip(_SPREAD, self.tables, strict=True):
+            at = (h * spread) >> np.uint64(64 - SLOT_BITS)
+            np.maximum(out, np.where(hashes[at] == h, scores[at], -np.inf), out=out)
+        return out
 
 
 def load_model(path: str = VOCABULARY) -> UnigramModel:
@@ -52,50 +100,107 @@ def load_model(path: str = VOCABULARY) -> UnigramModel:
 
 
 class Trie:
-    """A node is (children, forward score, tokens of the best segmentation)."""
+    """Trie of some distinct words, level by level; ``counts`` has the tokens of each word, in the order given."""
 
-    def __init__(self, model: UnigramModel):
+    def __init__(self, model: UnigramModel, words: list[str]):
         self.model = model
-        self.root: tuple[dict, float, int] = ({}, 0.0, 0)
         self.nodes = 1
-        self.terminals: dict[str, int] = {}
-
-    def count(self, word: str) -> int:
-        """Tokens of a pre-token; inserts it if it is new."""
-        if (known := self.terminals.get(word)) is not None:
-            return known
-        path = [self.root]
-        node = self.root
-        for end, char in enumerate(word, 1):
-            child = node[0].get(char)
-            if child is None:
-                child = node[0][char] = self._forward(word, end, path)
-                self.nodes += 1
-            path.append(child)
-            node = child
-        self.terminals[word] = node[2]
-        return node[2]
-
-    def _forward(self, word: str, end: int, path: list[tuple[dict, float, int]]) -> tuple[dict, float, int]:
-        scores = self.model.scores
-        best, tokens = None, 0
-        for begin in range(max(0, end - self.model.longest), end):
-            score = scores.get(word[begin:end])
-            if score is not None:
-                score += path[begin][1]
-                n = path[begin][2] + 1
-                if best is None or score > best or (score == best and n < tokens):
-                    best, tokens = score, n
-        if best is None or word[end - 1] not in scores:
-            n = len(word[end - 1].encode("utf-8", "replace"))
-            score = path[end - 1][1] + n * self.model.byte_score
-            if best is None or score > best:
-                best, tokens = score, path[end - 1][2] + n
-        return {}, best, tokens
-
-    def clear_if_full(self) -> None:
-        if self.nodes > MOST_NODES:
-            self.root, self.nodes, self.terminals = ({}, 0.0, 0), 1, {}
+        order = sorted(range(len(words)), key=words.__getitem__)
+        size = np.array([min(len(words[k]), DEPTH) for k in order])
+        width = int(size.max(initial=0))
+        codes = np.array([words[k][:DEPTH].ljust(width, "\0") for k in order], f"U{max(width, 1)}").view(np.uint32).reshape(len(words), -1)
+        shared = np.zeros(len(words), np.int64)
+        if len(words) > 1:
+            differ = codes[1:] != codes[:-1]
+            shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+            shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
+        # By depth: prefix hash, forward score and tokens of each row's node.
+        hashes, scores, tokens = [np.zeros(len(words), np.uint64)], [np.zeros(len(words))], [np.zeros(len(words), np.int64)]
+        for depth in range(1, width + 1):
+            h, s, t = np.zeros(len(words), np.uint64), np.zeros(len(words)), np.zeros(len(words), np.int64)
+            new = np.flatnonzero((shared < depth) & (size >= depth))
+            self.nodes += len(new)
+            h[new] = hashes[-1][new] * BASE + mixed(codes[new, depth - 1])
+            s[new], t[new] = self._forward(depth, new, codes[new, depth - 1], h[new], hashes, scores, tokens)
+            # Rows that share the node have it from the row that opened it.
+            opened = np.zeros(len(words), np.int64)
+            opened[new] = new
+            opened = np.maximum.accumulate(opened)
+            hashes.append(h[opened])
+            scores.append(s[opened])
+            tokens.append(t[opened])
+        self.counts = [0] * len(words)
+        for row, k in enumerate(order):
+            if len(words[k]) <= DEPTH:
+                self.counts[k] = int(tokens[size[row]][row])
+            else:
+                low = max(0, DEPTH - model.longest)
+                self.counts[k] = self._onward(words[k], [(float(scores[d][row]), int(tokens[d][row])) for d in range(low, DEPTH + 1)])
+
+    def _forward(self, depth, rows, last, own, hashes, scores, tokens):
+        """Forward score and tokens of new nodes of one depth: the best piece that ends there."""
+        model = self.model
+        best, n = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+        for length in model.lengths:
+            if length > depth:
+                break
+            power = np.uint64(pow(int(BASE), length, 1 << 64))
+            piece = model.found(own - hashes[depth - length][rows] * power)
+            if length == 1:
+                bare = piece == -np.inf
+            hit = np.flatnonzero(piece > -np.inf)
+            at = rows[hit]
+            score, count = piece[hit] + scores[depth - length][at], tokens[depth - length][at] + 1
+            better = (score > best[hit]) | ((score == best[hit]) & (count < n[hit]))
+            best[hit[better]], n[hit[better]] = score[better], count[better]
+        if 1 not in model.lengths:
+            bare = np.ones(len(rows), bool)
+        size = 1 + (last >= 0x80) + (last >= 0x800) + (last >= 0x10000)
+        score = np.where(bare, scores[depth - 1][rows] + size * model.byte_score, -np.inf)
+        better = score > best
+        return np.where(better, score, best), np.where(better, tokens[depth - 1][rows] + size, n)
+
+    def _onward(self, word: str, last: list[tuple[float, int]]) -> int:
+        """Tokens of a word whose first DEPTH characters have been scored; ``last`` has the scores up to there."""
+        scores, longest = self.model.scores, self.model.longest
+        for end in range(DEPTH + 1, len(word) + 1):
+            best, tokens = -np.inf, 0
+            for length in range(min(longest, len(last)), 0, -1):
+                score = scores.get(word[end - length : end])
+                if score is not None:
+                    before = last[-length]
+                    score += before[0]
+                    if score > best or (score == best and before[1] + 1 < tokens):
+                        best, tokens = score, before[1] + 1
+            if word[end - 1] not in scores:
+                n = len(word[end - 1].encode("utf-8", "replace"))
+                if last[-1][0] + n * self.model.byte_score > best:
+                    best, tokens = last[-1][0] + n * self.model.byte_score, last[-1][1] + n
+            last.append((best, tokens))
+            if len(last) > longest:
+                del last[0]
+        return last[-1][1]
+
+
+class Counter:
+    """Token counts of the words that a task has met."""
+
+    def __init__(self, model: UnigramModel):
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.chars = 0
+
+    def meet(self, words: set[str]) -> None:
+        if self.chars > MOST_CHARS:
+            self.known, self.chars = {}, 0
+        new = sorted(words - self.known.keys())
+        for low in range(0, len(new), ROWS):
+            part = new[low : low + ROWS]
+            self.known.update(zip(part, Trie(self.model, part).counts, strict=True))
+        self.chars += sum(map(len, new))
+
+    def total(self, words: list[str]) -> int:
+        return sum(map(self.known.__getitem__, words))
 
 
 def pre_tokens(text: bytes) -> list[str]:
@@ -103,6 +208,24 @@ def pre_tokens(text: bytes) -> list[str]:
     return [MARK + w for w in b"\n".join(text.split()).decode("utf-8", "replace").split("\n") if w]
 
 
+def slices(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """Numbers and texts in groups of about SLICE bytes; a longer text is cut at white space."""
+    held, n = [], 0
+    for number, text in enumerate(texts):
+        low = 0
+        while low < len(text):
+            cut = _SPACE.search(text, low + SLICE) if len(text) - low > SLICE else None
+            high = cut.start() if cut else len(text)
+            held.append((number, text[low:high]))
+            n += high - low
+            low = high
+            if n >= SLICE:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
 def token_counts(docs: DataFrame, model_path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_pretokens, n_bytes`` for each row."""
     spark: SparkSession = docs.sparkSession
@@ -110,15 +233,16 @@ def token_counts(docs: DataFrame, model_path: str = VOCABULARY, id_col: str = "d
     schema = "doc_id long, n_tokens long, n_pretokens long, n_bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(model.value)
+        counter = Counter(model.value)
         for batch in batches:
-            tokens, words, size = [], [], []
-            for text in as_bytes(batch.column(1)):
-                own = pre_tokens(text)
-                tokens.append(sum(map(trie.count, own)))
-                words.append(len(own))
-                size.append(len(text))
-                trie.clear_if_full()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (tokens, words, size)]], ["doc_id", "n_tokens", "n_pretokens", "n_bytes"])
+            texts = as_bytes(batch.column(1))
+            tokens, words = [0] * len(texts), [0] * len(texts)
+            for group in slices(texts):
+                own = [(number, pre_tokens(text)) for number, text in group]
+                counter.meet(set().union(*(w for _, w in own)))
+                for number, w in own:
+                    tokens[number] += counter.total(w)
+                    words[number] += len(w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (tokens, words, [len(t) for t in texts])]], ["doc_id", "n_tokens", "n_pretokens", "n_bytes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -152,13 +152,48 @@ def test_token_counts(spark):
 
 def test_trie_shares_prefixes_and_starts_anew(monkeypatch):
     model = token_count.UnigramModel(["a", "b", "ab", "aba", "c"])
-    trie = token_count.Trie(model)
     words = ["aba", "abab", "abc", "aé", "", "ababab"]
     want = [plain_count(model, w) for w in words]
-    assert [trie.count(w) for w in words] == want and trie.nodes == 1 + len({w[:k] for w in words for k in range(1, len(w) + 1)})
-    monkeypatch.setattr(token_count, "MOST_NODES", 1)
-    trie.clear_if_full()
-    assert trie.nodes == 1 and [trie.count(w) for w in words] == want
+    trie = token_count.Trie(model, words)
+    assert trie.counts == want and trie.nodes == 1 + len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    monkeypatch.setattr(token_count, "MOST_CHARS", 1)
+    monkeypatch.setattr(token_count, "ROWS", 2)
+    counter = token_count.Counter(model)
+    for part in (words, words[:2], words):
+        counter.meet(set(part))
+        assert [counter.known[w] for w in part] == [plain_count(model, w) for w in part]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_trie_of_random_words(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(token_count, "DEPTH", rng.choice([1, 3, 8, 48]))
+    letters = "abé𝔘\0"
+    model = token_count.UnigramModel(["".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(30)])
+    words = list({"".join(rng.choice(letters + "x") for _ in range(rng.randrange(0, 70))) for _ in range(60)})
+    assert token_count.Trie(model, words).counts == [plain_count(model, w) for w in words]
+
+
+def test_one_very_long_word_and_sliced_texts(spark, monkeypatch):
+    import tracemalloc
+
+    model = token_count.load_model()
+    word = token_count.MARK + "internationalisation" * 5_000
+    assert token_count.Trie(model, [word[:3_000]]).counts == [plain_count(model, word[:3_000])]
+    tracemalloc.start()
+    token_count.Trie(model, [word])
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(word)
+    tracemalloc.stop()
+    whole = by_id(token_count.token_counts(documents(spark)))
+    texts = [(t or "").encode() for _, t in TEXTS]
+    monkeypatch.setattr(token_count, "SLICE", 1_000)
+    counter, found = token_count.Counter(model), [0] * len(texts)
+    for group in token_count.slices(texts):
+        for number, text in group:
+            own = token_count.pre_tokens(text)
+            counter.meet(set(own))
+            found[number] += counter.total(own)
+    assert found == [whole[i].n_tokens for i, _ in TEXTS]
 
 
 def test_trie_agrees_with_a_public_unigram_model():
@@ -166,19 +201,18 @@ def test_trie_agrees_with_a_public_unigram_model():
 
     model = token_count.load_model()
     other = Tokenizer(models.Unigram([("<unk>", -1e9), *model.scores.items()], 0, False))
-    trie = token_count.Trie(model)
-    for word in "▁hello ▁thntblere ▁counterrevolutionary ▁Straße ▁naïve ▁internationalisation ▁x".split():
+    words = "▁hello ▁thntblere ▁counterrevolutionary ▁Straße ▁naïve ▁internationalisation ▁x".split()
+    for word, n in zip(words, token_count.Trie(model, words).counts, strict=True):
         # Equal up to ties, which both break in their own way.
         own = other.encode(word).tokens
-        assert trie.count(word) == len(own) or sum(model.scores[t] for t in own) == pytest.approx(trie_score(trie, word), abs=1e-9)
+        assert n == len(own) or sum(model.scores[t] for t in own) == pytest.approx(plain_score(model, word), abs=1e-9)
 
 
-def trie_score(trie, word):
-    trie.count(word)
-    node = trie.root
-    for c in word:
-        node = node[0][c]
-    return node[1]
+def plain_score(model, word):
+    best = [0.0]
+    for end in range(1, len(word) + 1):
+        best.append(max(best[b] + model.scores[word[b:end]] for b in range(end) if word[b:end] in model.scores))
+    return best[-1]
 
 
 # ---- decontamination ----
