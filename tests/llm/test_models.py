@@ -66,34 +66,131 @@ def plain_tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 
 
+def plain_model(rows):
+    """log10 of the probability of any text, by a model that reads byte after byte; rows: (text, held out)."""
+    orders, n_orders = lm_score.ORDERS, len(lm_score.ORDERS)
+    made = [(lm_score.model_text((t or "").encode()), out) for t, out in rows]
+    counts = {}
+    weights = np.full((8, lm_score.GATES, n_orders), 0.3)
+    refined = np.zeros((2, 8, lm_score.GATES, lm_score.STEPS))
+
+    def predicted(text):
+        """Bit's place, bit, log odds, gate, and the counts' keys."""
+        data = b"\n" * 5 + text
+        for i in range(5, len(data)):
+            bits = f"{data[i]:08b}"
+            for k in range(8):
+                x, gate, keys = [], 0, [(data[i - o : i], bits[:k]) for o in orders]
+                for o, key in enumerate(keys):
+                    zeros, ones = counts.get(key, (0, 0))
+                    x.append(math.log((ones + 0.4) / (zeros + 0.4)))
+                    if zeros + ones:
+                        gate = 1 + 2 * o + (zeros + ones >= lm_score.MANY)
+                yield k, int(bits[k]), np.array(x), gate, keys
+
+    def cell(z):
+        return int(np.rint((z + 12) * (lm_score.STEPS - 1) / 24))
+
+    for k in range(lm_score.SLICES):
+        own = [t for t, out in made if lm_score.class_of(t, out) == k]
+        gradient, second, seen = np.zeros_like(weights), np.zeros((*weights.shape, n_orders)), np.zeros_like(refined)
+        for text in own if k else []:
+            for bit, one, x, gate, _ in predicted(text):
+                z = np.clip(weights[bit, gate] @ x, -12, 12)
+                p = 1 / (1 + math.exp(-z))
+                gradient[bit, gate] += (one - p) * x
+                second[bit, gate] += p * (1 - p) * np.outer(x, x)
+                seen[:, bit, gate, cell(z)] += 1, one
+        for bit in range(8):
+            for gate in range(lm_score.GATES):
+                weights[bit, gate] += np.clip(np.linalg.solve(second[bit, gate] + lm_score.RIDGE * np.eye(n_orders), gradient[bit, gate]), -0.5, 0.5)
+        refined += seen
+        for text in own:
+            for _, one, _, _, keys in list(predicted(text)):
+                for key in keys:
+                    zeros, ones = counts.get(key, (0, 0))
+                    counts[key] = zeros + 1 - one, ones + one
+
+    def score(text):
+        total = 0.0
+        for bit, one, x, gate, _ in predicted(lm_score.model_text((text or "").encode())):
+            z = np.clip(weights[bit, gate] @ x, -12, 12)
+            centre = 1 / (1 + math.exp(12 - 24 * cell(z) / (lm_score.STEPS - 1)))
+            ones, n = refined[1, bit, gate, cell(z)], refined[0, bit, gate, cell(z)]
+            p = (1 / (1 + math.exp(-z)) + (ones + lm_score.PRIOR * centre) / (n + lm_score.PRIOR)) / 2
+            total += math.log10(p if one else 1 - p)
+        return total
+
+    return score
+
+
+SHORT = [(i, t) for i, t in TEXTS if len(t or "") < 1_000]
+
+
 def test_language_model(spark):
-    found = lm_score.lm_scores(documents(spark), bucket_bytes=20_000).collect()
-    counts = Counter(w for i, t in TEXTS if not held_out(i, 5) for w in plain_tokens(t))
+    found = lm_score.lm_scores(documents(spark, SHORT), bucket_bytes=500).collect()
+    counts = Counter(w for i, t in SHORT if not held_out(i, 5) for w in plain_tokens(t))
     n, v = sum(counts.values()), len(counts)
-    texts = dict(TEXTS)
-    assert len(found) == len(TEXTS)
+    texts, plain = dict(SHORT), plain_model([(t, held_out(i, 5)) for i, t in SHORT])
+    assert len(found) == len(SHORT)
     for r in found:
         words = plain_tokens(texts[r.doc_id])
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
         assert r.base_score == pytest.approx(base, rel=1e-9)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words), sum(counts[w] > 0 for w in words), n, held_out(r.doc_id, 5))
-        assert r.score < 0
+        assert r.score == pytest.approx(plain(texts[r.doc_id]), rel=1e-9)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / len(lm_score.model_text((texts[r.doc_id] or "").encode())))
     assert lm_score.lm_scores(documents(spark, [])).count() == 0
 
 
-def trained(texts):
-    batches = list(lm_score._learned(iter([batch(texts)])))
-    return lm_score.Model((r["name"], r["data"]) for b in lm_score._added(iter(sorted_parts(batches))) for r in b.to_pylist())
+def by_row(df):
+    return sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in df.collect())
+
+
+def test_scores_do_not_depend_on_the_split(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
+    want = by_row(lm_score.lm_scores(docs.repartition(1)))
+    for partitions in (3, 8):
+        found = by_row(lm_score.lm_scores(docs.repartition(partitions), bucket_bytes=60_000))
+        assert [x[:3] for x in found] == [x[:3] for x in want]
+        assert np.allclose([x[3:] for x in found], [x[3:] for x in want], rtol=1e-9, atol=0)
+
+
+def test_without_training_documents(spark):
+    out = [k for k in range(60) if held_out(k, 5)][:3]
+    texts = [(k, "ab cd" * k) for k in out]
+    for r in lm_score.lm_scores(documents(spark, texts)).collect():
+        assert r.score == pytest.approx(-8 * math.log10(2) * len(lm_score.model_text(dict(texts)[r.doc_id].encode())))
+        assert (r.train_tokens, r.n_known) == (0, 0)
+
 
+def trained(texts, known=lm_score.SLICES):
+    """Model and the counted sequences of some training texts, without Spark."""
+    held, n = [], []
+    for text in map(lm_score.model_text, texts):
+        own = lm_score.grams([text])
+        held.append(own)
+        n.append(np.eye(lm_score.SLICES)[np.full(len(own), lm_score.class_of(text, False))])
+    keys, back = np.unique(np.concatenate(held), return_inverse=True)
+    counts = np.array([np.bincount(back, c, len(keys)) for c in np.concatenate(n).T]).astype(np.int64)
+    short = keys & np.uint64(0xFFFFFF)
+    order = np.argsort(short, kind="stable")
 
-def batch(texts):
-    import pyarrow as pa
+    def below(k):
+        own = lm_score.runs(short[order], counts[:k].sum(axis=0)[order])
+        return own[0][own[1] > 0], own[1][own[1] > 0]
 
-    return pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts])], ["text"])
+    model = lm_score.Model()
+    for k in range(1, lm_score.SLICES):
+        model.moved(model.errors(lm_score.Sequences(keys, counts[:k].sum(axis=0), below(k)), counts[k].astype(float)))
+    return model, keys, counts.sum(axis=0), below(lm_score.SLICES)
 
 
-def sorted_parts(batches):
-    return sorted(batches, key=lambda b: b.column("name")[0].as_py())
+def asked_of(trained_model, more):
+    """log10 of each of some sequences under a trained model."""
+    model, keys, counts, short = trained_model
+    whole, back = np.unique(np.r_[keys, more], return_inverse=True)
+    return model.log10(lm_score.Sequences(whole, np.bincount(back[: len(keys)], counts, len(whole)).astype(np.int64), short))[back[len(keys) :]]
 
 
 def test_model_is_a_distribution_over_the_next_byte():
@@ -102,27 +199,29 @@ def test_model_is_a_distribution_over_the_next_byte():
     model = trained(texts)
     for context in (0, 0x6162632061, 0x2061626361, 0xFFFFFFFFFF):
         keys = np.array([context << 8 | b for b in range(256)], np.uint64)
-        assert (10 ** model.log10(keys)).sum() == pytest.approx(1, abs=1e-5)
-    seen, odd = model.scores([lm_score.model_text(texts[0]), lm_score.model_text(b"qqq zzz www kkk")])
-    assert seen / len(texts[0]) > odd / 16
-    fresh = lm_score.Model(iter(()))
-    assert fresh.scores([b"ab\n"])[0] == pytest.approx(-24 * math.log10(2))
+        assert (10 ** asked_of(model, keys)).sum() == pytest.approx(1, abs=1e-9)
+    seen, odd = (asked_of(model, lm_score.grams([lm_score.model_text(t)])).mean() for t in (texts[0], b"qqq zzz www kkk"))
+    assert seen > odd
 
 
 def test_cut_texts_score_like_whole_ones(monkeypatch):
-    text = lm_score.model_text(b" ".join(b"word%d" % (k % 50) for k in range(400)))
-    model = trained([text])
-    whole = model.scores([text, b"x\n"])
+    texts = [lm_score.model_text(b" ".join(b"word%d" % (k % 50) for k in range(400))), b"x\n"]
+    keys = np.unique(lm_score.grams(texts))
+    values = -np.sqrt(np.arange(1.0, len(keys) + 1))
+    whole = lm_score.piecewise(enumerate(texts), 2, keys, values)
+    want = [values[np.searchsorted(keys, lm_score.grams([t]))].sum() for t in texts]
+    assert np.allclose(whole, want, rtol=1e-12)
     monkeypatch.setattr(lm_score, "PIECE", 100)
-    assert np.allclose(model.scores([text, b"x\n"]), whole, rtol=1e-9)
+    assert np.allclose(lm_score.piecewise(enumerate(texts), 2, keys, values), want, rtol=1e-12)
 
 
-def test_online_learning_lowers_the_cost():
+def test_learning_lowers_the_cost():
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(200)).encode() for _ in range(40)]
-    short, long = trained(texts[:2]), trained(texts)
-    probe = [lm_score.model_text(b"the cat sat on a mat on the mat")]
-    assert long.scores(probe)[0] > short.scores(probe)[0]
+    probe = lm_score.grams([lm_score.model_text(b"the cat sat on a mat on the mat")])
+    assert asked_of(trained(texts), probe).sum() > asked_of(trained(texts[:2]), probe).sum()
+    moved, keys, counts, short = trained(texts)
+    assert asked_of((moved, keys, counts, short), probe).sum() > asked_of((lm_score.Model(), keys, counts, short), probe).sum()
 
 
 # ---- token counts ----
