@@ -4,17 +4,17 @@ Base score. Words (ASCII white space, lower-cased A-Z) and one end per text are
 all training documents, exactly.
 
 Model. The text's words, joined by single spaces and ended by a line feed, are predicted bit
-by bit. Each of the last 1 to 5 bytes is a context; a predictor of each order holds, by its context's key
+by bit. Each of the last 1 to 4 bytes is a context; a predictor of each order holds, by its context's key
 and the bits of the current byte so far, how often a zero and a one came next. Their log odds are
 combined by weights that are chosen (gated) by the bit's place and by the longest context known and how
 often it was seen, and the result is refined by an adaptive table of what such predictions came to.
 
-Nothing of this has a fixed size: what is counted is a table of byte sequences (a context of five bytes and
+Nothing of this has a fixed size: what is counted is a table of byte sequences (a context of four bytes and
 the byte that follows) and words, which grows with the training text.
 
 1. Where a task reads its rows it counts distinct words and byte sequences of a window of rows; the
    counts are summed over all tasks by a shuffle on the word or sequence.
-2. Sequences are dealt by the three bytes before the last, so that all that orders 3 to 5 need of a context
+2. Sequences are dealt by the three bytes before the last, so that all that orders 3 and 4 need of a context
    lies together; orders 1 and 2 have 2 ** 24 sequences at most and are broadcast.
 3. Online learning: the training documents are dealt by a hash of their content to slices, an eighth, an eighth, a
    quarter and a half of them. Each slice but the first is predicted by the counts of those before it and the
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, by_group, fold_of, shared_folder
 
-ORDERS = (1, 2, 3, 4, 5)
+ORDERS = (1, 2, 3, 4)
 LONGEST = max(ORDERS)
 #: Orders up to this one are broadcast: 256 ** 3 sequences at most.
 BROADCAST_ORDER = 2
@@ -62,10 +62,10 @@ STEPS = 33
 REACH = 12.0
 RIDGE = 2.0
 PRIOR = 20
-PIECE = 3 << 20
-WINDOW = 24 << 20
+PIECE = 2 << 20
+WINDOW = 12 << 20
 CHUNK = 1 << 16
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 LEAST_BUCKETS = 8
 PAD = b"\n" * LONGEST
 ROWS = 100_000
@@ -261,7 +261,8 @@ class Model:
             z = self._combined(bit, x, gate)
             p = (sigmoid(z) + refined[bit, gate, self._step_of(z)]) / 2
             out += np.log10(np.where(one, p, 1 - p))
-        return out
+        # Single precision is plenty for one byte, and takes half the room in shuffles.
+        return out.astype(np.float32).astype(np.float64)
 
 
 # ---- counting ----
