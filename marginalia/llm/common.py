@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -41,13 +40,13 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is missing (tests, a laptop) a folder is made here.
-    """
+    """The shared folder that the cluster names in spark.checkpoint.dir; tests and laptops set one of their own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 

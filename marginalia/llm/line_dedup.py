@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is a duplicate if an earlier one, by (doc_id, number in the document), is equal
-or within one edit (a character inserted, deleted or replaced). Lines shorter than
-``MIN_CHARS`` are left alone, or with ``short`` their exact repeats go too, if they aren't empty: within
-so few characters an edit makes another word.
+or within the edit bound: one edit (a character inserted, deleted or replaced) where both lines have
+``EDIT_CHARS`` characters or more, none where one is shorter, as an edit makes another word of so few
+characters. Empty lines part paragraphs and are left alone.
 
 1. Equal lines are folded first, by partial aggregation over a 128-bit hash, to the
    place at which they first stand. A line that a third of all documents share costs a row
@@ -18,9 +18,13 @@ so few characters an edit makes another word.
    an alphabet for each place at most.
 4. What remains is verified by edit distance on the texts.
 
-Defined results: a null text stays null (0 lines); rows that share an id are one
-document; a null id comes before all others; a line keeps its earliest place only, also
-within its document; a document may end up empty, with an empty text; repeated rows repeat their result;
+Rows are known by their id and a hash of their text, so those without an id, or of one id, are
+documents of their own unless their texts are equal.
+
+Defined results: a null text stays null (0 lines); rows of one id come in the order of their texts' hashes;
+a null id comes before all others; a line keeps its earliest place only, also
+within its document; a document may end up empty, with an empty text; rows of equal id and text repeat their result; a very
+long line is a line like any other, its variants are made in parts;
 an empty table gives an empty result; other columns are kept by ``deduplicated`` as they are.
 """
 
@@ -37,7 +41,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, by_group, checkpointed, free_names
 
-MIN_CHARS = 20
+EDIT_CHARS = 20
+#: Characters of lines, and variants, that are made at once.
+PART_CHARS = 1 << 20
 #: Bits of the filters ahead of joins: 8 MB, whatever the input.
 BITMAP = 1 << 26
 BASE = 0xD1342543DE82EF95
@@ -64,22 +70,20 @@ def half_keys(line: str) -> list[int]:
     return [signed(xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), 2 * q + side)) for q in ((n - 1) // 2, n // 2) for side, part in enumerate((line[:q], line[n - q :]))]
 
 
-def _lines(min_chars: int, least: int):
+def _lines(edit_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 seen = set()
                 for number, raw in enumerate(text.split(b"\n")):
-                    if len(raw) < least or raw in seen:
-                        continue
-                    line = raw.decode("utf-8", "replace")
-                    if len(line) < least:
+                    if not raw or raw in seen:
                         continue
                     seen.add(raw)
-                    rows.append((NO_ID if doc_id is None else doc_id, number, line_hash(raw), signed(xxhash.xxh64_intdigest(raw, 3)), *(half_keys(line) if len(line) >= min_chars else [None] * 4)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "number", "h1", "h2", "k0", "k1", "k2", "k3"])
+                    line = raw.decode("utf-8", "replace")
+                    rows.append((doc, text_hash, number, line_hash(raw), signed(xxhash.xxh64_intdigest(raw, 3)), *(half_keys(line) if len(line) >= edit_chars else [None] * 4)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "text_hash", "number", "h1", "h2", "k0", "k1", "k2", "k3"])
 
     return run
 
@@ -100,54 +104,72 @@ def deletion_keys(line: str) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _parts(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Cuts lines to parts of about PART_CHARS characters."""
+    low = n = 0
+    for k, line in enumerate(lines):
+        n += len(line) + 1
+        if n >= PART_CHARS or k + 1 == len(lines):
+            yield low, k + 1
+            low, n = k + 1, 0
+
+
+PLACE = ["doc", "text_hash", "number"]
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "place", "doc", "number"]
+    names = ["key", "place", *PLACE]
     for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            part = batch.slice(low, 1000)
-            keys = [deletion_keys(t) for t in part.column("line").to_pylist()]
-            if not keys:
-                continue
+        lines = batch.column("line").to_pylist()
+        for low, high in _parts(lines):
+            keys = [deletion_keys(t) for t in lines[low:high]]
             size = np.array([len(k) for k in keys])
             place = np.concatenate([np.arange(-1, n - 1) for n in size])
-            doc, number = (np.repeat(part.column(c).to_numpy(), size) for c in ("doc", "number"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), place, doc, number)], names)
+            own = (np.repeat(batch.column(c).to_numpy()[low:high], size) for c in PLACE)
+            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), place, *own)], names)
+            for at in range(0, whole.num_rows, 100_000):
+                yield whole.slice(at, 100_000)
 
 
 def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (doc, number) <- (of_doc, of_number): for each row the earliest that shares (key, place),
+    """Candidates (place of a line) <- (place of an earlier one): for each row the earliest that shares (key, place),
     the whole line of the key, and for a whole line the earliest that has the key with a character less."""
-    names = ["doc", "number", "of_doc", "of_number"]
+    names = [*PLACE, *(f"of_{c}" for c in PLACE)]
     for table in by_group(batches, "key", 500_000):
-        key, place, doc, number = (table.column(c).to_numpy() for c in ("key", "place", "doc", "number"))
-        order = np.lexsort((number, doc, place, key))
-        key, place, doc, number = key[order], place[order], doc[order], number[order]
+        key, place, *age = (table.column(c).to_numpy() for c in ("key", "place", *PLACE))
+        order = np.lexsort((*age[::-1], place, key))
+        key, place, age = key[order], place[order], [x[order] for x in age]
         at = np.arange(len(key))
         new_key = np.r_[True, key[1:] != key[:-1]]
         new_place = new_key | np.r_[True, place[1:] != place[:-1]]
         same_place = np.maximum.accumulate(np.where(new_place, at, 0))
         first = np.maximum.accumulate(np.where(new_key, at, 0))
-        # Of one key the order by (doc, number) alone gives the earliest with a deletion.
+        # Of one key the order by age alone gives the earliest with a deletion.
         cut = np.flatnonzero(place >= 0)
-        by_age = cut[np.lexsort((number[cut], doc[cut], key[cut]))]
+        by_age = cut[np.lexsort((*(x[cut] for x in age[::-1]), key[cut]))]
         lead = by_age[np.r_[True, key[by_age][1:] != key[by_age][:-1]]] if len(by_age) else by_age
         whole = np.flatnonzero(place == -1)
         found = np.searchsorted(key[lead], key[whole])
         hit = (found < len(lead)) & (key[lead][np.minimum(found, len(lead) - 1)] == key[whole]) if len(lead) else np.zeros(len(whole), bool)
         own = np.concatenate([at, at, whole[hit]])
         of = np.concatenate([same_place, np.where(place[first] == -1, first, at), lead[found[hit]] if len(lead) else whole[hit]])
-        earlier = (doc[of] < doc[own]) | ((doc[of] == doc[own]) & (number[of] < number[own]))
-        pairs = np.unique(np.column_stack([x[earlier] for x in (doc[own], number[own], doc[of], number[of])]), axis=0)
+        (d, t, n), (of_d, of_t, of_n) = ([x[k] for x in age] for k in (own, of))
+        earlier = (of_d < d) | ((of_d == d) & ((of_t < t) | ((of_t == t) & (of_n < n))))
+        pairs = np.unique(np.column_stack([x[earlier] for x in (d, t, n, of_d, of_t, of_n)]), axis=0)
         if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(6)], names)
 
 
-def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """Each distinct line of ``docs`` (doc_id, text) with its earliest place: doc, number, hashes and half keys (null for a short line)."""
-    lines = docs.mapInArrow(_lines(min_chars, 1 if short else min_chars), "doc long, number long, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
+def known_rows(docs: DataFrame) -> DataFrame:
+    """``doc, text_hash, text`` of ``docs`` (doc_id, text)."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def first_lines(rows: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """Each distinct line of ``rows`` (see ``known_rows``) with its earliest place, hashes and half keys (null for a short line)."""
+    lines = rows.mapInArrow(_lines(edit_chars), "doc long, text_hash long, number long, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
     content = ["h1", "h2", "k0", "k1", "k2", "k3"]
-    # A document has a line once here, so the smallest id tells the number.
-    return lines.groupBy(*content).agg(F.min("doc").alias("doc"), F.min_by("number", "doc").alias("number"))
+    return lines.groupBy(*content).agg(F.min(F.struct(*PLACE)).alias("place")).select(*content, "place.*")
 
 
 def _bitmap(keys: DataFrame):
@@ -167,7 +189,7 @@ def _spot(key):
     return F.xxhash64(key).bitwiseAND(BITMAP - 1)
 
 
-def _maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """Rows of ``df`` of which one of the columns may be among ``keys``."""
     bitmap = _bitmap(keys)
     names = df.columns
@@ -183,68 +205,70 @@ def _maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     return df.select("*", *[_spot(F.col(c)).alias(f"spot{k}") for k, c in enumerate(columns)]).mapInArrow(run, df.schema)
 
 
-def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc, number) of distinct lines that have an earlier one within one edit."""
+def near_lines(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Places of distinct lines that have an earlier one within one edit."""
     halves = F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key")
     shared = checkpointed(first.select(halves).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    likely = _maybe_in(first.select("doc", "number", "h1", "k0", "k1", "k2", "k3"), shared, "k0", "k1", "k2", "k3")
-    partnered = checkpointed(likely.select("doc", "number", "h1", halves).join(shared, "key", "left_semi").select("doc", "number", "h1").distinct())
-    wanted = partnered.groupBy("doc").agg(F.collect_list(F.struct("number", "h1")).alias("wanted"))
+    likely = maybe_in(first.select(*PLACE, "h1", "k0", "k1", "k2", "k3"), shared, "k0", "k1", "k2", "k3")
+    partnered = checkpointed(likely.select(*PLACE, "h1", halves).join(shared, "key", "left_semi").select(*PLACE, "h1").distinct())
+    wanted = partnered.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("number", "h1")).alias("wanted"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, some in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            found = []
+            for doc, text_hash, text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 own = text.split(b"\n")
-                rows += [(doc, x["number"], own[x["number"]].decode("utf-8", "replace")) for x in some if x["number"] < len(own) and line_hash(own[x["number"]]) == x["h1"]]
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc", "number", "line"])
-
-    named = _maybe_in(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text"), partnered.select(F.col("doc").alias("key")), "doc")
-    lines = named.join(wanted, "doc").mapInArrow(pick, "doc long, number long, line string")
-    lines = checkpointed(lines.dropDuplicates(["doc", "number"]))
-    variants = lines.mapInArrow(_variants, "key long, place long, doc long, number long")
-    pairs = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_earliest, "doc long, number long, of_doc long, of_number long").distinct()
-    of = lines.select(F.col("doc").alias("of_doc"), F.col("number").alias("of_number"), F.col("line").alias("of_line"))
+                found += [(doc, text_hash, x["number"], own[x["number"]].decode("utf-8", "replace")) for x in some if x["number"] < len(own) and line_hash(own[x["number"]]) == x["h1"]]
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], [*PLACE, "line"])
+
+    named = maybe_in(rows, partnered.select(F.col("text_hash").alias("key")), "text_hash")
+    lines = named.join(wanted, ["doc", "text_hash"]).select("doc", "text_hash", "text", "wanted").mapInArrow(pick, "doc long, text_hash long, number long, line string")
+    lines = checkpointed(lines.dropDuplicates(PLACE))
+    variants = lines.mapInArrow(_variants, "key long, place long, doc long, text_hash long, number long")
+    earlier = [f"of_{c}" for c in PLACE]
+    pairs = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_earliest, ", ".join(f"{c} long" for c in [*PLACE, *earlier])).distinct()
+    of = lines.select(*[F.col(c).alias(f"of_{c}") for c in PLACE], F.col("line").alias("of_line"))
     close = F.levenshtein("line", "of_line", 1).between(0, 1)
-    return pairs.join(lines, ["doc", "number"]).join(of, ["of_doc", "of_number"]).where(close).select("doc", "number").distinct()
+    return pairs.join(lines, PLACE).join(of, earlier).where(close).select(*PLACE).distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """``doc`` and ``kept``, the hashes of the lines that stay in that document."""
-    first = checkpointed(first_lines(docs, min_chars, short))
-    keepers = first.join(near_lines(docs, first.where("k0 is not null")), ["doc", "number"], "left_anti")
-    return keepers.groupBy("doc").agg(F.collect_list("h1").alias("kept"))
+def kept_lines(rows: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """``doc, text_hash`` and ``kept``, the hashes of the lines that stay in that document."""
+    first = checkpointed(first_lines(rows, edit_chars))
+    keepers = first.join(near_lines(rows, first.where("k0 is not null")), PLACE, "left_anti")
+    return keepers.groupBy("doc", "text_hash").agg(F.collect_list("h1").alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False, short: bool = False) -> DataFrame:
-    """``docs`` with the duplicate lines taken out of its text; ``counts`` adds n_lines and n_dropped; ``short`` folds repeats of short lines."""
-    least = 1 if short else min_chars
-    kept = kept_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_chars, short)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = EDIT_CHARS, counts: bool = False) -> DataFrame:
+    """``docs`` with the duplicate lines taken out of its text; ``counts`` adds n_lines and n_dropped."""
+    rows = known_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    kept = kept_lines(rows, edit_chars)
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def cleaned(texts: pd.Series, keeps: pd.Series) -> pd.DataFrame:
-        rows = []
+        found = []
         for text, keep in zip(texts, keeps, strict=True):
             if text is None:
-                rows.append((None, 0, 0))
+                found.append((None, 0, 0))
                 continue
             lines = text.split("\n")
             left = set() if keep is None else set(keep.tolist())
             out = []
             for line in lines:
-                if len(line) >= least:
+                if line:
                     h = line_hash(line.encode("utf-8", "replace"))
                     if h not in left:
                         continue
                     left.discard(h)
                 out.append(line)
-            rows.append(("\n".join(out), len(lines), len(lines) - len(out)))
-        return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
+            found.append(("\n".join(out), len(lines), len(lines) - len(out)))
+        return pd.DataFrame(found, columns=["text", "n_lines", "n_dropped"])
 
-    doc, own, result = free_names(docs, "doc", "kept", "new")
-    kept = kept.select(F.col("doc").alias(doc), F.col("kept").alias(own))
-    joined = docs.join(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc), "left")
+    doc, text_hash, own, result = free_names(docs, "doc", "text_hash", "kept", "new")
+    kept = kept.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("kept").alias(own))
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(F.col(text_col)) == F.col(text_hash))
+    joined = docs.join(kept, same, "left")
     new = joined.withColumn(result, cleaned(F.col(text_col), F.col(own)))
     columns = [F.col(f"{result}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return new.select(*columns, *([F.col(f"{result}.n_lines").alias("n_lines"), F.col(f"{result}.n_dropped").alias("n_dropped")] if counts else []))

@@ -12,7 +12,7 @@ sources they are joined by a shuffle on the source, in which the skew handling o
 source that holds a third of all rows.
 
 Defined results: a null source is a source of its own; null ids are hashed as the
-text ``null``; repeated rows get equal numbers of copies; a source without target
+text ``null``; repeated rows get equal numbers of copies; a very long text is a value like any other; a source without target
 weight gets none; an empty table gives an empty result; columns of the input are kept
 as they are, so ``copy_no`` is the one name added (an input column of that name is replaced).
 """
@@ -74,6 +74,11 @@ def source_rates(docs: DataFrame, key: Column, weights: dict[str | None, float]
     return F.broadcast(rates) if whole.sources <= BROADCAST_SOURCES else rates
 
 
+def hashable(docs: DataFrame, names: list[str]) -> list[Column]:
+    """The columns that can be hashed: maps can't."""
+    return [F.col(c) for c in names if "map<" not in docs.schema[c].dataType.simpleString()]
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as drawn, with ``copy_no`` from 1, in shuffled order.
 
@@ -88,5 +93,6 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     copies = poisson_quantile(uniform(F.col(id_col), seed), F.col(rate), F.col(most))
     counted = drawn.withColumn(n, copies).where(F.col(n) > 0)
     dealt = counted.select(*names, F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy_no"))
-    spread = dealt.withColumn(place, F.xxhash64(F.col(id_col), F.col("copy_no"), F.lit(seed)))
+    # All that a row holds takes part, so that rows without an id, or of one id, are spread as well.
+    spread = dealt.withColumn(place, F.xxhash64(*hashable(docs, names), F.col("copy_no"), F.lit(seed)))
     return spread.repartition(place).sortWithinPartitions(place).drop(place)

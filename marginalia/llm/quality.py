@@ -5,15 +5,16 @@
    vectors of the neighbours, within two words, of all its occurrences in the whole
    corpus. Sums are whole numbers, so the order in which tasks are added changes nothing. A
    task adds up its own table; the tables (``SLOTS`` x ``DIM``, 4 MB) are summed by blocks of slots.
-2. A document's features are the mean of its words' centred unit vectors and some
-   shares of its characters and words. They are computed from the text alone.
-3. Two layers in numpy are fitted on labelled rows, ``TRAIN_ROWS`` at most (a documented bound:
+2. A document's features pool its words' centred unit vectors: their mean, their
+   spread and the products of neighbours, from the text alone.
+3. Two layers in numpy are fitted on labelled rows of ``docs``, ``TRAIN_ROWS`` at most (a documented bound:
    rows with the smallest hashes of their ids), a fifth of which is set aside to fit
    the temperature that divides the logits.
 
 Labels are learned only from rows for which crc32(id as text) mod 3 is not 1.
 
-Defined results: null and empty texts are scored like any other text (all features zero);
+Defined results: null and empty texts are scored like any other text (all features zero); a very long text
+is pooled part by part, so that its memory is bounded by its words;
 without labelled rows of both kinds every score is the smoothed share of label 1; a null id counts as not held out;
 repeated rows repeat their result; an empty table gives an empty result; columns besides
 id and text are never read.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, fold_of
@@ -34,11 +35,12 @@ from .common import as_bytes, fold_of
 SLOTS = 1 << 14
 DIM = 64
 NONZERO = 4
+#: Features: mean, spread and neighbours' product of each dimension, and the sum of the products.
+WIDTH = 3 * DIM + 1
 WINDOW = 2
 BLOCK = 256
 TRAIN_ROWS = 12_000
 HIDDEN = 32
-EXTRA = 12
 SEED = 20240607
 
 
@@ -110,24 +112,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x, float), where=norm > 0)
 
 
-#: Of a byte: 0 lower case or non-ASCII, 1 upper case, 2 digit, 3 white space, 4 common punctuation, 5 other.
-KIND = np.array([0 if c >= 0x80 or 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in b" \t\n\x0b\x0c\r" else 4 if c in b".,;:'-\"()?" else 5 for c in range(256)])
-
-
 def features(text: bytes, vectors: np.ndarray) -> np.ndarray:
-    out = np.zeros(DIM + EXTRA, np.float32)
+    """Of a text's word vectors: the mean, the spread, and the mean product of neighbours, which tells repetition from prose."""
     slots = slots_of(text)
     n = len(slots)
     if not n:
-        return out
-    # A text of more words than slots is summed by slot, so that its memory is bounded.
-    mean = np.bincount(slots, minlength=SLOTS) @ vectors / n if n > SLOTS else vectors[slots].mean(axis=0)
-    out[:DIM] = mean * 4
-    share = np.bincount(KIND[np.frombuffer(text, np.uint8)], minlength=6) / len(text)
-    lines = text.split(b"\n")
-    distinct = len(np.unique(slots)) / n
-    out[DIM:] = [*share * (1, 2, 4, 2, 4, 8), np.log1p(n) / 8, len(text) / n / 10, distinct, distinct * np.log1p(n) / 8, len(set(lines)) / len(lines), min(n, 20) / 20]
-    return out
+        return np.zeros(WIDTH, np.float32)
+    # Summed part by part, so that the memory of a very long text is bounded by its words.
+    mean, square, beside = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+    for low in range(0, n, SLOTS):
+        own = vectors[slots[low : low + SLOTS + 1]]
+        mean += own[:SLOTS].sum(axis=0)
+        square += np.einsum("ij,ij->j", own[:SLOTS], own[:SLOTS])
+        beside += np.einsum("ij,ij->j", own[1:], own[:-1])
+    mean, square, beside = mean / n, square / n, beside / max(1, n - 1)
+    return np.r_[mean, np.sqrt(np.maximum(square - mean * mean, 0)), beside, beside.sum()]
 
 
 class Network:
@@ -148,7 +147,7 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> Network:
     """Adam on the log loss; the last fifth of the rows sets the temperature."""
     x, y = x.astype(np.float64), y.astype(np.float64)
     prior = (y.sum() + 1) / (len(y) + 2)
-    width = DIM + EXTRA
+    width = WIDTH
     if not 0 < y.sum() < len(y):
         return Network(np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.log(prior / (1 - prior)), 1.0)
     rng = np.random.default_rng(SEED)
@@ -178,30 +177,59 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> Network:
     return network
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row."""
-    context = docs.sparkSession.sparkContext
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    vectors = context.broadcast(word_vectors(picked.select("text")))
-    held_out = F.coalesce(fold_of(F.col("doc_id"), 3) == 1, F.lit(False))
+class Classifier:
+    """Word vectors and the network, as sent to the executors."""
 
-    marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    marked = marked.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS):
+        context = docs.sparkSession.sparkContext
+        picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.vectors = vectors = context.broadcast(word_vectors(picked.select("text")))
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t, vectors.value).tobytes() for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "features"])
+        def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [features(t, vectors.value).astype(np.float32).tobytes() for t in as_bytes(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "features"])
+
+        # Ids that have a document, then rows: where ids repeat, the bound holds for rows.
+        place = [F.xxhash64("doc_id"), F.col("doc_id")]
+        marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+        marked = marked.where(~held_out_column("doc_id")).join(picked.select("doc_id"), "doc_id", "left_semi").orderBy(*place).limit(train_rows)
+        rows = picked.join(F.broadcast(marked), "doc_id").mapInArrow(featured, "doc_id long, quality int, features binary")
+        rows = rows.orderBy(*place, "features").limit(train_rows).collect()
+        rows.sort(key=lambda r: (zlib.crc32(f"order {r.doc_id}".encode()), r.doc_id, r.features))
+        self.fitted_rows = len(rows)
+        x = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, WIDTH)
+        self.network = context.broadcast(fitted(x, np.array([r.quality for r in rows])))
+
+def scores_of(texts: list[bytes], vectors: np.ndarray, network: Network) -> np.ndarray:
+    return network.scores(np.array([features(t, vectors) for t in texts]).reshape(-1, WIDTH))
+
+
+def held_out_column(name: str) -> Column:
+    return F.coalesce(fold_of(F.col(name), 3) == 1, F.lit(False))
 
-    rows = picked.join(F.broadcast(marked), "doc_id").mapInArrow(featured, "doc_id long, quality int, features binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(f"order {r.doc_id}".encode()), r.doc_id, r.features))
-    x = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, DIM + EXTRA)
-    network = context.broadcast(fitted(x, np.array([r.quality for r in rows])))
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for each row."""
+    classifier = Classifier(docs, labels, id_col, text_col, train_rows)
+    vectors, network = classifier.vectors, classifier.network
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t, vectors.value) for t in as_bytes(batch.column(1))]).reshape(-1, DIM + EXTRA)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.value.scores(x), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(as_bytes(batch.column(1)), vectors.value, network.value), pa.float64())], ["doc_id", "score"])
 
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scores = picked.mapInArrow(scored, "doc_id long, score double")
-    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scores.select("doc_id", held_out_column("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose own text scores 0.5 or more."""
+    classifier = Classifier(docs, labels, id_col, text_col, train_rows)
+    vectors, network, place = classifier.vectors, classifier.network, docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(as_bytes(batch.column(place)), vectors.value, network.value) >= 0.5))
+
+    return docs.mapInArrow(kept, docs.schema)

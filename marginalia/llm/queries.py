@@ -85,9 +85,9 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, s
 WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(str_split(text, chr(10))) AS line, unnest(range(len(str_split(text, chr(10))))) AS number FROM documents WHERE text IS NOT NULL),
 first AS (
-  SELECT line, min(struct_pack(doc := doc_id, number := number)) AS place FROM lines WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY line),
+  SELECT line, min(struct_pack(doc := doc_id, number := number)) AS place FROM lines WHERE line <> '' GROUP BY line),
 halves AS (
-  SELECT line, place, length(line) AS n, unnest([(length(line) - 1) // 2, length(line) // 2]) AS q FROM first),
+  SELECT line, place, length(line) AS n, unnest([(length(line) - 1) // 2, length(line) // 2]) AS q FROM first WHERE length(line) >= {line_dedup.EDIT_CHARS}),
 keys AS (
   SELECT DISTINCT line, place, n, unnest(['a' || q || left(line, CAST(q AS INT)), 'z' || q || right(line, CAST(q AS INT))]) AS half FROM halves),
 near AS (
@@ -95,7 +95,7 @@ near AS (
   WHERE levenshtein(a.line, b.line) <= 1),
 judged AS (
   SELECT l.doc_id, l.number, l.line,
-         length(l.line) < {line_dedup.MIN_CHARS} OR (f.place = struct_pack(doc := l.doc_id, number := l.number) AND n.line IS NULL) AS stays
+         l.line = '' OR (f.place = struct_pack(doc := l.doc_id, number := l.number) AND n.line IS NULL) AS stays
   FROM lines l LEFT JOIN first f ON l.line = f.line LEFT JOIN near n ON l.line = n.line),
 joined AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY number) FILTER (WHERE stays) AS text, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped

@@ -156,15 +156,15 @@ def plain_lines(texts, least=20):
     first = {}
     for i, t in order:
         for n, line in enumerate(t.split("\n")):
-            if len(line) >= least:
+            if line:
                 first.setdefault(line, (i, n))
     ranked = sorted(first, key=first.get)
-    dropped = {line for k, line in enumerate(ranked) if any(abs(len(o) - len(line)) <= 1 and distance(o, line) <= 1 for o in ranked[:k])}
+    dropped = {line for k, line in enumerate(ranked) if len(line) >= least and any(len(o) >= least and abs(len(o) - len(line)) <= 1 and distance(o, line) <= 1 for o in ranked[:k])}
     out = {}
     for i, t in order:
         seen, kept = set(), []
         for line in t.split("\n"):
-            stays = len(line) < least or (first[line][0] == i and line not in dropped and line not in seen)
+            stays = not line or (first[line][0] == i and line not in dropped and line not in seen)
             seen.add(line)
             kept += [line] if stays else []
         out[i] = "\n".join(kept)
@@ -206,6 +206,25 @@ def test_stage_folds_repeats_of_short_lines(spark):
     assert out == {1: "Les.\n\nfirst", 2: "Las.\n\nsecond", 3: SAME, 4: "end", 5: None}
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    texts = [(None, f"{SAME}\nshort dup\none"), (None, f"{SAME}Y\nshort dup\ntwo"), (None, "three"), (7, "short dup\nfour"), (8, "x" * 200_000), (9, "x" * 199_999 + "y")]
+    out = [r.text for r in line_dedup.deduplicated(documents(spark, texts)).collect()]
+    assert len(out) == len(texts)
+    lines = [line for t in out for line in t.split("\n") if line]
+    assert sorted(line for line in lines if len(line) < 100 and line[0] != "T") == ["four", "one", "short dup", "three", "two"]
+    assert sum(line.startswith(SAME) for line in lines) == 1 and [len(t) for t in out].count(200_000) == 1
+
+
+def test_variants_are_made_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    lines = ["abc", "d" * 50, "", "efgh"]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([5] * 4), pa.array(range(4)), pa.array(lines)], ["doc", "text_hash", "number", "line"])
+    want = [r for b in line_dedup._variants(iter([whole])) for r in b.to_pylist()]
+    monkeypatch.setattr(line_dedup, "PART_CHARS", 10)
+    assert [r for b in line_dedup._variants(iter([whole])) for r in b.to_pylist()] == want and len(want) == sum(len(t) + 1 for t in lines)
+
+
 def test_deletion_keys_are_those_of_shorter_lines():
     line = "abracadabra und 𝔘nicode é"
     keys = line_dedup.deletion_keys(line)
@@ -215,4 +234,4 @@ def test_deletion_keys_are_those_of_shorter_lines():
 def test_counts(spark):
     docs = documents(spark).select("doc_id", "text")
     r = {x.doc_id: x for x in line_dedup.deduplicated(docs, counts=True).where(F.col("doc_id").isNotNull()).collect()}
-    assert (r[2].n_lines, r[2].n_dropped) == (2, 1) and (r[5].n_lines, r[5].text) == (0, None) and r[3].n_dropped == 0
+    assert (r[2].n_lines, r[2].n_dropped) == (2, 1) and (r[5].n_lines, r[5].text) == (0, None) and r[3].n_dropped == 1
