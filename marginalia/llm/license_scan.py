@@ -1,16 +1,18 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A text becomes its words, lower-cased (A-Z) and joined by single spaces. Each rule is a
-regular expression over that string with a keyword without which it cannot match;
+regular expression over that string, written by hand from the wording of a license, its notice or its name; its keyword, the
+longest stretch of words without which it cannot match, is read off the expression, and
 only rules whose keyword occurs in the text run. What they find are intervals of
 words. They are resolved in order of priority, then length, then place: one that lies
-inside an interval accepted before is suppressed; others stay, overlapping or not.
+inside an interval that comes before it is suppressed; others stay, overlapping or not. A sweep over the sorted intervals for
+each priority does this in time in proportion to their number.
 
-The three base phrases are rules of the highest priority, so their labels always stay.
+The three base phrases are rules of the highest priority, which nothing suppresses.
 
 Defined results: a null text counts as empty and has no words, no labels (empty strings),
-null places and score 0; repeated rows repeat their result; an empty table gives
-an empty result; other columns are never read.
+null places and score 0; a very long text, or endless repeats of a phrase, takes time in proportion to its length; repeated rows
+repeat their result; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,104 +31,309 @@ from .common import as_bytes
 
 # Phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+TOP = 100
 
-# Names of licenses, as expressions over words; the last column is a keyword that such a name contains (empty: no single one).
-NAMES = [
-    ("mit", r"mit", "mit"),
-    ("apache-1", r"apache(?: software)? 1(?: [01])?", "apache"),
-    ("apache-2", r"apache(?: software)? 2(?: 0)?", "apache"),
-    ("bsd-2-clause", r"(?:simplified bsd|bsd 2 clause|freebsd)", "bsd"),
-    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause)", "bsd"),
-    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause)", "bsd"),
-    ("bsd-0-clause", r"(?:0bsd|zero clause bsd|bsd zero clause)", "bsd"),
-    ("isc", r"isc", "isc"),
-    ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("gpl-1", r"(?:gnu )?(?:general public|gpl) ?(?:license )?(?:version |v)1(?: 0)?", "1"),
-    ("gpl-2", r"(?:gnu )?(?:general public|gpl) ?(?:licen[cs]e )?(?:version |v)2(?: 0)?", "2"),
-    ("gpl-3", r"(?:gnu )?(?:general public|gpl) ?(?:licen[cs]e )?(?:version |v)3(?: 0)?", "3"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public|lgpl) ?(?:licen[cs]e )?(?:version |v)2 1", "2 1"),
-    ("lgpl-3", r"(?:gnu )?(?:lesser general public|lgpl) ?(?:licen[cs]e )?(?:version |v)3(?: 0)?", "3"),
-    ("agpl-3", r"(?:gnu )?(?:affero general public|agpl) ?(?:licen[cs]e )?(?:version |v)?3(?: 0)?", "3"),
-    ("gfdl", r"(?:gnu )?(?:free documentation|fdl|gfdl)", ""),
-    ("mpl-1.1", r"(?:mozilla public|mpl) ?(?:licen[cs]e )?(?:version |v)?1 1", "1 1"),
-    ("mpl-2", r"(?:mozilla public|mpl) ?(?:licen[cs]e )?(?:version |v)?2(?: 0)?", "2"),
-    ("epl-1", r"(?:eclipse public|epl) ?(?:licen[cs]e )?(?:version |v)?1(?: 0)?", "1"),
-    ("epl-2", r"(?:eclipse public|epl) ?(?:licen[cs]e )?(?:version |v)?2(?: 0)?", "2"),
-    ("cddl", r"(?:common development and distribution|cddl)", ""),
-    ("eupl", r"(?:european union public|eupl)", "eu"),
-    ("artistic-2", r"artistic(?: 2(?: 0)?)?", "artistic"),
-    ("boost", r"boost(?: software)?", "boost"),
-    ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", ""),
-    ("openssl", r"openssl", "openssl"),
-    ("python", r"(?:python software foundation|psf)", ""),
-    ("php", r"php", "php"),
-    ("ruby", r"ruby", "ruby"),
-    ("perl", r"perl", "perl"),
-    ("vim", r"vim", "vim"),
-    ("ms-pl", r"(?:microsoft public|ms pl)", ""),
-    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", ""),
-    ("ofl-1.1", r"(?:sil )?open font", "open font"),
-    ("odbl", r"(?:open database|odbl)", ""),
-    ("elastic-2", r"elastic(?: 2(?: 0)?)?", "elastic"),
-    ("sspl", r"(?:server side public|sspl)", ""),
-    ("busl-1.1", r"(?:business source|busl)", "bus"),
-]
-#: Wordings in which a name ({0}) stands: priority, expression, keyword, confidence.
-WORDINGS = [
-    (60, r"spdx license identifier {0}", "spdx", 1.0),
-    (50, r"(?:is |are )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{0} ?(?:licen[cs]e)?", " under ", 0.95),
-    (45, r"subject to (?:the )?(?:terms of )?(?:the )?{0} licen[cs]e", "subject to", 0.9),
-    (40, r"(?:see|read) (?:the )?{0} licen[cs]e", "licen", 0.8),
-    (40, r"(?:under|by) (?:the )?{0} licen[cs]e", "licen", 0.85),
-    (35, r"licen[cs]e (?:is )?{0}", "licen", 0.8),
-    (30, r"{0} licen[cs]e(?:d)?", "licen", 0.7),
-    (20, r"{0} style licen[cs]e", "style licen", 0.5),
-]
-#: Creative Commons: parts in the order of their names, with each version or none.
-CC_PARTS = ["by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"]
-CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0", ""]
-#: Wordings that name no license.
-GENERAL = [
-    (10, "public-domain", r"(?:released|placed|dedicated) (?:in|in to|into|to) the public domain", "public domain", 0.9),
-    (10, "cc0", r"(?:cc0|cc zero|creative commons zero)", "", 0.9),
-    (5, "proprietary", r"all rights reserved", "all rights reserved", 0.6),
-    (5, "proprietary", r"(?:proprietary and confidential|not for redistribution)", "", 0.6),
-    (1, "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", 0.4),
-]
+# Identifiers in headers: priority 90, confidence 1.
+IDENTIFIERS = r"""
+mit             | spdx license identifier mit
+mit-0           | spdx license identifier mit 0
+apache-2        | spdx license identifier apache 2 0
+bsd-2-clause    | spdx license identifier bsd 2 clause
+bsd-3-clause    | spdx license identifier bsd 3 clause
+bsd-0-clause    | spdx license identifier 0bsd
+isc             | spdx license identifier isc
+zlib            | spdx license identifier zlib
+gpl-2           | spdx license identifier gpl 2 0(?: only| or later)?
+gpl-3           | spdx license identifier gpl 3 0(?: only| or later)?
+lgpl-2.1        | spdx license identifier lgpl 2 1(?: only| or later)?
+lgpl-3          | spdx license identifier lgpl 3 0(?: only| or later)?
+agpl-3          | spdx license identifier agpl 3 0(?: only| or later)?
+mpl-2           | spdx license identifier mpl 2 0
+epl-1           | spdx license identifier epl 1 0
+epl-2           | spdx license identifier epl 2 0
+cddl            | spdx license identifier cddl 1 [01]
+eupl            | spdx license identifier eupl 1 [12]
+unlicense       | spdx license identifier unlicense
+boost           | spdx license identifier bsl 1 0
+busl-1.1        | spdx license identifier busl 1 1
+cc0             | spdx license identifier cc0 1 0
+cc-by-4.0       | spdx license identifier cc by 4 0
+cc-by-sa-4.0    | spdx license identifier cc by sa 4 0
+ofl-1.1         | spdx license identifier ofl 1 1
+artistic-2      | spdx license identifier artistic 2 0
+elastic-2       | spdx license identifier elastic 2 0
+postgresql      | spdx license identifier postgresql
+"""
+
+# Sentences of the licenses themselves: priority 80, confidence 0.95.
+SENTENCES = r"""
+mit             | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit             | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit             | to use copy modify merge publish distribute sublicense and or sell copies of the software
+mit-0           | permission is hereby granted free of charge to any person obtaining a copy of this software (?:\w+ ){1,40}without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided
+isc             | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+bsd-0-clause    | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+bsd             | redistribution and use in source and binary forms with or without modification are permitted
+bsd             | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd             | redistributions in binary form must reproduce the above copyright notice
+bsd-3-clause    | neither the name of (?:\w+ ){1,12}nor the names of its contributors may be used to endorse or promote products derived from this software
+bsd-4-clause    | all advertising materials mentioning features or use of this software must display the following acknowledgement
+apache-1        | the end user documentation included with the redistribution if any must include the following acknowledg(?:e)?ment
+apache-2        | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+apache-2        | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2        | terms and conditions for use reproduction and distribution
+gpl             | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+gpl             | this program is distributed in the hope that it will be useful but without any warranty
+gpl-2           | gnu general public license as published by the free software foundation version 2
+gpl-2           | gnu general public license as published by the free software foundation either version 2 of the license
+gpl-3           | gnu general public license as published by the free software foundation version 3
+gpl-3           | gnu general public license as published by the free software foundation either version 3 of the license
+gpl             | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+gpl-3           | the gnu general public license is a free copyleft license for software and other kinds of works
+gpl-2           | the licenses for most software are designed to take away your freedom to share and change it
+lgpl            | gnu lesser general public license as published by the free software foundation
+lgpl-2.1        | gnu lesser general public license as published by the free software foundation either version 2 1
+lgpl-3          | gnu lesser general public license as published by the free software foundation either version 3
+lgpl-2          | gnu library general public license as published by the free software foundation
+agpl-3          | gnu affero general public license as published by the free software foundation
+agpl-3          | the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software
+gfdl            | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+mpl-2           | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-1.1         | the contents of this file are subject to the mozilla public license version 1 1
+npl             | the contents of this file are subject to the netscape public license
+epl-1           | this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0
+epl-2           | this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?2 0
+cpl-1           | the accompanying program is provided under the terms of this common public license
+ipl-1           | the accompanying program is provided under the terms of this ibm public license
+cddl            | the contents of this file are subject to the terms of the common development and distribution license
+eupl            | licensed under the eupl version 1 [12]
+zlib            | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+zlib            | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+boost           | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+unlicense       | this is free and unencumbered software released into the public domain
+unlicense       | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl           | you just do what the fuck you want to
+beerware        | if we meet some day and you think this stuff is worth it you can buy me a beer in return
+openssl         | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay          | this package is an ssl implementation written by eric young
+python          | psf is making python available to licensee on an as is basis
+python          | psf hereby grants licensee a nonexclusive royalty free world wide license
+php             | this product includes php software freely available from
+ruby            | you may make and give away verbatim copies of the source form of the software without restriction
+perl            | you can redistribute it and or modify it under the same terms as perl itself
+artistic-1      | you may copy and give away verbatim copies of the source form of the standard version of this package without restriction
+artistic-2      | this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
+vim             | there are no restrictions on distributing unmodified copies of vim
+ms-pl           | if you use the software you accept this license if you do not accept the license do not use the software
+ms-rl           | for any file you distribute that contains code from the software (?:\w+ ){1,10}you must provide recipients the source code to that file
+ofl-1.1         | this font software is licensed under the sil open font license version 1 1
+ofl-1.1         | the fonts and derivatives however cannot be released under any other type of license
+x11             | except as contained in this notice the name of the x consortium shall not be used in advertising
+ncsa            | developed by (?:\w+ ){1,12}permission is hereby granted free of charge to any person obtaining a copy of this software
+postgresql      | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+hpnd            | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
+curl            | copyright and permission notice copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])? daniel stenberg
+icu             | icu license icu 1 8 1 and later
+unicode         | permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
+w3c             | by obtaining using and or copying this work you the licensee agree that you have read understood and will comply with the following terms and conditions
+jpeg            | this software is based in part on the work of the independent jpeg group
+freetype        | portions of this software are copyright (?:c )?(?:\w+ ){1,4}the freetype project
+libpng          | this copy of the libpng notices is provided for your convenience
+bzip2           | this program bzip2 the associated library libbzip2 and all documentation are copyright
+json            | the software shall be used for good not evil
+elastic-2       | you may not provide the software to third parties as a hosted or managed service
+sspl            | if you make the functionality of the program or a modified version available to third parties as a service
+busl-1.1        | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
+commons-clause  | without limiting other conditions in the license the grant of rights under the license will not include and the license does not grant to you the right to sell the software
+odbl            | this database is made available under the open database license
+odc-by          | this (?:\w+ ){1,8}is made available under the open data commons attribution license
+pddl            | this (?:\w+ ){1,8}is made available under the public domain dedication and license
+cc0             | to the extent possible under law (?:\w+ ){1,8}has waived all copyright and related or neighboring rights to
+cc              | to view a copy of this license visit https? creativecommons org licenses
+openrail        | you agree not to use the model or derivatives of the model
+llama           | is licensed under the llama (?:[23] )?community license
+gemma           | gemma is provided under and subject to the gemma terms of use
+"""
+
+# Grants and notices that name a license: priority 60, confidence 0.9.
+GRANTS = r"""
+mit             | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?mit(?: x11)?(?: license)?
+mit             | (?:licensed|released|distributed|available) under an mit style license
+mit             | the mit license mit
+mit             | under the expat license
+x11             | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?x11 license
+apache-2        | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?(?: license)?
+apache-1        | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?apache(?: software)? license(?: version)? 1 [01]
+apache          | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?apache(?: software)? license
+bsd             | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?bsd(?: style)? license
+bsd             | use of this source code is governed by a bsd style license
+bsd-2-clause    | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: license)?
+bsd-3-clause    | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: license)?
+isc             | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?isc license
+zlib            | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?zlib(?: libpng)? license
+gpl             | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:gnu )?(?:gpl|general public license)
+gpl-2           | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2(?: 0)?
+gpl-3           | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:gnu )?(?:gpl|general public license) ?(?:version |v)?3(?: 0)?
+gpl             | may be distributed under the terms of the gnu general public license
+gpl-2           | gpl version 2 or (?:at your option )?(?:any )?later
+gpl-3           | gpl version 3 or (?:at your option )?(?:any )?later
+lgpl            | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:gnu )?(?:lgpl|lesser general public license)
+lgpl-2.1        | (?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?2 1
+lgpl-3          | (?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?3(?: 0)?
+agpl-3          | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:gnu )?(?:agpl|affero general public license)
+agpl-3          | (?:gnu )?(?:agpl|affero general public license) ?(?:version |v)?3(?: 0)?
+gfdl            | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:gnu )?(?:gfdl|free documentation license)
+mpl             | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:mpl|mozilla public license)
+mpl-2           | mozilla public license ?(?:version |v)?2(?: 0)?
+mpl-1.1         | mozilla public license ?(?:version |v)?1 1
+epl             | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:epl|eclipse public license)
+epl-1           | eclipse public license ?(?:version |v)?1 0
+epl-2           | eclipse public license ?(?:version |v)?2 0
+cddl            | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:cddl|common development and distribution license)
+eupl            | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:eupl|european union public licen[cs]e)
+boost           | distributed under the boost software license version 1 0
+unlicense       | (?:licensed|released|distributed|available) under (?:the )?unlicense
+wtfpl           | (?:licensed|released|distributed|available) under (?:the )?(?:wtfpl|do what the fuck you want to public license)
+artistic        | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?artistic license
+python          | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?(?:psf|python software foundation|python) license
+php             | subject to version 3 01? of the php license
+ms-pl           | (?:licensed|released|distributed|available) under (?:the )?microsoft public license
+ms-rl           | (?:licensed|released|distributed|available) under (?:the )?microsoft reciprocal license
+ofl-1.1         | (?:licensed|released|distributed|available) under (?:the )?(?:sil )?open font license
+odbl            | (?:licensed|released|distributed|available) under (?:the )?(?:odbl|open database license)
+elastic-2       | (?:licensed|released|distributed|available) under (?:the )?elastic license
+sspl            | (?:licensed|released|distributed|available) under (?:the )?server side public license
+busl-1.1        | (?:licensed|released|distributed|available) under (?:the )?business source license
+cc              | (?:licensed|released|distributed|available) under (?:a |the )?creative commons
+cc-by           | creative commons attribution (?:\w+ )?licen[cs]e
+cc-by-sa        | creative commons attribution share ?alike
+cc-by-nd        | creative commons attribution no ?deriv(?:ative)?s
+cc-by-nc        | creative commons attribution non ?commercial
+cc-by-nc-sa     | creative commons attribution non ?commercial share ?alike
+cc-by-nc-nd     | creative commons attribution non ?commercial no ?deriv(?:ative)?s
+cc0             | creative commons zero
+public-domain   | (?:released|placed|dedicated) (?:in|in to|into|to) the public domain
+public-domain   | this work is in the public domain
+"""
+
+# Names and links: priority 40, confidence 0.7.
+NAMES = r"""
+mit             | mit licen[cs]ed?
+mit             | opensource org licenses mit
+apache-2        | apache licen[cs]e ?(?:version |v)?2(?: 0)?
+apache-2        | apache org licenses license 2 0
+apache          | apache licen[cs]e
+bsd             | bsd licen[cs]ed?
+bsd-2-clause    | (?:2 clause bsd|simplified bsd|bsd 2 clause) licen[cs]e
+bsd-3-clause    | (?:3 clause bsd|new bsd|bsd 3 clause) licen[cs]e
+isc             | isc licen[cs]e
+zlib            | zlib licen[cs]e
+gpl             | gnu general public licen[cs]e
+gpl             | gnu gpl
+gpl-2           | gpl ?v2
+gpl-3           | gpl ?v3
+gpl             | gnu org licenses gpl
+lgpl            | gnu lesser general public licen[cs]e
+lgpl            | gnu org licenses lgpl
+agpl-3          | gnu affero general public licen[cs]e
+agpl-3          | agpl ?v3
+gfdl            | gnu free documentation licen[cs]e
+mpl             | mozilla public licen[cs]e
+epl             | eclipse public licen[cs]e
+cddl            | common development and distribution licen[cs]e
+boost           | boost software licen[cs]e
+artistic        | artistic licen[cs]e
+ofl-1.1         | sil open font licen[cs]e
+odbl            | open database licen[cs]e
+elastic-2       | elastic licen[cs]e 2 0
+busl-1.1        | business source licen[cs]e
+cc-by-4.0       | cc by 4 0
+cc-by-3.0       | cc by 3 0
+cc-by-2.0       | cc by 2 [05]
+cc-by-sa-4.0    | cc by sa 4 0
+cc-by-sa-3.0    | cc by sa 3 0
+cc-by-sa-2.0    | cc by sa 2 [05]
+cc-by-nd-4.0    | cc by nd 4 0
+cc-by-nd-3.0    | cc by nd 3 0
+cc-by-nc-4.0    | cc by nc 4 0
+cc-by-nc-3.0    | cc by nc 3 0
+cc-by-nc-sa-4.0 | cc by nc sa 4 0
+cc-by-nc-sa-3.0 | cc by nc sa 3 0
+cc-by-nc-nd-4.0 | cc by nc nd 4 0
+cc-by-nc-nd-3.0 | cc by nc nd 3 0
+cc-by-sa        | cc by sa
+cc-by-nd        | cc by nd
+cc-by-nc-sa     | cc by nc sa
+cc-by-nc-nd     | cc by nc nd
+cc0             | cc0
+cc-by           | creativecommons org licenses by
+cc0             | creativecommons org publicdomain zero
+"""
+
+# What tells of rights without a license: priority 10, confidence 0.5.
+HINTS = r"""
+proprietary     | all rights reserved
+proprietary     | proprietary and confidential
+proprietary     | not for redistribution
+proprietary     | unauthorized copying of this file
+proprietary     | may not be reproduced without (?:prior |written |express )*permission
+proprietary     | end user license agreement
+copyright       | copyright (?:c )?(?:19|20)[0-9][0-9]
+copyright       | this file is part of
+patent          | patent pending
+export          | subject to (?:the )?(?:us |united states )?export (?:control|administration)
+"""
+TABLES = ((90, 1.0, IDENTIFIERS), (80, 0.95, SENTENCES), (60, 0.9, GRANTS), (40, 0.7, NAMES), (10, 0.5, HINTS))
 
 
 class Rule(NamedTuple):
     priority: int
     label: str
-    keywords: tuple[bytes, ...]
+    keyword: bytes
     confidence: float
     pattern: re.Pattern
 
 
+def keyword_of(expression: str) -> str:
+    """The longest stretch of the expression that stands in whatever it matches: outside of groups, classes and what may be missing."""
+    plain, depth = [""], 0
+    for k, c in enumerate(expression):
+        after = expression[k + 1 : k + 2]
+        if c == "(":
+            depth += 1
+        if depth or c in "[]?*+{}\\" or after in ("?", "*", "{") or "[" in expression[:k] and "]" not in expression[expression.rindex("[", 0, k) : k]:
+            plain.append("")
+        else:
+            plain[-1] += c
+        if c == ")":
+            depth -= 1
+    return max(plain, key=len)
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, in the order of their priorities; some three hundred and sixty."""
-    out = [Rule(100, label, tuple(w.encode() for w in phrase.split()), 1.0, _whole(phrase)) for phrase, label in BASE.items()]
-    for priority, wording, keyword, confidence in WORDINGS:
-        out += [Rule(priority, label, (keyword.encode(), own.encode()), confidence, _whole(wording.format(name))) for label, name, own in NAMES]
-    for parts in CC_PARTS:
-        for version in CC_VERSIONS:
-            name = f"cc {parts} {version}".strip()
-            label = f"cc-{parts.replace(' ', '-')}" + (f"-{version.replace(' ', '.')}" if version else "")
-            out.append(Rule(70 + len(name), label, tuple(w.encode() for w in name.split()), 0.9 if version else 0.7, _whole(name)))
-    out += [Rule(priority, label, (keyword.encode(),), confidence, _whole(wording)) for priority, label, wording, keyword, confidence in GENERAL]
-    return tuple(sorted(out, key=lambda r: -r.priority))
+    """All rules, in the order of their priorities."""
+    rows = [(TOP, 1.0, label, phrase) for phrase, label in BASE.items()]
+    for priority, confidence, table in TABLES:
+        rows += [(priority, confidence, *(x.strip() for x in line.split("|", 1))) for line in table.strip().splitlines()]
+    return tuple(Rule(priority, label, keyword_of(expression).encode(), confidence, re.compile(rf"(?<= )(?:{expression})(?= )".encode())) for priority, confidence, label, expression in rows)
 
 
-def _whole(expression: str) -> re.Pattern:
-    return re.compile(rf"(?<= )(?:{expression})(?= )".encode())
+@cache
+def keywords() -> ahocorasick.Automaton:
+    """Finds all keywords in one pass; each names the numbers of its rules."""
+    numbers: dict[bytes, list[int]] = {}
+    for k, rule in enumerate(rules()):
+        numbers.setdefault(rule.keyword, []).append(k)
+    found = ahocorasick.Automaton()
+    for keyword, own in numbers.items():
+        found.add_word(keyword.decode("latin-1"), own)
+    found.make_automaton()
+    return found
 
 
 #: Of a byte: itself, in lower case, if it is part of a word; a space if not.
 WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
-#: Every rule has one of these in what it matches, or can't match.
-ANCHORS = (b"licen", b"spdx", b" under ", b"subject to", b" cc ", b" cc0 ", b"creative commons zero", b"public domain", b"all rights reserved", b"proprietary and confidential", b"not for redistribution", b"copyright", b"apache license version 2")
 
 
 class Found(NamedTuple):
@@ -136,52 +344,51 @@ class Found(NamedTuple):
     confidence: float
 
 
-def base_places(joined: bytes) -> list[tuple[int, str]]:
-    """Word numbers at which a base phrase starts, overlapping ones too."""
-    out = []
-    for phrase, label in BASE.items():
-        needle = f" {phrase} ".encode()
-        at = joined.find(needle)
-        while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
-            at = joined.find(needle, at + 1)
-    return out
-
-
 def detections(joined: bytes) -> list[Found]:
     """What the rules find in words that are joined, led and followed by single spaces, after suppression."""
-    if not any(a in joined for a in ANCHORS):
-        return []
-    present: dict[bytes, bool] = {}
-    found = []
-    for rule in rules():
-        if all(present[k] if k in present else present.setdefault(k, k in joined) for k in rule.keywords):
-            for m in rule.pattern.finditer(joined):
-                start = joined.count(b" ", 0, m.start()) - 1
-                found.append(Found(start, start + len(m[0].split()), rule.label, rule.priority, rule.confidence))
-    return resolved(found)
+    own, seen, hits = rules(), set(), []
+    for _, numbers in keywords().iter(joined.decode("latin-1")):
+        seen.update(numbers)
+    for rule in map(own.__getitem__, sorted(seen)):
+        hits += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
+    # Words are counted once from the start to the end of the text.
+    number, at, n = {}, 0, 0
+    for place in sorted({p for a, b, _ in hits for p in (a, b)}):
+        n += joined.count(b" ", at, place)
+        number[place] = n
+        at = place
+    return resolved([Found(number[a] - 1, number[b], rule.label, rule.priority, rule.confidence) for a, b, rule in hits])
 
 
 def resolved(found: list[Found]) -> list[Found]:
-    """Keeps what isn't contained in an interval that comes before it in order."""
+    """Keeps what isn't contained in an interval that comes before it in the order of priority, length, place and label.
+
+    Whether that interval is itself suppressed makes no difference, as what contains it contains this one as well.
+    """
     kept: list[Found] = []
-    reach: list[tuple[int, int]] = []
-    for f in sorted(found, key=lambda f: (-f.priority, f.start - f.end, f.start, f.label)):
-        if f.priority == 100 or not any(a <= f.start and f.end <= b for a, b in reach):
-            kept.append(f)
-            reach.append((f.start, f.end))
+    before: list[Found] = []
+    for priority in sorted({f.priority for f in found}, reverse=True):
+        # At each start the longest comes first: of one priority it is before what it contains.
+        own = sorted((f for f in found if f.priority == priority), key=lambda f: (f.start, -f.end, f.label))
+        reach, k = -1, 0
+        for f in own:
+            while k < len(before) and before[k].start <= f.start:
+                reach = max(reach, before[k].end)
+                k += 1
+            if priority == TOP or f.end > reach:
+                kept.append(f)
+            reach = max(reach, f.end)
+        before = sorted(before + own, key=lambda f: f.start)
     return sorted(kept)
 
 
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
     words = text.translate(WORD_BYTES).split()
-    joined = b" ".join([b"", *words, b""])
-    base = base_places(joined)
-    found = detections(joined)
-    places = [p for p, _ in base]
-    labels = {label for _, label in base}
-    score = max((f.confidence for f in found), default=1.0 if base else 0.0)
-    return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {f.label for f in found})), score
+    found = detections(b" ".join([b"", *words, b""]))
+    places = [f.start for f in found if f.priority == TOP]
+    base = {f.label for f in found if f.priority == TOP}
+    score = max((f.confidence for f in found), default=0.0)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted({f.label for f in found})), score
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
