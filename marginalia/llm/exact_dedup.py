@@ -5,17 +5,19 @@ Texts are compared after lower-casing A-Z. Three steps:
 1. Where a task reads its rows it keeps one copy of each text it has seen within a
    window of rows; further copies travel as ids that point at it. A text that a third
    of all rows share is thus shuffled a few times a task, not once a row.
-2. The copies are partitioned by leading bits of their digest. A bucket whose texts
-   are over the bound is partitioned again by the bits that follow, and so on,
+2. The copies are partitioned by leading bits of their digest, to buckets of a quarter of the bound on average. A bucket
+   whose distinct texts are over the bound is partitioned again by the bits that follow, and so on,
    until it fits or holds a single digest (then it fits as one copy, since only distinct
-   contents are held). Spark's shuffle files are the spill files. Each bucket
+   contents are held). Only such buckets are told to the driver; with evenly spread digests a bucket is one only if
+   some of its texts are about as large as the bound. Spark's shuffle files are the spill files. Each bucket
    is then read through an open-addressing table that compares complete contents.
 3. The ids meet the answer of their copy again.
 
 Defined results: null counts as the empty text; equal rows and repeated ids form one
 group and all their rows carry it, the largest id is kept (a row is ``kept`` if its id
 is the kept id; of rows that repeat that id, each is); a group with only null ids keeps
-none; an empty table gives an empty result; other columns are never read.
+none; a very long text is a record like any other, and the bound grows to it; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -88,12 +90,9 @@ def bucket_of(h: int, bits: int, split: frozenset[tuple[int, int]]) -> str:
 
 
 def split_buckets(keyed: DataFrame, bits: int, limit: int) -> frozenset[tuple[int, int]]:
-    """Buckets of ``keyed`` (h, bytes) that are over the limit, level by level.
-
-    What comes to the driver are the over-full buckets alone, total / limit of them at most a level.
-    """
+    """Buckets of ``keyed`` (h, bytes) whose distinct texts are over the limit, level by level; they alone come to the driver."""
     split: set[tuple[int, int]] = set()
-    depth, left = bits, keyed
+    depth, left = bits, keyed.groupBy("h").agg(F.max("bytes").alias("bytes"))
     while depth + FANOUT_BITS <= KEY_BITS:
         sized = left.groupBy(F.shiftright("h", KEY_BITS - depth).alias("b")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("low"), F.max("h").alias("high"))
         full = [r.b for r in sized.where((F.col("bytes") > limit) & (F.col("low") < F.col("high"))).select("b").collect()]
@@ -105,7 +104,7 @@ def split_buckets(keyed: DataFrame, bits: int, limit: int) -> frozenset[tuple[in
     return frozenset(split)
 
 
-def _collapse(bits: int, split: frozenset[tuple[int, int]]):
+def _collapse(bits: int, split: frozenset[tuple[int, int]], row_buckets: int):
     """For each window of rows: one record with each distinct content, and one without content for each row."""
 
     def flush(window: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
@@ -122,7 +121,7 @@ def _collapse(bits: int, split: frozenset[tuple[int, int]]):
         # Of equal texts only rows that repeat an id can share a name, and those share the answer.
         name = [f"{m}:{h:x}:{len(t)}" for m, h, t in zip(most, table.hashes, table.contents, strict=True)]
         rows: list[tuple] = [(False, None, name[k], bucket_of(h, bits, split), h, count[k], most[k], text) for k, (h, text) in enumerate(zip(table.hashes, table.contents, strict=True))]
-        rows += [(True, doc_id, name[k], f"row:{(doc_id or 0) & 1023}", 0, None, None, None) for (doc_id, _), k in zip(window, place, strict=True)]
+        rows += [(True, doc_id, name[k], f"row:{number % row_buckets}", 0, None, None, None) for number, ((doc_id, _), k) in enumerate(zip(window, place, strict=True))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +180,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = picked.select(F.shiftrightunsigned(F.xxhash64(ascii_lower(F.col("text"))), 1).alias("h"), (F.octet_length(F.coalesce("text", F.lit(""))) + 64).cast("long").alias("bytes"))
     total = picked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(KEY_BITS, max(LEAST_BITS, ceil(log2(max(1, total / bucket_bytes)))))
+    bits = min(KEY_BITS, max(LEAST_BITS, ceil(log2(max(1, 4 * total / bucket_bytes)))))
     split = split_buckets(keyed, bits, bucket_bytes)
-    records = picked.mapInArrow(_collapse(bits, split), RECORD_DDL)
-    answers = records.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, ANSWER_DDL)
+    # Tasks grow in number with the data, not in size.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / bucket_bytes))
+    records = picked.mapInArrow(_collapse(bits, split, 16 * tasks), RECORD_DDL)
+    answers = records.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, ANSWER_DDL)
     copies = Window.partitionBy("copy_of")
     met = answers.select("is_row", "doc_id", *[F.max(c).over(copies).alias(c) for c in ("keep_id", "group_size", "text_sha256")])
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept")

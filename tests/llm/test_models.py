@@ -43,6 +43,14 @@ def test_quality_edge_cases(spark):
     assert len(scores) == 1
 
 
+def test_rows_that_are_fitted_are_bounded(spark):
+    docs = documents(spark, [(k % 5, f"word{k} other words {k % 3}") for k in range(300)] + [(90, "far"), (91, "away")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    assert quality.Classifier(docs, labels, train_rows=20).fitted_rows == 20
+    ids = [k for k in [*range(5), 90, 91] if not held_out(k, 3)]
+    assert quality.Classifier(docs, labels).fitted_rows == sum(60 if k < 5 else 1 for k in ids)
+
+
 def test_word_vectors_are_sums_of_neighbours(spark):
     texts = ["a b c A", "c c", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
@@ -358,6 +366,31 @@ def test_tiling(seed):
     assert found.get(0, []) == want or [n for *_, n in sorted(found[0], key=lambda t: -t[2])] == [n for *_, n in sorted(want, key=lambda t: -t[2])]
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_tiling_by_length_gives_the_same(seed, monkeypatch):
+    rng = random.Random(seed)
+    item = [rng.choice("ab" if seed % 2 else "abcd").encode() for _ in range(rng.randrange(2, 30))]
+    doc = [rng.choice("abcx" if seed % 2 else "abcdx").encode() for _ in range(30)]
+    for _ in range(2):
+        a = rng.randrange(len(item))
+        doc += item[a : a + rng.randrange(1, 20)] + [b"x"]
+    block = decontaminate.Block([(7, item)], 4)
+    want = list(block.matches(doc))
+    monkeypatch.setattr(decontaminate, "MOST_PAIRS", 0)
+    assert list(block.matches(doc)) == want
+
+
+def test_repeating_texts_take_little_memory():
+    import tracemalloc
+
+    block = decontaminate.Block([(7, [b"a"] * 200)], 5)
+    tracemalloc.start()
+    found = list(block.matches([b"a"] * 100_000))
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert found == [(0, [(0, 0, 200)])]
+
+
 def test_contaminated(spark):
     passage = "the quick brown fox jumps over the lazy dog while seven wizards brew strong potions quietly tonight"
     words = passage.split()
@@ -407,7 +440,7 @@ def test_mixing(spark):
     assert mixing.mixed(documents(spark)).count() > 0
 
 
-@pytest.mark.parametrize("rate", [0.5, 150.0, 400.0, 700.0, 1_000.0, 100_000.0])
+@pytest.mark.parametrize("rate", [0.5, 10.0, 150.0, 400.0, 700.0, 750.0, 1_000.0, 2_000.0, 100_000.0, 250_000.0])
 def test_large_rates_are_drawn(spark, rate):
     n = 200
     us = [(k + 0.5) / n for k in range(n)]
@@ -420,6 +453,18 @@ def test_large_rates_are_drawn(spark, rate):
             k += 1
         want[u] = k - 1
     assert found == want
+    assert sum(found.values()) / n == pytest.approx(rate, rel=0.02 if rate > 100 else 0.1, abs=0.02)
+
+
+def test_copies_of_rows_without_an_id_are_spread(spark):
+    docs = documents(spark, [(None, f"text {k}") for k in range(400)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = mixing.mixed(docs, {"src0": 1.0, None: 1.0}, epochs=4.0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
 
 
 def test_mixing_runs_no_python(spark):
@@ -443,6 +488,20 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_rows_of_one_id_are_judged_each_by_its_own_text(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    texts = [(None, item), (None, "clean text of its own"), (1, item), (1, "another clean text"), (2, "x")]
+    out = corpus_pipeline.decontamination_stage(spark, documents(spark, texts), sf)
+    assert sorted(r.text for r in out.collect()) == ["another clean text", "clean text of its own", "x"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    own = {r.text: r.predicted for r in quality.quality_scores(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    kept = quality.accepted(docs, labels).count()
+    assert kept == sum(own[r.text] for r in docs.collect())
+    assert 0 < quality.accepted(nameless, labels).where("doc_id is null").count() < nameless.where("doc_id is null").count()
+
+
 def test_pipeline_stages_bear_odd_rows(spark, sf):
     for docs in (documents(spark), documents(spark, [])):
         for name, stage in corpus_pipeline.STAGES:
