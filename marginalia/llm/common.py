@@ -61,11 +61,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """Checkpointed, in tasks of ``rows`` rows at most where it has fewer: what one task can hold needs no more shuffles."""
+    df = checkpointed(df)
+    tasks = max(1, -(-df.count() // rows))
+    return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null counts as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that what is made of their texts is held for some rows at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def by_group(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000) -> Iterator[pa.Table]:
     """Cuts a stream that is sorted by ``key`` into tables of about ``rows`` rows, never inside a key."""
     held: list[pa.RecordBatch] = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, slices
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
@@ -217,7 +217,7 @@ class Search:
 
     def windows(self, batches: Iterator[pa.RecordBatch], place: int) -> Iterator[list[pa.RecordBatch]]:
         held, n = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             held.append(batch)
             n += batch.column(place).nbytes
             if len(self.blocks) < 2 or n >= WINDOW:

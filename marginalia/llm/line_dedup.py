@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_group, checkpointed, free_names
+from .common import as_bytes, by_group, checkpointed, free_names, slices
 
 EDIT_CHARS = 20
 #: Characters of lines, and variants, that are made at once.
@@ -72,7 +72,7 @@ def half_keys(line: str) -> list[int]:
 
 def _lines(edit_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 seen = set()
@@ -195,7 +195,7 @@ def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hit = np.zeros(batch.num_rows, bool)
             for k in range(len(columns)):
                 spot = batch.column(len(names) + k).to_numpy()
@@ -214,7 +214,7 @@ def near_lines(rows: DataFrame, first: DataFrame) -> DataFrame:
     wanted = partnered.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("number", "h1")).alias("wanted"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for doc, text_hash, text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 own = text.split(b"\n")

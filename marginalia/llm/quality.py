@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold_of
+from .common import as_bytes, fold_of, slices
 
 SLOTS = 1 << 14
 DIM = 64
@@ -186,7 +186,7 @@ class Classifier:
         self.vectors = vectors = context.broadcast(word_vectors(picked.select("text")))
 
         def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 found = [features(t, vectors.value).astype(np.float32).tobytes() for t in as_bytes(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "features"])
 
@@ -215,7 +215,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     vectors, network = classifier.vectors, classifier.network
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(as_bytes(batch.column(1)), vectors.value, network.value), pa.float64())], ["doc_id", "score"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -229,7 +229,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     vectors, network, place = classifier.vectors, classifier.network, docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scores_of(as_bytes(batch.column(place)), vectors.value, network.value) >= 0.5))
 
     return docs.mapInArrow(kept, docs.schema)

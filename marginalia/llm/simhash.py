@@ -34,6 +34,7 @@ BITS = 64
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 1 << 16
+EDGES_AT_ONCE = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -181,16 +182,45 @@ def near_edges(reps: DataFrame, radius: int = 3) -> DataFrame:
     return spread.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task to stars: each node with the smallest one that they join it to."""
+
+    def joined(u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        nodes, place = np.unique(np.concatenate([*u, *v]), return_inverse=True)
+        half = len(place) // 2
+        parent = merged(np.arange(len(nodes)), place[:half], place[half:])
+        far = parent != np.arange(len(nodes))
+        return nodes[far], nodes[parent[far]]
+
+    us, vs, n = [], [], 0
+    for batch in batches:
+        us.append(batch.column("u").to_numpy())
+        vs.append(batch.column("v").to_numpy())
+        n += batch.num_rows
+        if n >= 2 * EDGES_AT_ONCE:
+            u, v = joined(us, vs)
+            us, vs, n = [u], [v], len(u)
+            if n >= EDGES_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                us, vs, n = [], [], 0
+    if n:
+        u, v = joined(us, vs)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for each node of ``edges`` (u > v).
 
-    Alternates large-star and small-star: neighbours are hung below the smallest
+    Edges are first joined to stars within tasks of ``EDGES_AT_ONCE`` at most. If there are more tasks than one, large-star and
+    small-star alternate: neighbours are hung below the smallest
     one until each component is a star. A round is a few joins; the rounds grow with
     the logarithm of the longest path. Each round is checkpointed.
     """
     edges = checkpointed(edges)
+    tasks = max(1, -(-edges.count() // EDGES_AT_ONCE))
+    edges = checkpointed(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
     seen = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if tasks > 1 else 0):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
@@ -203,7 +233,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = checkpointed(small.select("e.*").where("u <> v").distinct())
     else:
-        raise RuntimeError(f"no stars after {most_rounds} rounds")
+        if tasks > 1:
+            raise RuntimeError(f"no stars after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
