@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import metadata as md
 from ..functions import text as tx
 
 K1, B = 1.2, 0.75
@@ -30,6 +34,17 @@ def postings(chunks: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id", "column_name", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("positions"))
 
 
+def weight(n: Column, having: Column) -> Column:
+    """What a phrase that ``having`` of ``n`` chunks hold tells."""
+    idf = F.log((n - having + 0.5) / (having + 0.5))
+    return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+
+
+def share(f: Column, length: Column, mean: Column) -> Column:
+    """Of a phrase that stands ``f`` times in a chunk of that length."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+
 def bm25(chunks: DataFrame, query: str) -> DataFrame:
     """``doc_id, rank`` (lower is better) of chunks that hold all phrases of the query.
 
@@ -50,20 +65,76 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     hits = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(phrases)))).withColumn("whole", whole)
     rank = F.lit(0.0)
     for k in range(len(phrases)):
-        n, f = F.col(f"whole.n{k}"), F.col(f"f{k}")
-        idf = F.log((F.col("whole.n") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        rank = rank - idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("whole.mean"))))
+        rank = rank - weight(F.col("whole.n"), F.col(f"whole.n{k}")) * share(F.col(f"f{k}"), F.col("length"), F.col("whole.mean"))
     return hits.select("doc_id", rank.alias("rank"))
 
 
+def _back(k: int) -> Callable[[Column], Column]:
+    return lambda place: place - k
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """The stored inverted index: ``postings`` (see above) by term, and ``lengths`` (doc_id, length) of all chunks.
+
+    A search reads the postings of its own terms alone; files sorted by term are skipped by their statistics.
+    """
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    @staticmethod
+    def written(chunks: DataFrame, place: str) -> TextIndex:
+        spark = chunks.sparkSession
+        found = postings(chunks)
+        found.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{place}/postings")
+        stored = spark.read.parquet(f"{place}/postings")
+        # Chunks without any token count as well.
+        sums = stored.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+        own = chunks.select(F.col("id").alias("doc_id")).join(sums, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
+        own.write.mode("overwrite").parquet(f"{place}/lengths")
+        return TextIndex.read(spark, place)
+
+    @staticmethod
+    def read(spark: SparkSession, place: str) -> TextIndex:
+        return TextIndex(spark.read.parquet(f"{place}/postings"), spark.read.parquet(f"{place}/lengths"))
+
+    def phrase(self, terms: list[str]) -> DataFrame:
+        """``doc_id, f``: how often the terms stand one after the other in a column of the chunk."""
+        named = [self.postings.where(F.col("term") == t).select("doc_id", "column_name", F.transform("positions", _back(k)).alias(f"at{k}")) for k, t in enumerate(terms)]
+        found = named[0]
+        for k, more in enumerate(named[1:], 1):
+            found = found.join(more, ["doc_id", "column_name"]).withColumn("at0", F.array_intersect("at0", f"at{k}")).drop(f"at{k}")
+        return found.groupBy("doc_id").agg(F.sum(F.size("at0")).alias("f")).where("f > 0")
+
+    def bm25(self, query: str) -> DataFrame:
+        """The same ranks as ``bm25`` over the chunks."""
+        phrases = tx.query_phrases(query)
+        if not phrases:
+            return self.lengths.select("doc_id", F.lit(0.0).alias("rank")).where(F.lit(False))
+        whole = self.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).select(F.struct("*")).scalar()
+        each = [self.phrase(p) for p in phrases]
+        hits = self.lengths
+        for k, found in enumerate(each):
+            hits = hits.join(found.withColumnRenamed("f", f"f{k}"), "doc_id")
+        hits = hits.withColumn("whole", whole)
+        rank = F.lit(0.0)
+        for k, found in enumerate(each):
+            hits = hits.withColumn(f"n{k}", found.agg(F.count("*")).scalar())
+            rank = rank - weight(F.col("whole.n"), F.col(f"n{k}")) * share(F.col(f"f{k}"), F.col("length"), F.col("whole.mean"))
+        return hits.select("doc_id", rank.alias("rank"))
+
+
 def candidate_limit(top_k: int, filtered: bool) -> int:
     return top_k * (50 if filtered else 3)
 
 
-def fts_search(chunks: DataFrame, query: str, top_k: int, predicate: Column | None = None, prefilter: bool = False) -> DataFrame:
-    """The best ``top_k``. A predicate applies to the pool of candidates, or before ranking with ``prefilter``."""
-    ranked = bm25(chunks, query)
+def fts_search(chunks: DataFrame, query: str, top_k: int, predicate: Column | None = None, prefilter: bool = False, ranked: DataFrame | None = None) -> DataFrame:
+    """The best ``top_k``. A predicate applies to the pool of candidates, or before ranking with ``prefilter``.
+
+    ``ranked`` has ranks that are computed already, from a ``TextIndex`` or from chunks without their sources.
+    """
+    ranked = bm25(chunks, query) if ranked is None else ranked
     if predicate is not None and prefilter:
         return ranked.join(chunks.where(predicate).select(F.col("id").alias("doc_id")), "doc_id", "left_semi").orderBy("rank", "doc_id").limit(top_k)
     pool = ranked.orderBy("rank", "doc_id").limit(candidate_limit(top_k, predicate is not None))
@@ -72,19 +143,38 @@ def fts_search(chunks: DataFrame, query: str, top_k: int, predicate: Column | No
     return pool.orderBy("rank", "doc_id").limit(top_k)
 
 
+def scanned_chunks(chunks: DataFrame) -> DataFrame:
+    """The first REGEX_SCAN chunks by id: their ids alone are ordered."""
+    last = chunks.select("id").orderBy("id").limit(REGEX_SCAN).agg(F.max("id")).scalar()
+    return chunks.where(F.col("id") <= last)
+
+
 def grep(chunks: DataFrame, pattern: str, regex: bool = False, limit: int = 20, context: int = 120) -> DataFrame:
-    """First match of each chunk, by id: ``id, line, match, context``.
+    """First match of each chunk, by id: ``id, line, match, context``, and the lines of its metadata where there are some.
 
     A literal is found whatever its case. A regular expression minds case and looks at
-    the first REGEX_SCAN chunks only.
+    the first REGEX_SCAN chunks only; ``grep_report`` tells how many were.
     """
-    scanned = chunks.orderBy("id").limit(REGEX_SCAN) if regex else chunks
+    scanned = scanned_chunks(chunks) if regex else chunks
     expression = pattern if regex else "(?iu)" + tx.java_quote(pattern)
     hits = scanned.where(F.col("content").rlike(expression)).orderBy("id").limit(tx.clamp(limit, 20, 1, 200))
     start = F.regexp_instr("content", F.lit(expression))
     found = F.regexp_extract("content", expression, 0)
     named = hits.withColumn("__start", start).withColumn("match", found)
+    lines = [md.field("metadata", c).cast("long").alias(c) for c in ("start_line", "end_line")] if "metadata" in chunks.columns else []
     return named.select(
         "id", "source_id", "collection_id", "chunk_index", tx.line_number(F.col("content"), F.col("__start")).alias("line"), "match",
-        tx.match_context(F.col("content"), F.col("__start"), F.char_length("match"), context).alias("context"),
+        tx.match_context(F.col("content"), F.col("__start"), F.char_length("match"), context).alias("context"), *lines,
     )
+
+
+def grep_report(chunks: DataFrame, pattern: str, regex: bool = False, limit: int = 20) -> DataFrame:
+    """One row: ``matches``, ``limit_reached``, and for a regular expression ``scanned``, the chunks looked at until the limit."""
+    most = tx.clamp(limit, 20, 1, 200)
+    found = grep(chunks, pattern, regex, limit).agg(F.count("*").alias("matches"), F.max("id").alias("last"))
+    reached = (F.col("matches") >= most).alias("limit_reached")
+    if not regex:
+        return found.select("matches", reached, F.lit(None).cast("long").alias("scanned"))
+    whole = found.select(F.struct("matches", "last")).scalar()
+    looked = scanned_chunks(chunks).where((whole["matches"] < most) | (F.col("id") <= whole["last"]))
+    return found.select("matches", reached, looked.agg(F.count("*")).scalar().alias("scanned"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as md
@@ -133,12 +134,10 @@ def page_size(limit: int) -> int:
     return PAGE if limit <= 0 else min(limit, MOST_PAGE)
 
 
-def chunk_page(chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward: bool = False) -> DataFrame:
-    """Rows after (before) the cursor in the order (source_id, chunk_index), without contents.
-
-    A page is a top-k over the key; files sorted by the key are skipped by their statistics.
-    """
+def _chunk_rows(chunks: DataFrame, cursor: str, n: int, backward: bool, collection_id: int | None) -> DataFrame:
     rows = chunks.select("id", "source_id", "collection_id", "chunk_index", "title")
+    if collection_id is not None:
+        rows = rows.where(F.col("collection_id") == collection_id)
     if backward and not cursor:
         return rows.where(F.lit(False))
     if cursor:
@@ -148,37 +147,59 @@ def chunk_page(chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward:
             rows = rows.where((s <= at.source_id) & ((s < at.source_id) | (i < at.chunk_index)))
         else:
             rows = rows.where((s >= at.source_id) & ((s > at.source_id) | (i > at.chunk_index)))
-    if backward:
-        rows = rows.orderBy(F.desc("source_id"), F.desc("chunk_index")).limit(page_size(limit))
-    else:
-        rows = rows.orderBy("source_id", "chunk_index").limit(page_size(limit))
-    return rows.orderBy("source_id", "chunk_index")
+    order = [F.desc("source_id"), F.desc("chunk_index")] if backward else ["source_id", "chunk_index"]
+    return rows.orderBy(*order).limit(n).orderBy("source_id", "chunk_index")
 
 
-def page_with_cursors(chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward: bool = False) -> tuple[list, str, str]:
-    """A page for a caller: its rows, and cursors to the page before and after (empty: there is none)."""
-    n = page_size(limit)
-    rows = chunk_page(chunks, cursor, min(n + 1, MOST_PAGE), backward).collect()
+def chunk_page(chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward: bool = False, collection_id: int | None = None) -> DataFrame:
+    """Rows after (before) the cursor in the order (source_id, chunk_index), without contents; of one collection or all.
+
+    A page is a top-k over the key; files sorted by the key are skipped by their statistics.
+    """
+    return _chunk_rows(chunks, cursor, page_size(limit), backward, collection_id)
+
+
+def _page(rows: list, n: int, cursor: str, backward: bool, key: Callable[[Row], str]) -> tuple[list, str, str]:
+    """Cuts ``n + 1`` rows or less to a page and gives the cursors before and after it (empty: there is none).
+
+    The row too many tells only of the direction walked; on the other side there is what the cursor came from.
+    """
     more = len(rows) > n
     if more:
         rows = rows[1:] if backward else rows[:-1]
     if not rows:
         return [], "", ""
-    first, last = (str(Cursor(r.source_id, r.chunk_index)) for r in (rows[0], rows[-1]))
-    before = first if (more if backward else bool(cursor)) else ""
-    after = last if (True if backward else more) else ""
+    before = key(rows[0]) if (more if backward else bool(cursor)) else ""
+    after = key(rows[-1]) if backward or more else ""
     return rows, before, after
 
 
-def source_page(sources: DataFrame, chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward: bool = False) -> DataFrame:
-    rows = sources
+def page_with_cursors(chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward: bool = False, collection_id: int | None = None) -> tuple[list, str, str]:
+    """A page for a caller: its rows, and cursors to the page before and after."""
+    n = page_size(limit)
+    rows = _chunk_rows(chunks, cursor, n + 1, backward, collection_id).collect()
+    return _page(rows, n, cursor, backward, lambda r: str(Cursor(r.source_id, r.chunk_index)))
+
+
+def _source_rows(sources: DataFrame, chunks: DataFrame, cursor: str, n: int, backward: bool, collection_id: int | None) -> DataFrame:
+    rows = sources if collection_id is None else sources.where(F.col("collection_id") == collection_id)
     if backward and not cursor:
         rows = rows.where(F.lit(False))
     elif cursor:
         rows = rows.where(F.col("source_path") < cursor if backward else F.col("source_path") > cursor)
-    order = F.desc("source_path") if backward else F.asc("source_path")
-    page = rows.orderBy(order).limit(page_size(limit))
-    return with_chunk_counts(page, chunks).select("id", "source_path", "source_type", "chunk_count").orderBy("source_path")
+    page = rows.orderBy(F.desc("source_path") if backward else F.asc("source_path")).limit(n)
+    return with_chunk_counts(page, chunks).select("id", "collection_id", "source_path", "source_type", "chunk_count", "last_indexed_at").orderBy("source_path")
+
+
+def source_page(sources: DataFrame, chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward: bool = False, collection_id: int | None = None) -> DataFrame:
+    """Sources after (before) a path, in the order of paths; of one collection or all."""
+    return _source_rows(sources, chunks, cursor, page_size(limit), backward, collection_id)
+
+
+def source_page_with_cursors(sources: DataFrame, chunks: DataFrame, cursor: str = "", limit: int = PAGE, backward: bool = False, collection_id: int | None = None) -> tuple[list, str, str]:
+    n = page_size(limit)
+    rows = _source_rows(sources, chunks, cursor, n + 1, backward, collection_id).collect()
+    return _page(rows, n, cursor, backward, lambda r: r.source_path)
 
 
 # ---- chunks of a source ----

@@ -69,6 +69,14 @@ def cascade(gone: DataFrame, sources: DataFrame, chunks: DataFrame, vectors: Dat
     return left_sources, left_chunks, vectors.join(dead, "document_id", "left_anti")
 
 
+def cascade_counts(gone: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: how many sources, chunks and vectors go with the sources in ``gone`` (id)."""
+    ids = gone.select("id").distinct()
+    dead = chunks.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("id").alias("document_id"))
+    n_vectors = vectors.join(dead, "document_id", "left_semi").agg(F.count("*")).scalar()
+    return ids.agg(F.count("*").alias("sources")).select("sources", dead.agg(F.count("*")).scalar().alias("chunks"), n_vectors.alias("vectors"))
+
+
 def prune(sources: DataFrame, chunks: DataFrame, vectors: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Without what the listing lacks; sources with a scheme in their path aren't files and stay."""
     gone = removed(sources.where(~F.contains("source_path", F.lit("://"))), present)
@@ -91,6 +99,16 @@ def paths_rewritten(sources: DataFrame, old: str, new: str) -> DataFrame:
     return sources.withColumn("source_path", tx.rewrite_prefix("source_path", old, new))
 
 
+def rewritten_count(sources: DataFrame, old: str) -> DataFrame:
+    """One row: how many paths a rewrite of the prefix changes."""
+    return sources.where(tx.starts_with("source_path", old)).agg(F.count("*").alias("rewritten"))
+
+
+def rebuilt_vectors(vectors: DataFrame, cache: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and cached query vectors after a change of the dimension: none of another one stays, and all chunks have to be embedded anew."""
+    return vectors.where(F.size("embedding") == dimension), cache.where(F.size("embedding") == dimension)
+
+
 # ---- collections ----
 
 
@@ -139,6 +157,11 @@ def model_upserted(models: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*[take[c].alias(c) if c in take else F.col(c) for c in models.columns])
 
 
+def models_listed(models: DataFrame) -> DataFrame:
+    """Newest first."""
+    return models.orderBy(F.desc("id"))
+
+
 def model_activated(models: DataFrame, path: str) -> DataFrame:
     if models.where(F.col("path") == path).isEmpty():
         raise KeyError(path)

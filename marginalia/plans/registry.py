@@ -5,6 +5,7 @@ The SQL shares one prefix of common tables (``tables.LIBRARY_SQL``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from ..functions import text as tx
 from ..functions import vectors as vf
 from ..operators import chunking, filters, fusion, lexical, library, maintain, vector
 from ..operators.filters import Filters
+from ..sources import books, repositories
 from .hybrid import hybrid_search
 from .tables import LIBRARY_SQL, Library
 
@@ -129,14 +131,15 @@ def vec_related(lib: Library) -> DataFrame:
     return vector.related(lib.vectors, 0, 10).select("document_id", F.round("distance", 4).alias("distance"))
 
 
-@query("SELECT document_id FROM vectors WHERE document_id NOT IN (SELECT id FROM chunks)")
+@query("SELECT document_id FROM vectors WHERE document_id NOT IN (SELECT id FROM chunks WHERE source_id % 3 <> 0)")
 def orphan_vectors(lib: Library) -> DataFrame:
-    return vector.orphans(lib.vectors, lib.chunks).select("document_id")
+    """A third of the sources has lost its chunks."""
+    return vector.orphans(lib.vectors, lib.chunks.where("source_id % 3 <> 0")).select("document_id")
 
 
 # ---- full text ----
 
-_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower({c})), '\\p{{M}}+', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _TOKENIZED = f"tokenized AS (SELECT id, {_TOKENS.format(c='title')} AS a, {_TOKENS.format(c='content')} AS b FROM chunks)"
 
 
@@ -159,10 +162,10 @@ ranked AS (SELECT doc_id, 0.0 {rank} AS rank FROM counted, stats WHERE {" AND ".
 """
 
 
-@query("SELECT id, a AS title_tokens, len(b) AS n_tokens, list_sort(list_distinct(b))[:20] AS tokens FROM tokenized", _TOKENIZED)
+@query("SELECT id, a AS title_tokens, len(b) AS n_tokens, list_sort(list_distinct(b)) AS tokens FROM tokenized", _TOKENIZED)
 def fts_tokenize(lib: Library) -> DataFrame:
     own = lib.chunks.select("id", tx.tokens("title").alias("title_tokens"), tx.tokens("content").alias("t"))
-    return own.select("id", "title_tokens", F.size("t").alias("n_tokens"), F.slice(F.array_sort(F.array_distinct("t")), 1, 20).alias("tokens"))
+    return own.select("id", "title_tokens", F.size("t").alias("n_tokens"), F.array_sort(F.array_distinct("t")).alias("tokens"))
 
 
 @query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 10", _bm25_sql("ingre"))
@@ -229,7 +232,7 @@ def rrf_fusion(lib: Library) -> DataFrame:
 
 @query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql()}")
 def hybrid_search_query(lib: Library) -> DataFrame:
-    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0)))
+    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), chunks=lib.chunks))
 
 
 QUERIES["hybrid_search"] = QUERIES.pop("hybrid_search_query")
@@ -238,18 +241,18 @@ ORACLES["hybrid_search"] = ORACLES.pop("hybrid_search_query")
 
 @query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql(chr(39).join(['source_type = ', 'en', '']) + ' AND contains(lower(source_path), ' + chr(39) + 'src1' + chr(39) + ')', 'wide', 500)}")
 def hybrid_search_filtered(lib: Library) -> DataFrame:
-    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), Filters(source_type="en", path="SRC1")))
+    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), Filters(source_type="en", path="SRC1"), chunks=lib.chunks))
 
 
 @query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql(weights=(1.0, 0.0))}")
 def hybrid_zero_weight(lib: Library) -> DataFrame:
     """A weight of 0 keeps its rows, with nothing to add."""
-    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), vector_weight=1.0, text_weight=0.0))
+    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), vector_weight=1.0, text_weight=0.0, chunks=lib.chunks))
 
 
 @query(_BEST, f"{_NEAR.replace('LIMIT 200', 'LIMIT 0')},{_bm25_sql('atble')},{_fused_sql()}")
 def hybrid_text_only(lib: Library) -> DataFrame:
-    return _best(hybrid_search(lib.joined, lib.vectors, "atble", None))
+    return _best(hybrid_search(lib.joined, lib.vectors, "atble", None, chunks=lib.chunks))
 
 
 # ---- grep ----
@@ -412,7 +415,7 @@ def page_chunks_backward(lib: Library) -> DataFrame:
 
 
 @query("""
-SELECT s.id, source_path, source_type, n AS chunk_count FROM sources s JOIN (SELECT source_id, count(*) AS n FROM chunks GROUP BY 1) c ON s.id = c.source_id
+SELECT s.id, collection_id, source_path, source_type, n AS chunk_count, last_indexed_at FROM sources s JOIN (SELECT source_id, count(*) AS n FROM chunks GROUP BY 1) c ON s.id = c.source_id
 WHERE source_path > '/src12/' ORDER BY source_path LIMIT 100
 """)
 def page_sources(lib: Library) -> DataFrame:
@@ -484,13 +487,12 @@ def run_counters(lib: Library) -> DataFrame:
     return maintain.run_counts(maintain.changes(files, known))
 
 
-@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id", plain=True)
+@query("SELECT user_id, arg_max(event_id, (event_id % 7 = 1, ts, event_id)) AS event_id FROM events GROUP BY user_id", plain=True)
 def upsert_latest_wins(lib: Library) -> DataFrame:
-    """Half of the events are stored, the others come later: each user keeps the latest."""
+    """A seventh of the events comes anew: a user's newest of these stays, or else the latest of those stored."""
     events = lib.table("events").select("user_id", "event_id", "ts").withColumn("at", F.struct("ts", "event_id"))
-    stored, new = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
-    latest = maintain.upserted(stored.unionByName(new), new.where("false"), ["user_id"], "at")
-    return latest.select("user_id", "event_id")
+    stored, new = events.where("event_id % 7 <> 1"), events.where("event_id % 7 = 1")
+    return maintain.upserted(stored, new, ["user_id"], "at").select("user_id", "event_id")
 
 
 @query("SELECT vec_id AS id, len(embedding) AS n FROM embeddings ORDER BY vec_id DESC LIMIT 300", plain=True)
@@ -530,25 +532,42 @@ def snippets(lib: Library) -> DataFrame:
 
 
 @query("""
-SELECT id, CASE source_type WHEN 'de' THEN 'vscode://file' || source_path || ':1' ELSE CASE WHEN starts_with(source_path, '/src7/') THEN 'obsidian://open?vault=My+Notes&file=' || replace(substr(source_path, 7), '/', '%2F') ELSE 'file://' || source_path END END AS uri
-FROM sources WHERE NOT (source_type = 'de' AND starts_with(source_path, '/src7/'))
+SELECT id, CASE
+  WHEN id % 11 = 3 THEN 'https://site.example/' || id
+  WHEN id % 13 = 5 THEN NULL
+  WHEN starts_with(source_path, '/src7/') THEN 'obsidian://open?vault=My+Notes&file=' || replace(substr(source_path, 7), '/', '%2F')
+  WHEN source_type = 'de' THEN 'vscode://file' || source_path || ':' || CASE WHEN id % 2 = 0 THEN CAST(id % 50 AS VARCHAR) ELSE '1' END
+  ELSE 'file://' || source_path END AS uri
+FROM sources
 """)
 def source_uris(lib: Library) -> DataFrame:
-    kind = F.when(F.col("source_type") == "de", F.lit("code")).otherwise(F.col("source_type"))
-    uri = md.source_uri(F.col("source_path"), kind, F.lit(""), {"/src7": "My Notes"})
-    return lib.sources.where("NOT (source_type = 'de' AND startswith(source_path, '/src7/'))").select("id", uri.alias("uri"))
+    """Some sources have a url of their own, some are commits, some code has a line, and some code lies in a vault."""
+    row = F.col("id")
+    kind = F.when(row % 13 == 5, F.lit("commit")).when(F.col("source_type") == "de", F.lit("code")).otherwise(F.col("source_type"))
+    url = F.when(row % 11 == 3, F.concat(F.lit("https://site.example/"), row.cast("string"))).alias("url")
+    about = F.to_json(F.struct(url, F.when(row % 2 == 0, row % 50).alias("start_line")))
+    return lib.sources.select("id", md.source_uri(F.col("source_path"), kind, about, {"/src7": "My Notes"}).alias("uri"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?i)\\b(?:from|into|join)\\s+([a-z_]\\w*(?:\\.[a-z_]\\w*)*)', 1)))[:50] AS tables FROM (SELECT doc_id, replace(text, ' of ', ' from ') AS text FROM docs WHERE lang = 'en')")
+@query("SELECT doc_id, (SELECT coalesce(list(t ORDER BY k)[:50], []) FROM (SELECT t, min(k) AS k FROM (SELECT unnest(found) AS t, unnest(range(len(found))) AS k FROM (SELECT regexp_extract_all(text, '(?i)\\b(?:from|into|join)\\s+([a-z_]\\w*(?:\\.[a-z_]\\w*)*)', 1) AS found)) GROUP BY t)) AS tables FROM (SELECT doc_id, replace(replace(replace(text, ' of ', ' from '), ' de ', ' JOIN '), ' der ', ' Into ') AS text FROM docs)")
 def sql_table_names(lib: Library) -> DataFrame:
-    """What would name a table if ``of`` read ``from``."""
-    text = F.replace(F.col("text"), F.lit(" of "), F.lit(" from "))
-    return lib.documents.where("lang = 'en'").select("doc_id", F.slice(F.array_sort(tx.sql_tables(text, 1 << 20)), 1, 50).alias("tables"))
+    """What would name a table, the first fifty, if some small words were those of a statement."""
+    text = F.col("text")
+    for word, key in ((" of ", " from "), (" de ", " JOIN "), (" der ", " Into ")):
+        text = F.replace(text, F.lit(word), F.lit(key))
+    return lib.documents.select("doc_id", tx.sql_tables(text).alias("tables"))
 
 
-@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(?m)^\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*\\(\\)', 1))) AS names FROM pages", plain=True)
+@query("""
+SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_extract(x, '^(function[ \\t]+)?([A-Za-z_][A-Za-z0-9_]*)[ \\t]*\\([ \\t]*\\)', 2)), lambda n: n <> ''))) AS names
+FROM (SELECT doc_id, replace(replace(replace(text, ' the ', chr(10) || 'function '), ' and ', chr(10) || ' '), ' ', '( )' || chr(10)) AS t FROM docs)
+""")
 def shell_functions(lib: Library) -> DataFrame:
-    return lib.table("pages").select("page_id", F.array_sort(tx.shell_functions("html")).alias("names"))
+    """Texts as scripts: some words lead a definition, some lines are indented and define nothing."""
+    text = F.col("text")
+    for word, key in ((" the ", "\nfunction "), (" and ", "\n "), (" ", "( )\n")):
+        text = F.replace(text, F.lit(word), F.lit(key))
+    return lib.documents.select("doc_id", F.array_sort(tx.shell_functions(text)).alias("names"))
 
 
 @query("SELECT source_id FROM chunks LEFT JOIN embeddings e ON e.vec_id = source_id + chunk_index GROUP BY source_id HAVING count(*) = count(e.vec_id) AND bool_or(trim(content) <> '')")
@@ -589,8 +608,141 @@ def turn_neighbours(lib: Library) -> DataFrame:
     return lib.table("conversations").select("conv_id", "turn", "role", F.lag("turn").over(w).alias("before"), F.lead("turn").over(w).alias("after"))
 
 
-@query("SELECT doc_id, coalesce(left(message, 7), '') AS short, n_parts FROM (SELECT doc_id, text AS message, len(string_split(line, '|')) AS n_parts FROM (SELECT doc_id, text, doc_id || '|' || lang || '|' || source || '|' || n_chars || '|' || 'subject' AS line FROM docs))")
+@query("""
+SELECT source AS repo, CAST(doc_id AS VARCHAR) AS sha, lang AS author_name, n_chars || '@mail.example' AS author_email, '2024-01-01' AS author_date, replace(left(text, 60), ' ', '|') AS subject
+FROM docs WHERE doc_id % 5 <> 2
+""")
 def commit_lines(lib: Library) -> DataFrame:
-    """Log lines are split at bars into five parts."""
-    line = F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"), F.lit("subject"))
-    return lib.documents.select("doc_id", F.left("text", F.lit(7)).alias("short"), F.size(F.split(line, r"\|", 5)).alias("n_parts"))
+    """Log lines of five parts, of which the last may hold bars; lines of fewer parts are no commits."""
+    parts = ["doc_id", "lang", F.concat(F.col("n_chars").cast("string"), F.lit("@mail.example")), F.lit("2024-01-01"), F.replace(F.left("text", F.lit(60)), F.lit(" "), F.lit("|"))]
+    whole = F.concat_ws("|", F.col("doc_id").cast("string"), *parts[1:])
+    line = F.when(F.col("doc_id") % 5 == 2, F.concat_ws("|", F.col("doc_id").cast("string"), "lang")).otherwise(whole)
+    return repositories.parsed_log(lib.documents.select(F.col("source").alias("repo"), line.alias("line")))
+
+
+@query("SELECT d.source AS repo, CAST(d.doc_id AS VARCHAR) AS sha FROM docs d WHERE d.doc_id % 3 <> 0")
+def commits_not_yet_indexed(lib: Library) -> DataFrame:
+    """A third of the commits are sources already."""
+    log = lib.documents.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("sha"), "doc_id")
+    known = log.where("doc_id % 3 = 0").select(repositories.commit_path(F.col("repo"), F.col("sha")).alias("source_path"))
+    return repositories.new_commits(log, known).select("repo", "sha")
+
+
+@query("SELECT id FROM sources WHERE id % 4 = 1 AND source_type <> 'en'")
+def books_gone(lib: Library) -> DataFrame:
+    """A fourth of the sources are books; the catalog lists the English ones."""
+    own = lib.sources.withColumn("source_path", F.when(F.col("id") % 4 == 1, F.concat(F.lit("calibre:/"), "source_path")).otherwise(F.col("source_path")))
+    listed = lib.sources.where("source_type = 'en'").select(F.element_at(F.split("source_path", "/"), 2).alias("library"), F.substring_index("source_path", "/", -2).alias("path"))
+    return books.gone_books(own, listed).select("id")
+
+
+@query("SELECT count(*) AS sources, (SELECT count(*) FROM chunks WHERE collection_id = 5) AS chunks, (SELECT count(*) FROM vectors WHERE document_id IN (SELECT id FROM chunks WHERE collection_id = 5)) AS vectors FROM sources WHERE collection_id = 5")
+def delete_counts(lib: Library) -> DataFrame:
+    return maintain.cascade_counts(lib.sources.where("collection_id = 5"), lib.chunks, lib.vectors)
+
+
+@query("SELECT count(*) AS rewritten FROM sources WHERE starts_with(source_path, '/src1/')")
+def rewrite_counts(lib: Library) -> DataFrame:
+    return maintain.rewritten_count(lib.sources, "/src1/")
+
+
+def _models(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """Each collection as a model; some come anew, with other sizes."""
+    of = lib.collections.select("id", F.col("name"), F.col("name").alias("path"), (F.col("id") % 3 * 64).cast("int").alias("dimensions"), (F.col("id") % 2 * 512).cast("int").alias("context_window"), (F.col("id") % 4).cast("int").alias("batch_size"), (F.col("id") == 2).alias("is_active"))
+    new = of.where("id % 2 = 0").select("path", F.concat("name", F.lit("!")).alias("name"), F.when(F.col("id") % 4 == 0, 32).otherwise(0).alias("dimensions"), F.lit(2048).alias("context_window"), F.lit(8).alias("batch_size"), F.col("id").alias("id"))
+    return of, new
+
+
+@query("""
+SELECT id, CASE WHEN id % 2 = 0 THEN name || '!' ELSE name END AS name, CASE WHEN id % 4 = 0 THEN 32 ELSE id % 3 * 64 END AS dimensions,
+  CASE WHEN id % 2 = 0 THEN 2048 ELSE 512 END AS context_window, CASE WHEN id % 4 = 0 THEN 8 ELSE id % 4 END AS batch_size, id = 3 AS is_active
+FROM collections ORDER BY id DESC
+""")
+def models_after_update(lib: Library) -> DataFrame:
+    """Models that come anew, one of them made the active one, newest first."""
+    stored, new = _models(lib)
+    after = maintain.model_activated(maintain.model_upserted(stored, new), "src3")
+    return maintain.models_listed(after).select("id", "name", F.col("dimensions").cast("long").alias("dimensions"), F.col("context_window").cast("long").alias("context_window"), F.col("batch_size").cast("long").alias("batch_size"), "is_active")
+
+
+@query("SELECT vec_id AS document_id FROM embeddings WHERE vec_id % 5 <> 0", plain=True)
+def vectors_after_rebuild(lib: Library) -> DataFrame:
+    """A fifth of the vectors is of another dimension."""
+    v = lib.table("embeddings").select(F.col("vec_id").alias("document_id"), F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding"))
+    return maintain.rebuilt_vectors(v, v, 64)[0].select("document_id")
+
+
+@query("""
+SELECT name, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 4 + 1 = 1 THEN '1 repository' ELSE (id % 4 + 1) || ' repositories' END ELSE 'about ' || name END AS shown,
+  CASE WHEN id % 3 = 0 THEN id % 4 + 1 ELSE 0 END AS repositories
+FROM collections
+""")
+def collection_descriptions(lib: Library) -> DataFrame:
+    """Watermarks of code collections are shown as a count; other descriptions as they are."""
+    keys = F.transform(F.sequence(F.lit(0), (F.col("id") % 4).cast("int")), lambda k: F.concat(F.lit("/repo"), k.cast("string")))
+    held = F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.sha1(k))))
+    described = lib.collections.withColumn("description", F.when(F.col("id") % 3 == 0, held).otherwise(F.concat(F.lit("about "), "name")))
+    marks = F.coalesce(F.size(md.watermarks(F.col("description"))), F.lit(0))
+    return described.select("name", md.described(F.col("description")).alias("shown"), F.greatest(marks, F.lit(0)).cast("long").alias("repositories"))
+
+
+_PLACED = "placed AS (SELECT source_id, chunk_index, row_number() OVER (ORDER BY source_id, chunk_index) - 1 AS k, count(*) OVER () AS n FROM chunks)"
+
+
+@query("""
+SELECT page, count(*) AS rows, CASE WHEN page > 0 THEN arg_min(spot, k) ELSE '' END AS before, CASE WHEN (page + 1) * 500 < max(n) THEN arg_max(spot, k) ELSE '' END AS after
+FROM (SELECT k // 500 AS page, source_id || ':' || chunk_index AS spot, k, n FROM placed) GROUP BY page
+""", _PLACED)
+def page_walk(lib: Library) -> DataFrame:
+    """All pages of the largest size, each from the cursor of the one before it."""
+    found, cursor = [], ""
+    while cursor or not found:
+        rows, before, after = library.page_with_cursors(lib.chunks, cursor, 500)
+        found.append((len(found), len(rows), before, after))
+        cursor = after
+    return lib.spark.createDataFrame(found, "page long, rows long, before string, after string")
+
+
+@query("SELECT id, source_id, collection_id, chunk_index, title FROM chunks WHERE collection_id = 5 AND (source_id, chunk_index) < (400, 0) ORDER BY source_id DESC, chunk_index DESC LIMIT 20")
+def page_chunks_of_collection(lib: Library) -> DataFrame:
+    return library.chunk_page(lib.chunks, "400:0", 20, backward=True, collection_id=5)
+
+
+@query("""
+SELECT s.id, source_path, n AS chunk_count FROM sources s JOIN (SELECT source_id, count(*) AS n FROM chunks GROUP BY 1) c ON s.id = c.source_id
+WHERE s.collection_id = 5 AND source_path < '/src5/fr/' ORDER BY source_path DESC LIMIT 10
+""")
+def page_sources_of_collection(lib: Library) -> DataFrame:
+    return library.source_page(lib.sources, lib.chunks, "/src5/fr/", 10, backward=True, collection_id=5).select("id", "source_path", "chunk_count")
+
+
+@query("""
+SELECT (SELECT count(*) FROM hits) AS matches, (SELECT count(*) >= 20 FROM hits) AS limit_reached,
+  (SELECT count(*) FROM pool WHERE (SELECT count(*) < 20 FROM hits) OR id <= (SELECT max(id) FROM hits)) AS scanned
+""", """
+pool AS (SELECT * FROM chunks ORDER BY id LIMIT 20000),
+hits AS (SELECT id FROM pool WHERE regexp_matches(content, '[Tt]h[a-z]+ble of [a-z]+') ORDER BY id LIMIT 20)
+""")
+def grep_scanned(lib: Library) -> DataFrame:
+    return lexical.grep_report(lib.chunks, "[Tt]h[a-z]+ble of [a-z]+", regex=True)
+
+
+@query("SELECT id, length(match) AS n FROM (SELECT id, regexp_extract(strip_accents(lower(content)), 'ecole[a-z]*') AS match FROM (SELECT id, replace(content, 'e', 'e' || chr(769)) || ' E' || chr(769) || 'cole' AS content FROM chunks)) WHERE match <> ''")
+def decomposed_accents(lib: Library) -> DataFrame:
+    """Letters with their marks written apart make the same tokens as composed ones."""
+    text = F.concat(F.replace(F.col("content"), F.lit("e"), F.lit("e\u0301")), F.lit(" E\u0301cole"))
+    found = F.filter(tx.tokens(text), lambda t: F.startswith(t, F.lit("ecole")))
+    return lib.chunks.select("id", F.char_length(F.get(found, F.lit(0))).cast("long").alias("n")).where("n is not null")
+
+
+def _index(lib: Library) -> lexical.TextIndex:
+    """The stored index of the chunks, written below the shared folder."""
+    root = lib.spark.conf.get("spark.checkpoint.dir", None) or lib.spark.conf.get("spark.sql.warehouse.dir")
+    return lexical.TextIndex.written(lib.chunks, f"{root}/text-index-{uuid.uuid4()}")
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 20", _bm25_sql("is-the ingre"))
+def fts_stored_index(lib: Library) -> DataFrame:
+    """A phrase and a word, looked up in the stored postings."""
+    ranked = _index(lib).bm25("is-the ingre")
+    return ranked.orderBy("rank", "doc_id").limit(20).select("doc_id", F.round("rank", 12).alias("rank"))

@@ -71,7 +71,9 @@ class Library:
     def chunks(self) -> DataFrame:
         rows = self.documents.select(F.col("doc_id").alias("source_id"), "collection_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("title"), self.metadata.alias("metadata"), "text")
         cut = chunking.chunk_plain(rows).withColumn("chunk_index", F.col("chunk_index").cast("long"))
-        return cut.withColumn("id", F.col("source_id") * CHUNKS_PER_SOURCE + F.col("chunk_index"))
+        # A source of more chunks would run into the next one's ids.
+        index = F.when(F.col("chunk_index") < CHUNKS_PER_SOURCE, F.col("chunk_index")).otherwise(F.raise_error(F.lit("a source has too many chunks")).cast("long"))
+        return cut.withColumn("id", F.col("source_id") * CHUNKS_PER_SOURCE + index)
 
     @cached_property
     def joined(self) -> DataFrame:

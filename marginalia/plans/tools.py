@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metadata as md
@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..operators import filters, lexical, library, maintain, vector
 from ..operators.embed import Embedder
 from ..operators.filters import Filters
+from ..schema import QUERY_CACHE
 from ..sources.settings import Settings
 from .hybrid import hybrid_search
 
@@ -33,6 +34,8 @@ class Tools:
     #: Query vectors by (model_key, query), and the key of the model in use.
     cache: DataFrame | None = None
     model_key: str = ""
+    #: The stored inverted index of the chunks, if there is one.
+    index_of_text: lexical.TextIndex | None = None
 
     def query_vector(self, query: str) -> list[float] | None:
         """From the cache if it is there, else from the model; None if there is none or it fails."""
@@ -43,9 +46,18 @@ class Tools:
             if row is not None and row[0]:
                 return list(row[0])
         try:
-            return self.embedder.embed_batch([query])[0]
+            made = self.embedder.embed_batch([query])[0]
         except Exception:  # noqa: BLE001  the full text alone answers then
             return None
+        if self.cache is not None and len(made):
+            self.cache = self._remembered(query, made)
+        return made
+
+    def _remembered(self, query: str, made: list[float]) -> DataFrame:
+        """The cache with a vector that it missed; the oldest rows beyond its bound go."""
+        last = self.cache.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
+        row = self.cache.sparkSession.createDataFrame([(last + 1, self.model_key, query, [float(x) for x in made])], QUERY_CACHE)
+        return maintain.cache_put(self.cache, row)
 
     @property
     def joined(self) -> DataFrame:
@@ -67,7 +79,7 @@ class Tools:
         """A model that is missing or fails leaves the full text alone."""
         wanted = self.query_vector(query)
         s = self.settings.search
-        found = hybrid_search(self.joined, self.vectors, query, wanted, chosen, s.top_k, s.rrf_k, s.vector_weight, s.fts_weight)
+        found = hybrid_search(self.joined, self.vectors, query, wanted, chosen, s.top_k, s.rrf_k, s.vector_weight, s.fts_weight, self.chunks, self.index_of_text)
         return self._excerpted(found, max_chars).orderBy(F.desc("score"), "id")
 
     def list_collections(self) -> DataFrame:
@@ -96,6 +108,9 @@ class Tools:
         row = library.read_source(self.chunks, found[0]["id"], heading, max_chars).first()
         return {"content": row["content"], "truncated": row["truncated"]} if row else {"content": "", "truncated": False}
 
+    def grep_report(self, pattern: str, regex: bool = False, collection: str = "", source_type: str = "", path: str = "", limit: int = 20) -> DataFrame:
+        return lexical.grep_report(self._scope(collection, source_type, path), pattern, regex, limit)
+
     def grep(self, pattern: str, regex: bool = False, collection: str = "", source_type: str = "", path: str = "", limit: int = 20) -> DataFrame:
         return lexical.grep(self._scope(collection, source_type, path), pattern, regex, limit)
 
@@ -136,11 +151,11 @@ class Tools:
         return statuses, take_in(files.join(statuses.where("status = 'parse'"), "source_path", "left_semi"))
 
     def prune(self, present: DataFrame, collection: str = "") -> Tools:
-        """Without sources that the listing lacks, in one collection or all."""
+        """Without sources that the listing lacks, in one collection, in those of a type, or in all."""
         self._may_write()
-        scope: Column = F.lit(True)
+        own = self.sources.where(~F.contains("source_path", F.lit("://")))
         if collection:
-            row = self.collections.where(filters.in_collection(collection) if collection in filters.COLLECTION_TYPES else F.col("name") == collection).select("id").first()
-            scope = F.col("collection_id") == (row["id"] if row else -1)
-        gone = maintain.removed(self.sources.where(scope & ~F.contains("source_path", F.lit("://"))), present)
+            chosen = F.col("collection_type") == collection if collection in filters.COLLECTION_TYPES else F.col("name") == collection
+            own = own.join(self.collections.where(chosen).select(F.col("id").alias("collection_id")), "collection_id", "left_semi")
+        gone = maintain.removed(own, present)
         return Tools(self.collections, *maintain.cascade(gone, self.sources, self.chunks, self.vectors), self.embedder, self.settings)

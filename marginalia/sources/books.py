@@ -95,3 +95,9 @@ def book_chunks(pages: DataFrame, descriptions: DataFrame, size: int = SIZE, ove
     place = F.row_number().over(Window.partitionBy("book_id").orderBy("kind", "number", "chunk_index")) - 1
     kind = F.when(F.col("kind") == 1, "description").otherwise("text")
     return both.select("book_id", kind.alias("chunk_type"), "number", place.alias("chunk_index"), "content")
+
+
+def gone_books(sources: DataFrame, books: DataFrame) -> DataFrame:
+    """Sources of books (calibre://library/path) that no catalog lists any more; ``books`` has library and path."""
+    listed = books.select(F.concat(F.lit("calibre://"), "library", F.lit("/"), "path").alias("source_path"))
+    return sources.where(F.startswith("source_path", F.lit("calibre://"))).join(listed, "source_path", "left_anti")

@@ -106,46 +106,87 @@ def html_parts(data: bytes, name: str) -> list[Part]:
 
 # ---- Markdown notes ----
 
-# What a note may hold besides Markdown.
-FRONT = re.compile(r"\A---\s*\n(.*?\n)---\s*\n?", re.S | re.A)
-DATAVIEW = re.compile(r"```dataview\s*\n.*?\n```", re.S | re.A)
-EMBED = re.compile(r"!\[\[([^\]]+)\]\]")
-LINK = re.compile(r"\[\[([^\]]+)\]\]")
-TAG = re.compile(r"(?:^|\s)#([\w][\w/\-]*)", re.A)
-FENCED = re.compile(r"```.*?```", re.S)
-INLINE = re.compile(r"`[^`]+`")
-HASHES = re.compile(r"^#{1,6}\s+", re.M | re.A)
-BLANKS = re.compile(r"\n{3,}")
+FENCE = "`" * 3
 
 
-def markdown_note(text: str, name: str) -> Part:
-    """Body, title, and metadata: front matter, tags (front matter's, then inline ones), links."""
-    front: dict = {}
-    if m := FRONT.match(text):
+def front_matter(text: str) -> tuple[dict, str]:
+    """What YAML between two lines of three dashes at the very start holds, and the rest; what isn't YAML is text."""
+    lines = text.split("\n")
+    end = next((k for k, line in enumerate(lines[1:], 1) if line.rstrip() == "---"), 0) if lines[0].rstrip() == "---" else 0
+    if end:
         try:
             import yaml
 
-            held = yaml.safe_load(m[1])
+            held = yaml.safe_load("\n".join(lines[1:end]))
             if held is None or isinstance(held, dict):
-                front, text = held or {}, text[m.end() :]
-        except Exception:  # noqa: BLE001  front matter that isn't YAML is text
-            front = {}
-    given = front.pop("tags", None)
-    tags = [t for t in given if isinstance(t, str)] if isinstance(given, list) else [t.strip() for t in given.split(",")] if isinstance(given, str) else []
-    bare = HASHES.sub("", INLINE.sub("", FENCED.sub("", text)))
-    tags = list(dict.fromkeys(t for t in [*tags, *TAG.findall(bare)] if t))
-    text = EMBED.sub("", DATAVIEW.sub("", text))
-    links: list[str] = []
+                return held or {}, "\n".join(lines[end + 1 :])
+        except Exception:  # noqa: BLE001  a broken block stays in the text
+            pass
+    return {}, text
+
+
+def outside_fences(text: str) -> Iterator[str]:
+    """Lines that no fenced block holds."""
+    inside = False
+    for line in text.split("\n"):
+        if line.startswith(FENCE):
+            inside = not inside
+        elif not inside:
+            yield line
+
+
+def tags_of(text: str) -> Iterator[str]:
+    """Words led by a hash at the start of a line or after a blank, outside of code; a heading's hashes lead none."""
+    for line in outside_fences(text):
+        parts = line.split("`")
+        for word in " ".join(parts[::2] if len(parts) % 2 else [*parts[:-1:2], parts[-1]]).split():
+            if word[0] == "#" and len(word) > 1 and (word[1].isalnum() or word[1] == "_") and word[1].isascii():
+                end = next((k for k, c in enumerate(word[1:], 1) if not (c.isascii() and (c.isalnum() or c in "_/-"))), len(word))
+                yield word[1:end]
+
+
+def without_queries(text: str) -> str:
+    """Without fenced blocks of queries over notes."""
+    kept, inside = [], False
+    for line in text.split("\n"):
+        if line.startswith(FENCE) and (inside or line[3:].strip() == "dataview"):
+            inside = not inside
+        elif not inside:
+            kept.append(line)
+    return "\n".join(kept)
+
+
+def unlinked(text: str) -> tuple[str, list[str]]:
+    """Links shown as their label and target, embedded files left out; and the targets of the links."""
+    shown, targets, at = [], [], 0
+    while (begin := text.find("[[", at)) >= 0 and (end := text.find("]]", begin)) >= 0:
+        embedded = begin > at and text[begin - 1] == "!"
+        shown.append(text[at : begin - embedded])
+        target, bar, label = text[begin + 2 : end].partition("|")
+        if not embedded:
+            targets.append(target.strip())
+            shown.append(f"{label} ({target})" if bar else target)
+        at = end + 2
+    return "".join([*shown, text[at:]]), targets
+
+
+def few_blanks(text: str) -> str:
+    """Two line feeds at most in a row."""
+    while "\n" * 3 in text:
+        text = text.replace("\n" * 3, "\n" * 2)
+    return text.strip()
 
-    def shown(m: re.Match) -> str:
-        target, bar, label = m[1].partition("|")
-        links.append(target.strip())
-        return f"{label} ({target})" if bar else target
 
-    body = BLANKS.sub("\n\n", LINK.sub(shown, text)).strip()
+def markdown_note(text: str, name: str) -> Part:
+    """Body, title, and metadata: front matter, tags (front matter's, then inline ones), links."""
+    front, text = front_matter(text)
+    given = front.pop("tags", None)
+    tags = [t for t in given if isinstance(t, str)] if isinstance(given, list) else [t.strip() for t in given.split(",")] if isinstance(given, str) else []
+    tags = list(dict.fromkeys(t for t in [*tags, *tags_of(text)] if t))
+    body, links = unlinked(without_queries(text))
     title = front.get("title") if isinstance(front.get("title"), str) and front.get("title") else stem(name)
     metadata = {str(k): v for k, v in front.items()} | ({"tags": tags} if tags else {}) | ({"links": list(dict.fromkeys(links))} if links else {})
-    return Part(body, title, metadata)
+    return Part(few_blanks(body), title, metadata)
 
 
 def stem(name: str) -> str:

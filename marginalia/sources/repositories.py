@@ -70,6 +70,17 @@ def parsed_log(lines: DataFrame) -> DataFrame:
     return parts.select("repo", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
+def commit_path(repo: Column, sha: Column) -> Column:
+    """The path under which a commit is a source."""
+    return F.concat(F.lit("git://"), repo, F.lit("#"), sha)
+
+
+def new_commits(commits: DataFrame, sources: DataFrame) -> DataFrame:
+    """Commits (repo, sha) that aren't sources yet."""
+    known = sources.select(F.col("source_path").alias("__path"))
+    return commits.join(known, commit_path(F.col("repo"), F.col("sha")) == F.col("__path"), "left_anti")
+
+
 def file_changes(spark: SparkSession, repo: str, shas: Iterable[str]) -> DataFrame:
     rows = [(repo, sha, line) for sha in shas for line in git(repo, "show", "--numstat", "--format=", sha).splitlines() if line]
     return parsed_numstat(spark.createDataFrame(rows, "repo string, sha string, line string"))

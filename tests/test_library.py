@@ -213,3 +213,63 @@ def test_embedding_failures(spark):
     df = spark.createDataFrame([(f"t{i}",) for i in range(9)] + [("bad",)], "content string")
     found = {r.content: r.embedding for r in embedded(df, lambda: Failing(8)).collect()}
     assert found["bad"] is None and sum(v is not None for v in found.values()) == 9
+
+
+def test_largest_pages_and_collections(spark):
+    rows = [(k, k // 7, k // 7 % 2, k % 7, "t") for k in range(1200)]
+    chunks = spark.createDataFrame(rows, "id long, source_id long, collection_id long, chunk_index long, title string").repartition(3)
+    for own in (None, 1):
+        want = [r[0] for r in rows if own is None or r[2] == own]
+        seen, cursor, cursors = [], "", []
+        while cursor or not seen:
+            page, before, cursor = library.page_with_cursors(chunks, cursor, 500, collection_id=own)
+            seen += [r.id for r in page]
+            cursors.append(before)
+        assert seen == want
+        back, _, after = library.page_with_cursors(chunks, cursors[-1], 500, True, own)
+        assert [r.id for r in back][-1] < want[500 * (len(cursors) - 1)] and len(back) == 500 and after
+    sources = spark.createDataFrame([(k, k % 2, "text", f"/p{k:04}", "") for k in range(30)], "id long, collection_id long, source_type string, source_path string, last_indexed_at string")
+    page, before, after = library.source_page_with_cursors(sources, chunks, "", 10, collection_id=1)
+    assert [r.id for r in page] == list(range(1, 20, 2)) and (before, after) == ("", "/p0019")
+    page, before, after = library.source_page_with_cursors(sources, chunks, after, 10, collection_id=1)
+    assert [r.id for r in page] == list(range(21, 30, 2)) and (before, after) == ("/p0021", "")
+    page, before, after = library.source_page_with_cursors(sources, chunks, before, 5, True, 1)
+    assert [r.id for r in page] == list(range(11, 20, 2)) and (before, after) == ("/p0011", "/p0019")
+
+
+def test_grep_report(spark):
+    rows = [(k, k, 1, 0, "beta" if k % 2 else "no", json.dumps({"start_line": 3, "end_line": 9})) for k in range(60)]
+    chunks = spark.createDataFrame(rows, "id long, source_id long, collection_id long, chunk_index long, content string, metadata string")
+    report = lexical.grep_report(chunks, "b.ta", True, 10).first()
+    assert (report.matches, report.limit_reached, report.scanned) == (10, True, 20)
+    report = lexical.grep_report(chunks, "b.ta", True, 100).first()
+    assert (report.matches, report.limit_reached, report.scanned) == (30, False, 60)
+    assert lexical.grep_report(chunks, "BETA", limit=5).first().limit_reached
+    assert {(r.start_line, r.end_line) for r in lexical.grep(chunks, "beta").collect()} == {(3, 9)}
+
+
+def test_stored_index_ranks_like_the_chunks(lib, tmp_path):
+    index = lexical.TextIndex.written(lib.chunks, str(tmp_path))
+    for query in ("a", "second-beta", "alpha content", "nothing", "", "a a"):
+        want, found = ({r.doc_id: r["rank"] for r in df.collect()} for df in (lexical.bm25(lib.chunks, query), index.bm25(query)))
+        assert found == pytest.approx(want), query
+    by_index = hybrid_search(lib.joined, lib.vectors, "beta", None, index=index).collect()
+    assert by_index == hybrid_search(lib.joined, lib.vectors, "beta", None, chunks=lib.chunks).collect() == hybrid_search(lib.joined, lib.vectors, "beta", None).collect()
+
+
+def test_a_missed_query_vector_is_kept(lib, spark):
+    from marginalia.schema import QUERY_CACHE
+
+    tools = Tools(lib.collections, lib.sources, lib.chunks, lib.vectors, lib.embedder, cache=spark.createDataFrame([], QUERY_CACHE), model_key="m")
+    made = tools.query_vector("words")
+    assert tools.cache.count() == 1 and tools.query_vector("words") == pytest.approx(list(made)) and tools.cache.count() == 1
+    vectors, cache = maintain.rebuilt_vectors(lib.vectors, tools.cache, 32)
+    assert vectors.count() == 0 and cache.count() == 0
+
+
+def test_prune_of_a_type_reaches_all_its_collections(spark, lib):
+    collections = lib.collections.withColumn("collection_type", F.lit("system"))
+    tools = Tools(collections, lib.sources, lib.chunks, lib.vectors, settings=Settings(allow_write=True))
+    assert tools.prune(lib.sources.where("false"), "system").sources.count() == 0
+    counts = maintain.cascade_counts(lib.sources.where("collection_id = 1"), lib.chunks, lib.vectors).first()
+    assert (counts.sources, counts.chunks, counts.vectors) == (2, 3, 3)

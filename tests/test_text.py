@@ -65,6 +65,7 @@ def test_excerpts(spark):
 
 def test_tokens(spark):
     assert one(spark, tx.tokens("t"), t="Crème_brûlée, ÜBER-42 naïve") == ["creme", "brulee", "uber", "42", "naive"]
+    assert one(spark, tx.tokens("t"), t="e\u0301cole Re\u0301sume\u0301") == ["ecole", "resume"]
     assert tx.query_phrases('foo "bar-baz" -- Été') == [["foo"], ["bar", "baz"], ["ete"]]
     assert [tx.escape_query(q) for q in ("", "quick fox", 'foo"bar', '"')] == ["", '"quick" "fox"', '"foo""bar"', '""""']
 
@@ -72,7 +73,7 @@ def test_tokens(spark):
 def test_lists_in_code(spark):
     sql = "CREATE TABLE IF NOT EXISTS a.b (x); select * from t1 join T2; insert into a.b values"
     assert one(spark, tx.sql_tables("t"), t=sql) == ["a.b", "t1", "T2"]
-    assert one(spark, tx.shell_functions("t"), t="f() {\n}\n  g ()\nfunction h {\nf() x") == ["f", "g"]
+    assert one(spark, tx.shell_functions("t"), t="f() {\n}\n  g ()\nfunction h {\nf() x\nfunction  k ( )\nm( ) {") == ["f", "k", "m"]
 
 
 def test_metadata(spark):
