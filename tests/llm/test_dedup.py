@@ -121,7 +121,9 @@ def test_gray_rank_orders_the_gray_sequence():
     assert (simhash.gray_rank(gray) == codes).all()
 
 
-def test_edges_and_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 18, 20])
+def test_edges_and_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "EDGES_AT_ONCE", at_once)
     rng = random.Random(5)
     codes = {}
     for k in range(40):
@@ -136,11 +138,42 @@ def test_edges_and_components(spark):
     assert {i: roots.get(i, i) for i in kept} == plain_components(kept)
 
 
-def test_long_chains(spark):
+@pytest.mark.parametrize("at_once", [1 << 18, 50])
+def test_long_chains(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "EDGES_AT_ONCE", at_once)
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "u long, v long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def test_stars_within_a_task(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(0, 300, 400), rng.integers(0, 300, 400)
+    u, v = np.maximum(u, v), np.minimum(u, v)
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[k : k + 30]), pa.array(v[k : k + 30])], ["u", "v"]) for k in range(0, 400, 30)]
+
+    def groups(edges):
+        parent = {int(x): int(x) for x in np.r_[u, v]}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in edges:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+        return {i: root(i) for i in parent}
+
+    want = groups(zip(u.tolist(), v.tolist(), strict=True))
+    for at_once in (1 << 18, 25):
+        monkeypatch.setattr(simhash, "EDGES_AT_ONCE", at_once)
+        stars = [(r["u"], r["v"]) for b in simhash._forest(iter(batches)) for r in b.to_pylist()]
+        assert groups(stars) == want
+        assert at_once == 25 or {a: b for a, b in stars} == {i: r for i, r in want.items() if i != r}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
