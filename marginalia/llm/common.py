@@ -55,6 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/{uuid.uuid4()}"
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a table that was written below the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage; the files go to the shared folder."""
     checkpoint_folder(df.sparkSession)
