@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, quality, secret_scan, simhash, token_count
+from . import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, packing, quality, secret_scan, simhash, token_count
 from .common import read_table
 
 
@@ -52,11 +52,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs, counts=True)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_source_mixing, op3_secret_scan, op4_quality_classifier, op5_exact_dedup,
-        op6_decontamination, op7_token_counts, op8_simhash_near_dedup, op9_lm_scoring, op10_line_dedup,
+        op6_decontamination, op7_token_counts, op8_simhash_near_dedup, op9_lm_scoring, op10_line_dedup, op11_packing,
     )
 }
 
