@@ -51,7 +51,7 @@ SEED = 77
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text whose rests make a group on average; bytes that are tokenised together; words that a worker remembers.
 GROUP_BYTES = 4 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 MOST_WORDS = 1 << 20
 #: Sequences of a group are numbered in these bits, full ones of a task in those, above ``FULL``.
 GROUP_BITS = 24
@@ -95,22 +95,22 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, bytes] = {}
         #: Ids of all words met, where each word's begin, and where the last one's end.
         self.ids, self.start = array("I"), array("q", [0])
 
     def whole(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
 
-    def _part(self, part: bytes) -> list[int]:
+    def _part(self, part: bytes) -> bytes:
         """Ids of one pre-token, or of a word that only the whole tokenizer can part."""
         if _PLAIN.fullmatch(part):
             letters = part if part.isascii() else part.decode().lower().encode()
             ids = [x.id for x in self.model.tokenize(letters.decode("latin-1").translate(_LETTER_OF_BYTE))]
         else:
             ids = self.whole(part)
-        self.parts[part] = ids
-        return ids
+        self.parts[part] = raw = array("I", ids).tobytes()
+        return raw
 
     def _meet(self, words: list[bytes]) -> None:
         """Learns new words."""
@@ -119,7 +119,7 @@ class Encoder:
             if part == b"\n":
                 self.start.append(len(ids))
             else:
-                ids.extend(known(part) or one(part))
+                ids.frombytes(known(part) or one(part))
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -132,10 +132,12 @@ class Encoder:
         distinct = flat.dictionary.view(pa.binary()).to_pylist()
         self._meet([w for w in distinct if w not in self.place])
         at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[flat.indices.to_numpy(zero_copy_only=False)]
-        start = np.array(self.start)
-        length = start[at + 1] - start[at]
+        # Views end with this call; the arrays grow again in the next.
+        start = np.frombuffer(self.start, np.int64)
+        low, length = start[at], start[at + 1] - start[at]
         ends = np.concatenate([[0], np.cumsum(length)])
-        ids = np.array(self.ids)[np.repeat(start[at] - ends[:-1], length) + np.arange(ends[-1])].astype(np.uint32)
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(low - ends[:-1], length) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.uint32)
+        del start
         cuts = ends[words.offsets.to_numpy()]
         return [odd[k] if k in odd else ids[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
 

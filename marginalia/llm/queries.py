@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, packing, quality, secret_scan, simhash, token_count
+from . import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, packing, prefix_trie, quality, ranked_search, secret_scan, simhash, token_count
 from .common import read_table
 
 
@@ -56,11 +56,20 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_source_mixing, op3_secret_scan, op4_quality_classifier, op5_exact_dedup,
         op6_decontamination, op7_token_counts, op8_simhash_near_dedup, op9_lm_scoring, op10_line_dedup, op11_packing,
+        op12_ranked_search, op13_conversation_prefix_trie,
     )
 }
 
@@ -106,5 +115,59 @@ joined AS (
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+""",
+    "op12_ranked_search": r"""
+WITH words AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)),
+lengths AS (SELECT row, count(*) AS n FROM words GROUP BY row),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+damped AS (SELECT row, 10 + (90 * n * docs) // terms AS m FROM lengths, totals),
+counted AS (SELECT doc_id, row, term, count(*) AS tf FROM words GROUP BY doc_id, row, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, c.row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked a JOIN weights v ON a.term = v.term JOIN counted c ON c.term = a.term JOIN damped d ON d.row = c.row GROUP BY item_id, doc_id, c.row),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM placed WHERE rank <= 10
+""",
+    "op13_conversation_prefix_trie": r"""
+WITH RECURSIVE steps(n, k, v) AS (
+  SELECT n, 0, n FROM range(256) r(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM steps WHERE k = 8),
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 20 AS b,
+         xor(list_reduce(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT)),
+                         lambda s, x: xor(s >> 8, t[CAST(xor(s, x) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc),
+rebuilt AS (
+  SELECT v.c, k, role, text FROM convs v JOIN turns o ON o.c = v.b AND k <= h
+  UNION ALL SELECT v.c, k, role, text FROM convs v JOIN turns o ON o.c = v.c AND k > h),
+whole AS (
+  SELECT v.c, coalesce(list({'role': role, 'text': text} ORDER BY k) FILTER (WHERE k IS NOT NULL), []) AS s
+  FROM convs v LEFT JOIN rebuilt r ON v.c = r.c GROUP BY v.c),
+prefixes AS (SELECT c, len(s) AS n, d, s[1:d] AS p FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d)), sha256('')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS w
+  FROM prefixes GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k ON n.p = k.p AND n.d = k.d),
+below AS (
+  SELECT p[1:a] AS p, a AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM full_nodes) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b ON n.p = b.p AND n.d = b.d LEFT JOIN nodes o ON n.d > 0 AND o.d = n.d - 1 AND o.p = n.p[1:n.d - 1]
 """,
 }
