@@ -134,37 +134,44 @@ def days_since(moment: Column, now: Column) -> Column:
 
 # ---- full-text tokens ----
 
+# Combining marks that belong to the letter before them and are dropped; other marks part tokens.
+_DROPPED = [0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331]
 
-def _without_marks() -> tuple[str, str]:
-    """Letters with diacritics up to U+1EFF and what is left of each without them."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = unicodedata.normalize("NFD", chr(code))[0]
-        if base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
+def _folded(letter: str) -> str:
+    """Simple case folding; a Latin letter with one mark becomes the letter alone."""
+    low = next((x for x in (letter.casefold(), letter.lower()) if len(x) == 1), letter.lower()[:1])
+    parts = unicodedata.normalize("NFD", low)
+    return parts[0] if len(parts) == 2 and parts[0].isascii() and unicodedata.combining(parts[1]) else low
 
-MARKED, PLAIN = _without_marks()
+
+def _fold_table() -> tuple[str, str]:
+    """Letters that fold to others, and those; the marks that are dropped come last and have no other side."""
+    pairs = [(c, _folded(c)) for c in map(chr, (*range(0xD800), *range(0xE000, 0x1F000))) if unicodedata.category(c)[0] in "LN"]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    return "".join(a for a, _ in pairs) + "".join(map(chr, _DROPPED)), "".join(b for _, b in pairs)
+
+
+FOLD_FROM, FOLD_TO = _fold_table()
+_FOLDED = {ord(a): b for a, b in zip(FOLD_FROM, FOLD_TO, strict=False)} | dict.fromkeys(_DROPPED)
 
 
 def tokens(text: Column | str) -> Column:
-    """Runs of letters and digits, in lower case and without diacritics, whether these are part of a letter or marks after it."""
-    low = F.lower(_col(text))
-    # Most texts of some languages have nothing to take away.
-    plain = F.when(low.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(low, MARKED, PLAIN), r"\p{M}+", "")).otherwise(low)
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    """Runs of letters, digits, and characters of private use or yet unknown, folded (see ``_folded``)."""
+    text = _col(text)
+    folded = F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(F.lower(text))
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}\p{Cn}]+"), lambda t: t != "")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The same for a text at hand: a query parts at the characters at which texts do."""
+    folded = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Co", "Cn") else " " for c in text.translate(_FOLDED))
+    return folded.split()
 
 
 def query_phrases(query: str) -> list[list[str]]:
     """White space parts phrases; a phrase is the tokens of its field; fields without tokens are ignored."""
-    out = []
-    for field in query.split():
-        low = "".join(c for c in unicodedata.normalize("NFD", field.lower()) if not unicodedata.combining(c))
-        found = [t for t in re.split(r"[^\w]+|_", low) if t]
-        if found:
-            out.append(found)
-    return out
+    return [found for field in query.split() if (found := tokens_of(field))]
 
 
 def escape_query(query: str) -> str:
@@ -174,28 +181,79 @@ def escape_query(query: str) -> str:
 
 # ---- lists found in code ----
 
-# What stands before a table's name in SQL, and what may stand between.
-_BEFORE_TABLE = ("create table", "alter table", "from", "join", "into")
-_BETWEEN = ("if not exists", "if exists")
+# Words that a table's name follows, alone or after another word, and words between.
+_LEADS = ("from", "join", "into")
+_PAIRS = (("create", "table"), ("alter", "table"))
+_BETWEEN = (("if", "not", "exists"), ("if", "exists"), ())
+_NAME_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_0123456789"
+
+
+def is_name(word: Column) -> Column:
+    """Letters, digits and underscores, no digit first."""
+    first = F.left(word, F.lit(1))
+    return (word != "") & (F.translate(word, _NAME_CHARACTERS, "") == "") & (F.translate(first, "0123456789", "") != "")
+
+
+def _word_facts(word: Column) -> Column:
+    """What a word is as a whole, what its last characters are, and the dotted name that it begins with (empty where none)."""
+    others, beyond_dots = F.translate(word, _NAME_CHARACTERS, ""), F.translate(word, _NAME_CHARACTERS + ".", "")
+    tail = F.when(others == "", word).otherwise(F.call_function("substring_index", word, F.right(others, F.lit(1)), F.lit(-1)))
+    head = F.when(beyond_dots == "", word).otherwise(F.call_function("substring_index", word, F.left(beyond_dots, F.lit(1)), F.lit(1)))
+    parts = F.split(head, "[.]")
+    wrong = F.array_position(F.transform(parts, is_name), F.lit(False)).cast("int")
+    name = F.array_join(F.when(wrong == 0, parts).otherwise(F.slice(parts, 1, wrong - 1)), ".")
+    return F.struct(F.lower(word).alias("low"), F.lower(tail).alias("tail"), (F.char_length(word) - F.char_length(tail)).alias("before"), name.alias("name"))
 
 
-def _words(phrase: str) -> str:
-    return r"\s+".join(phrase.split())
+def _named_table(facts: Column, i: Column) -> Column:
+    """Where the phrase begins that ends with word ``i``, where the name stands after it, and the name; null where there is no such phrase."""
+
+    def at(k: Column) -> Column:
+        return F.get(facts, k)
+
+    start = F.when(at(i)["tail"].isin(*_LEADS), i)
+    for first, second in _PAIRS:
+        start = start.when((at(i)["low"] == second) & (i > 0) & (at(i - 1)["tail"] == first), i - 1)
+    place = None
+    for between in _BETWEEN:
+        after = i + 1 + len(between)
+        holds = at(after)["name"] != ""
+        for k, word in enumerate(between):
+            holds &= at(i + 1 + k)["low"] == word
+        place = F.when(holds, after) if place is None else place.when(holds, after)
+    found = F.struct(start.alias("start"), at(start)["before"].alias("before"), place.alias("place"), at(place)["name"].alias("name"))
+    return F.when(start.isNotNull() & place.isNotNull(), found)
 
 
 def sql_tables(text: Column | str, most: int = 50) -> Column:
-    """Distinct names that follow one of the phrases, in the order of the text; a name may have parts joined by dots."""
-    name = "[a-z_][a-z0-9_]*"
-    lead, between = ("|".join(map(_words, x)) for x in (_BEFORE_TABLE, _BETWEEN))
-    expression = rf"(?i)(?<![a-z0-9_])(?:{lead})\s+(?:(?:{between})\s+)?({name}(?:[.]{name})*)"
-    return F.slice(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(expression), F.lit(1))), 1, most)
+    """Distinct names that statements give to tables, in the order of the text; a name may have parts joined by dots.
+
+    The words are walked once: a phrase counts only if it begins after the name found before it.
+    """
+
+    def walk(facts: Column) -> Column:
+        spots = F.transform(F.sequence(F.lit(0), F.size(facts) - 1), lambda i: _named_table(facts, i))
+        begin = F.struct(F.array().cast("array<string>").alias("names"), F.lit(-1).alias("place"), F.lit(0).alias("end"))
+
+        def step(state: Column, x: Column) -> Column:
+            after = (x["start"] > state["place"]) | ((x["start"] == state["place"]) & (x["before"] >= state["end"]))
+            more = F.struct(F.array_append(state["names"], x["name"]).alias("names"), x["place"].alias("place"), F.char_length(x["name"]).alias("end"))
+            return F.when(after, more).otherwise(state)
+
+        return F.aggregate(F.filter(spots, lambda x: x.isNotNull()), begin, step, lambda state: state["names"])
+
+    facts = F.transform(F.split(_col(text), r"\s+"), _word_facts)
+    return F.slice(F.array_distinct(bound(facts, walk)), 1, most)
 
 
 def shell_functions(text: Column | str) -> Column:
     """Distinct names of functions defined at the start of a line: a name and empty brackets, the word ``function`` before it or not."""
-    name, blank, brackets = "([A-Za-z_][A-Za-z0-9_]*)", "[ \\t]", "[ \\t]*[(][ \\t]*[)]"
-    lines = F.split(_col(text), "\n")
-    led = F.transform(lines, lambda x: F.regexp_extract(x, f"^function{blank}+{name}{brackets}", 1))
-    bare = F.transform(lines, lambda x: F.regexp_extract(x, f"^{name}{brackets}", 1))
-    both = F.zip_with(led, bare, lambda a, b: F.when(a != "", a).otherwise(b))
-    return F.array_distinct(F.filter(both, lambda n: n != ""))
+
+    def name(line: Column) -> Column:
+        bracket = F.locate("(", line)
+        before = F.split(F.rtrim(F.left(line, bracket - 1), F.lit(" \t")), "[ \t]+")
+        after = F.ltrim(F.substring(line, bracket + 1, F.char_length(line)), F.lit(" \t"))
+        word = F.when(F.size(before) == 1, before[0]).when((F.size(before) == 2) & (before[0] == "function"), before[1])
+        return F.when((bracket > 0) & F.startswith(after, F.lit(")")) & is_name(word), word)
+
+    return F.array_distinct(F.filter(F.transform(F.split(_col(text), "\n"), name), lambda n: n.isNotNull()))

@@ -549,7 +549,16 @@ def source_uris(lib: Library) -> DataFrame:
     return lib.sources.select("id", md.source_uri(F.col("source_path"), kind, about, {"/src7": "My Notes"}).alias("uri"))
 
 
-@query("SELECT doc_id, (SELECT coalesce(list(t ORDER BY k)[:50], []) FROM (SELECT t, min(k) AS k FROM (SELECT unnest(found) AS t, unnest(range(len(found))) AS k FROM (SELECT regexp_extract_all(text, '(?i)\\b(?:from|into|join)\\s+([a-z_]\\w*(?:\\.[a-z_]\\w*)*)', 1) AS found)) GROUP BY t)) AS tables FROM (SELECT doc_id, replace(replace(replace(text, ' of ', ' from '), ' de ', ' JOIN '), ' der ', ' Into ') AS text FROM docs)")
+@query("SELECT doc_id, coalesce(tables, []) AS tables FROM docs LEFT JOIN (SELECT doc_id, list(t ORDER BY k)[:50] AS tables FROM (SELECT doc_id, t, min(k) AS k FROM named WHERE t <> '' GROUP BY doc_id, t) GROUP BY doc_id) USING (doc_id)", """
+spoken AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k
+  FROM (SELECT doc_id, string_split(translate(replace(replace(replace(text, ' of ', ' from '), ' de ', ' JOIN '), ' der ', ' Into '), chr(10) || chr(9), '  '), ' ') AS w FROM docs)),
+keyed AS (SELECT *, lower(regexp_extract(word, '[A-Za-z0-9_]*$')) IN ('from', 'into', 'join') AS key, lead(word) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM spoken),
+turned AS (SELECT *, k - coalesce(max(CASE WHEN NOT key THEN k END) OVER (PARTITION BY doc_id ORDER BY k), -1) AS run FROM keyed),
+named AS (
+  SELECT doc_id, k, CASE WHEN ascii(lower(next)) BETWEEN 97 AND 122 THEN array_to_string(list_filter(string_split(regexp_extract(next, '^[A-Za-z0-9_.]*'), '.'), lambda x: x <> ''), '.') ELSE '' END AS t
+  FROM turned WHERE key AND run % 2 = 1)
+""")
 def sql_table_names(lib: Library) -> DataFrame:
     """What would name a table, the first fifty, if some small words were those of a statement."""
     text = F.col("text")
@@ -559,7 +568,10 @@ def sql_table_names(lib: Library) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_extract(x, '^(function[ \\t]+)?([A-Za-z_][A-Za-z0-9_]*)[ \\t]*\\([ \\t]*\\)', 2)), lambda n: n <> ''))) AS names
+SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(t, chr(10)), lambda x: CASE
+    WHEN NOT starts_with(ltrim(substr(x, instr(x, '(') + 1)), ')') THEN ''
+    WHEN starts_with(x, 'function ') THEN trim(substr(split_part(x, '(', 1), 10)) ELSE split_part(x, '(', 1) END),
+  lambda n: regexp_full_match(n, '[A-Za-z0-9_]+') AND NOT ascii(n) BETWEEN 48 AND 57))) AS names
 FROM (SELECT doc_id, replace(replace(replace(text, ' the ', chr(10) || 'function '), ' and ', chr(10) || ' '), ' ', '( )' || chr(10)) AS t FROM docs)
 """)
 def shell_functions(lib: Library) -> DataFrame:
@@ -727,6 +739,19 @@ def grep_scanned(lib: Library) -> DataFrame:
     return lexical.grep_report(lib.chunks, "[Tt]h[a-z]+ble of [a-z]+", regex=True)
 
 
+@query("""
+SELECT id AS doc_id, round(-(ln((n - n0 + 0.5) / (n0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * length / mean)) + ln((n - n1 + 0.5) / (n1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS rank
+FROM told, (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM told) WHERE f0 > 0 AND f1 > 0
+""", """
+told AS (SELECT id, len(b) + 2 AS length, len(list_filter(b, lambda x: x = 'мой')) AS f0, len(list_filter(range(1, len(b)), lambda i: b[i] = 'ह' AND b[i + 1] = 'न' AND b[i + 2] = 'द')) AS f1
+  FROM (SELECT id, list_filter(regexp_split_to_array(lower(replace(replace(content, 'ingre', ' Мой '), 'atble', ' हिन्दी ')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS b FROM chunks))
+""")
+def fts_scripts(lib: Library) -> DataFrame:
+    """A Cyrillic word of composed letters, and a Hindi one that its vowel signs part."""
+    text = F.replace(F.replace(F.col("content"), F.lit("ingre"), F.lit(" Мой ")), F.lit("atble"), F.lit(" हिन्दी "))
+    return lexical.bm25(lib.chunks.withColumn("content", text), "МОЙ हिन्दी").select("doc_id", F.round("rank", 9).alias("rank"))
+
+
 @query("SELECT id, length(match) AS n FROM (SELECT id, regexp_extract(strip_accents(lower(content)), 'ecole[a-z]*') AS match FROM (SELECT id, replace(content, 'e', 'e' || chr(769)) || ' E' || chr(769) || 'cole' AS content FROM chunks)) WHERE match <> ''")
 def decomposed_accents(lib: Library) -> DataFrame:
     """Letters with their marks written apart make the same tokens as composed ones."""

@@ -106,11 +106,17 @@ def test_rrf(spark):
     assert {r.doc_id: r.score for r in fusion.rrf(a, b, text_weight=0.0).collect()}[2] == 0.0
 
 
-@pytest.mark.parametrize("query", ["alpha", "alpha beta", "gamma-delta", "of", "ALPHA gamma", "--", "alpha --"])
+WORDS = "alpha beta gamma delta of the épsilon zeta".split()
+SCRIPTS = "мой Дом й άλφα ΆΛΦΑ σίγμας ΣΊΓΜΑΣ 한국 한국어 がん カギ ガギ हिन्दी हन नमस्ते école ếch x́y ſoft straße STRASSE İki ǅ".split()
+SCRIPT_QUERIES = ["мой", "МОЙ дом", "й", "άλφα", "σίγμας", "ΣΊΓΜΑΣ", "한국", "がん", "ガギ", "हिन्दी", "हन", "नमस्ते-école", "ecole", "ếch", "ech", "xy", "SOFT", "straße", "iki", "ǆ"]
+
+
+@pytest.mark.parametrize("query", ["alpha", "alpha beta", "gamma-delta", "of", "ALPHA gamma", "--", "alpha --", *SCRIPT_QUERIES])
 def test_bm25_against_sqlite(spark, query):
     rng = random.Random(7)
-    vocabulary = "alpha beta gamma delta of the épsilon zeta".split()
-    rows = [(i, " ".join(rng.choices(vocabulary, k=2)), " ".join(rng.choices(vocabulary, [1, 2, 3, 1, 9, 9, 1, 1], k=rng.randrange(1, 25)))) for i in range(40)]
+    vocabulary = WORDS + SCRIPTS
+    odds = [1, 2, 3, 1, 9, 9, 1, 1, *[2] * len(SCRIPTS)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=2)), " ".join(rng.choices(vocabulary, odds, k=rng.randrange(1, 25)))) for i in range(60)]
     connection = sqlite3.connect(":memory:")
     connection.execute("CREATE VIRTUAL TABLE f USING fts5(title, content)")
     connection.executemany("INSERT INTO f(rowid, title, content) VALUES (?, ?, ?)", rows)

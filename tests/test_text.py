@@ -66,6 +66,7 @@ def test_excerpts(spark):
 def test_tokens(spark):
     assert one(spark, tx.tokens("t"), t="Crème_brûlée, ÜBER-42 naïve") == ["creme", "brulee", "uber", "42", "naive"]
     assert one(spark, tx.tokens("t"), t="e\u0301cole Re\u0301sume\u0301") == ["ecole", "resume"]
+    assert one(spark, tx.tokens("t"), t="हिन्दी мой ΣΊΓΜΑΣ") == ["ह", "न", "द", "мой", "σίγμασ"]
     assert tx.query_phrases('foo "bar-baz" -- Été') == [["foo"], ["bar", "baz"], ["ete"]]
     assert [tx.escape_query(q) for q in ("", "quick fox", 'foo"bar', '"')] == ["", '"quick" "fox"', '"foo""bar"', '""""']
 
@@ -159,3 +160,89 @@ def test_commit_chunks(spark):
     found = chunking.chunk_commits(df).orderBy("n", "chunk_index").collect()
     assert [(r.n, r.chunk_index) for r in found] == [(3, 0), (700, 0), (700, 1)]
     assert all(r.content.startswith("[r/a.py] [commit: 0123456] [2024-05-06]\n") and len(r.content.split()) <= 500 for r in found)
+
+
+def test_queries_part_as_texts_do(spark):
+    """Every letter, number and mark of Unicode between two others, in a text and in a query."""
+    import unicodedata
+
+    every = [c for c in range(1, 0x110000) if unicodedata.category(chr(c))[0] in "LNMPZS"]
+    df = spark.createDataFrame([(c, f"x{chr(c)}Y") for c in every], "c long, t string")
+    got = {r.c: r.k for r in df.select("c", tx.tokens("t").alias("k")).collect()}
+    wrong = [hex(c) for c in every if got[c] != tx.tokens_of(f"x{chr(c)}Y")]
+    # Signs newer than the JVM's Unicode are unknown to it.
+    assert all(unicodedata.category(chr(int(c, 16)))[0] not in "LN" for c in wrong) and len(wrong) < 1200
+
+
+def test_tokens_of_each_letter_are_sqlites(spark):
+    """Of all letters and marks that both know."""
+    import sqlite3
+    import unicodedata
+
+    old = unicodedata.ucd_3_2_0
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and old.category(chr(c)) not in ("Cn", "Co")]
+    connection = sqlite3.connect(":memory:")
+    connection.execute("CREATE VIRTUAL TABLE f USING fts5(t)")
+    connection.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, instance)")
+    connection.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", [(c, f"x{chr(c)}y") for c in every])
+    found = {}
+    for term, doc, offset in connection.execute("SELECT term, doc, offset FROM v"):
+        found.setdefault(doc, {})[offset] = term
+    wrong = [c for c in every if [found[c][k] for k in sorted(found[c])] != tx.tokens_of(f"x{chr(c)}y")]
+    # Letters that got another case after the tokenizer's tables were made.
+    assert all(unicodedata.name(chr(c)).startswith(("CHEROKEE", "GEORGIAN")) or old.category(chr(c)) != unicodedata.category(chr(c)) for c in wrong) and len(wrong) < 300
+
+
+SQL_TEXTS = [
+    "SELECT * FROM a.b JOIN t1 ON x INTO T2", "create table if not exists s.t (a int)", "CREATE  TABLE if exists q;", "alter table z add", "drop table if exists n",
+    "xfrom t from 9a from _b9.c.9 (from d)", "from if x", "from if exists y join", "from a;join b", "from from c", "join a,b from\nd", "éfrom g", "from a.b.", "insert into x.y(z)", "", "from", "create table", "from a.from t",
+]
+
+
+@pytest.mark.parametrize("text", SQL_TEXTS)
+def test_sql_tables_against_a_scan(spark, text):
+    assert one(spark, tx.sql_tables("t"), t=text) == scanned_tables(text)
+
+
+def scanned_tables(text):
+    """Character by character."""
+    out, at = [], 0
+    low = text.lower()
+    ident = set("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+    def blank(k):
+        n = k
+        while n < len(text) and text[n] in " \t\n\r\f\v":
+            n += 1
+        return n if n > k else None
+
+    def follow(k, words):
+        for w in words:
+            if k is None or not low.startswith(w, k):
+                return None
+            k = blank(k + len(w))
+        return k
+
+    def name(k):
+        parts = []
+        while k < len(text) and low[k] in ident and not low[k].isdigit():
+            n = k
+            while n < len(text) and low[n] in ident:
+                n += 1
+            parts.append(text[k:n])
+            k = n + 1
+            if n >= len(text) or text[n] != ".":
+                break
+        return ".".join(parts)
+
+    while at < len(text):
+        if at == 0 or low[at - 1] not in ident:
+            for lead in (["create", "table"], ["alter", "table"], ["from"], ["join"], ["into"]):
+                k = follow(at, lead)
+                found = next((n for m in (follow(k, ["if", "not", "exists"]) if k else None, follow(k, ["if", "exists"]) if k else None, k) if m and (n := (m, name(m)))[1]), None)
+                if found:
+                    out.append(found[1])
+                    at = found[0] + len(found[1]) - 1
+                    break
+        at += 1
+    return list(dict.fromkeys(out))
