@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ WINDOW_BYTES = 16 << 20
 KEY_BITS = 63
 LEAST_BITS = 8
 FANOUT_BITS = 4
+#: Tasks of the shuffle at most, however many buckets there are: a task reads bucket after bucket.
+MOST_TASKS = 10_000
 ANSWER = ["is_row", "doc_id", "copy_of", "keep_id", "group_size", "text_sha256"]
 
 
@@ -107,7 +110,7 @@ def split_buckets(keyed: DataFrame, bits: int, limit: int) -> frozenset[tuple[in
 def _collapse(bits: int, split: frozenset[tuple[int, int]], row_buckets: int):
     """For each window of rows: one record with each distinct content, and one without content for each row."""
 
-    def flush(window: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+    def flush(window: list[tuple[int | None, bytes]], own: str) -> pa.RecordBatch:
         table, count, most, place = ContentTable(), [], [], []
         for doc_id, text in window:
             k = table.place(xxhash.xxh64_intdigest(text, 42) >> 1, text)
@@ -118,24 +121,24 @@ def _collapse(bits: int, split: frozenset[tuple[int, int]], row_buckets: int):
             count[k] += 1
             if doc_id is not None and (most[k] is None or doc_id > most[k]):
                 most[k] = doc_id
-        # Of equal texts only rows that repeat an id can share a name, and those share the answer.
-        name = [f"{m}:{h:x}:{len(t)}" for m, h, t in zip(most, table.hashes, table.contents, strict=True)]
+        # Of equal texts only rows that repeat an id can share a name, and those share the answer. Texts without ids are named by their window.
+        name = [f"{own if m is None else m}:{h:x}:{len(t)}" for m, h, t in zip(most, table.hashes, table.contents, strict=True)]
         rows: list[tuple] = [(False, None, name[k], bucket_of(h, bits, split), h, count[k], most[k], text) for k, (h, text) in enumerate(zip(table.hashes, table.contents, strict=True))]
         rows += [(True, doc_id, name[k], f"row:{number % row_buckets}", 0, None, None, None) for number, ((doc_id, _), k) in enumerate(zip(window, place, strict=True))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: list[tuple[int | None, bytes]] = []
-        held = 0
+        held, number, task = 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 window.append((doc_id, text.lower()))
                 held += len(text) + 64
                 if held > WINDOW_BYTES:
-                    yield flush(window)
-                    window, held = [], 0
+                    yield flush(window, f"task {task}.{number}")
+                    window, held, number = [], 0, number + 1
         if window:
-            yield flush(window)
+            yield flush(window, f"task {task}.{number}")
 
     return run
 
@@ -175,15 +178,15 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield answers()
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = picked.select(F.shiftrightunsigned(F.xxhash64(ascii_lower(F.col("text"))), 1).alias("h"), (F.octet_length(F.coalesce("text", F.lit(""))) + 64).cast("long").alias("bytes"))
     total = picked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(KEY_BITS, max(LEAST_BITS, ceil(log2(max(1, 4 * total / bucket_bytes)))))
     split = split_buckets(keyed, bits, bucket_bytes)
-    # Tasks grow in number with the data, not in size.
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / bucket_bytes))
+    # Tasks grow in number with the data, up to a bound; beyond it they read more buckets each.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most_tasks, ceil(total / bucket_bytes)))
     records = picked.mapInArrow(_collapse(bits, split, 16 * tasks), RECORD_DDL)
     answers = records.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, ANSWER_DDL)
     copies = Window.partitionBy("copy_of")

@@ -66,6 +66,7 @@ PIECE = 2 << 20
 WINDOW = 12 << 20
 CHUNK = 1 << 16
 BUCKET_BYTES = 12 << 20
+MOST_TASKS = 10_000
 LEAST_BUCKETS = 8
 PAD = b"\n" * LONGEST
 ROWS = 100_000
@@ -456,7 +457,7 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, logs double, score double"
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row."""
     held_out = F.coalesce(fold_of(F.col(id_col).cast("long"), 5) == 1, F.lit(False))
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
@@ -470,7 +471,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     table = words.select("h1", "h2", F.col("n0").cast("double").alias("value")).unionAll(learning.probabilities(learning.model()))
 
     buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
-    dealt = picked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition(buckets, "bucket")
+    # Beyond a bound of tasks, each holds more buckets and works on one after the other.
+    dealt = picked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")).repartition(min(buckets, most_tasks), "bucket")
     asked = dealt.groupBy("bucket").applyInArrow(_asked, "bucket long, h1 long, h2 int")
     answers = asked.join(table, ["h1", "h2"]).select("bucket", "h1", (F.col("h2") >= 0).alias("word"), "value")
     met = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scored, RESULT)

@@ -42,7 +42,6 @@ DEPTH = 48
 ROWS = 1 << 15
 SLICE = 4 << 20
 MOST_CHARS = 6 << 20
-SLOT_BITS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = [np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)]
 _SPACE = re.compile(rb"\s")
@@ -69,23 +68,29 @@ class UnigramModel:
         #: Of a byte that stands for itself: less probable than any piece.
         self.byte_score = min(self.scores.values(), default=0.0) - 10.0
         self.lengths = sorted({len(p) for p in self.scores if p})
-        # Two tables of slots by hash; a piece whose slot is taken in the first goes to the second.
-        self.tables = [(np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -np.inf)) for _ in _SPREAD]
-        for p, score in self.scores.items():
-            h = np.uint64(text_hash(p))
-            for spread, (hashes, found) in zip(_SPREAD, self.tables, strict=True):
-                at = int(np.multiply(h, spread) >> np.uint64(64 - SLOT_BITS)) if p else 0
-                if found[at] == -np.inf:
-                    hashes[at], found[at] = h, score
-                    break
-            else:
-                raise ValueError(f"no slot for {p!r}")
+        # Tables of slots by hash; pieces whose slot is taken go to the next table, as many as it takes.
+        self.tables = []
+        hashes = np.fromiter(map(text_hash, self.scores), np.uint64, len(self.scores))
+        scores = np.fromiter(self.scores.values(), float, len(self.scores))
+        while len(hashes):
+            bits = max(8, (8 * len(hashes)).bit_length())
+            spread = _SPREAD[len(self.tables) % 2] + np.uint64(2 * len(self.tables))
+            at = (hashes * spread) >> np.uint64(64 - bits)
+            first = np.unique(at, return_index=True)[1]
+            slots, found = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -np.inf)
+            slots[at[first]], found[at[first]] = hashes[first], scores[first]
+            self.tables.append((spread, np.uint64(64 - bits), slots, found))
+            left = np.ones(len(hashes), bool)
+            left[first] = False
+            # Of pieces that share a hash the likeliest, which comes first, is found.
+            left &= slots[at] != hashes
+            hashes, scores = hashes[left], scores[left]
 
     def found(self, h: np.ndarray) -> np.ndarray:
         """Score of the piece of each hash; minus infinity where there is none."""
         out = np.full(len(h), -np.inf)
-        for spread, (hashes, scores) in zip(_SPREAD, self.tables, strict=True):
-            at = (h * spread) >> np.uint64(64 - SLOT_BITS)
+        for spread, shift, hashes, scores in self.tables:
+            at = (h * spread) >> shift
             np.maximum(out, np.where(hashes[at] == h, scores[at], -np.inf), out=out)
         return out
 

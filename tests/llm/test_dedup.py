@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +45,16 @@ def test_buckets_are_split_until_they_fit(spark):
     assert all(sum(n for _, n in own) <= 100 or len({h for h, _ in own}) == 1 or max(h for h, _ in own) >> 60 == 0 and len(own) <= 4 for own in sizes.values())
 
 
+def test_equal_rows_without_ids_are_spread(spark):
+    """Each task names its copy; the rows meet the answer in as many groups."""
+    rows = [(None, "The same text.")] * 10_000 + [(3, "the SAME text."), (4, "another")]
+    docs = documents(spark, rows).repartition(6)
+    found = exact_dedup.exact_duplicates(docs, bucket_bytes=100, most_tasks=3).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == {(None, 3, 10_001, False): 10_000, (3, 3, 10_001, True): 1, (4, 4, 1, True): 1}
+    named = docs.select("doc_id", "text").mapInArrow(exact_dedup._collapse(8, frozenset(), 16), exact_dedup.RECORD_DDL)
+    assert named.where("is_row and doc_id is null").select("copy_of").distinct().count() >= 5
+
+
 def test_table_compares_contents():
     table = exact_dedup.ContentTable(4)
     assert [table.place(7, c) for c in (b"a", b"b", b"a", b"c", b"b")] == [0, 1, 0, 2, 1]

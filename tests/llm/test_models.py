@@ -521,3 +521,20 @@ def test_mixing_is_the_same_with_any_number_of_sources(spark, monkeypatch):
     few = sorted((r.doc_id, r.copy_no) for r in mixing.mixed(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted((r.doc_id, r.copy_no) for r in mixing.mixed(docs).collect()) == few
+
+
+@pytest.mark.parametrize("n", [32_000, 64_000, 256_000])
+def test_vocabularies_of_any_size(n):
+    pieces = [f"{token_count.MARK}{k:x}" if k % 2 else f"{k:x}z" for k in range(n)]
+    model = token_count.UnigramModel(pieces)
+    asked = [pieces[k] for k in range(0, n, max(1, n // 3000))]
+    hashes = np.array([token_count.text_hash(p) for p in [*asked, "no piece", "zz"]], np.uint64)
+    assert model.found(hashes).tolist() == [*(model.scores[p] for p in asked), -np.inf, -np.inf]
+    assert sum(len(x) for _, _, x, _ in model.tables) < 20 * n + 2000
+
+
+def test_language_model_with_few_tasks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    many = {r.doc_id: r for r in lm_score.lm_scores(docs, bucket_bytes=20_000).collect()}
+    few = {r.doc_id: r for r in lm_score.lm_scores(docs, bucket_bytes=20_000, most_tasks=2).collect()}
+    assert many.keys() == few.keys() and all(few[i].score == pytest.approx(r.score, rel=1e-9) and few[i].base_score == pytest.approx(r.base_score, rel=1e-9) for i, r in many.items())
