@@ -95,6 +95,14 @@ class TextIndex:
         own.write.mode("overwrite").parquet(f"{place}/lengths")
         return TextIndex.read(spark, place)
 
+    @staticmethod
+    def opened(chunks: DataFrame, place: str) -> TextIndex:
+        """The index at the place if one has been written whole, else a new one."""
+        spark = chunks.sparkSession
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/lengths/_SUCCESS")
+        stored = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+        return TextIndex.read(spark, place) if stored else TextIndex.written(chunks, place)
+
     @staticmethod
     def read(spark: SparkSession, place: str) -> TextIndex:
         return TextIndex(spark.read.parquet(f"{place}/postings"), spark.read.parquet(f"{place}/lengths"))

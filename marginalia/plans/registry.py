@@ -5,7 +5,7 @@ The SQL shares one prefix of common tables (``tables.LIBRARY_SQL``).
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import metadata as md
 from ..functions import text as tx
 from ..functions import vectors as vf
-from ..operators import chunking, filters, fusion, lexical, library, maintain, vector
+from ..operators import chunking, filters, fusion, lexical, library, maintain, segments, vector, vector_many
 from ..operators.filters import Filters
 from ..sources import books, repositories
+from ..schema import CHUNKS_PER_SOURCE
 from .hybrid import hybrid_search
 from .tables import LIBRARY_SQL, Library
 
@@ -36,6 +37,12 @@ def query(sql: str | None = None, ctes: str = "", plain: bool = False):
     return register
 
 
+def _place(lib: Library, kind: str) -> str:
+    """Where an index of the folder's tables is stored for as long as the application runs: below the shared folder, or the warehouse, which is shared too."""
+    root = lib.spark.conf.get("spark.checkpoint.dir", None) or lib.spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/marginalia-{lib.spark.sparkContext.applicationId}/{kind}-{zlib.crc32(lib.sf_dir.encode()):08x}"
+
+
 # ---- chunks ----
 
 
@@ -137,6 +144,36 @@ def orphan_vectors(lib: Library) -> DataFrame:
     return vector.orphans(lib.vectors, lib.chunks.where("source_id % 3 <> 0")).select("document_id")
 
 
+@query("""
+SELECT query_id, document_id, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS place FROM (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pool.distance, document_id) AS near FROM pool WHERE h <= 220) WHERE near <= 11 AND query_id <> document_id))
+WHERE place <= 10
+""", f"""
+pairs AS (SELECT q.document_id AS query_id, v.document_id, v.embedding, q.embedding AS q FROM vectors v, vectors q WHERE q.document_id // 1048576 % 20 = 0),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, document_id) AS h FROM (SELECT query_id, document_id, {_HAMMING} AS hamming, {_L2} AS distance FROM pairs))
+""")
+def vec_related_many(lib: Library) -> DataFrame:
+    """Neighbours of every twentieth vector among all."""
+    queries = lib.vectors.where(F.col("document_id") / CHUNKS_PER_SOURCE % 20 == 0).withColumnRenamed("document_id", "query_id")
+    return vector_many.search_many(lib.vectors, queries, 10, leave_out_self=True).withColumn("distance", F.round("distance", 6))
+
+
+def _bit_index(lib: Library) -> vector_many.BitIndex:
+    return vector_many.BitIndex.opened(lib.vectors, _place(lib, "bits"), 64)
+
+
+@query("SELECT document_id, CAST(hamming AS INT) AS hamming FROM pool", _NEAR)
+def vec_index_pool(lib: Library) -> DataFrame:
+    """The pool from the stored bands."""
+    return _bit_index(lib).pool(lib.vector_of(0), 200)
+
+
+@query("SELECT document_id, round(distance, 6) AS distance FROM pool ORDER BY pool.distance, document_id LIMIT 10", _NEAR)
+def vec_index_search(lib: Library) -> DataFrame:
+    return _bit_index(lib).search(lib.vectors, lib.vector_of(0), 10).select("document_id", F.round("distance", 6).alias("distance"))
+
+
 # ---- full text ----
 
 _TOKENS = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower({c})), '\\p{{M}}+', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -761,9 +798,8 @@ def decomposed_accents(lib: Library) -> DataFrame:
 
 
 def _index(lib: Library) -> lexical.TextIndex:
-    """The stored index of the chunks, written below the shared folder."""
-    root = lib.spark.conf.get("spark.checkpoint.dir", None) or lib.spark.conf.get("spark.sql.warehouse.dir")
-    return lexical.TextIndex.written(lib.chunks, f"{root}/text-index-{uuid.uuid4()}")
+    """The stored index of the chunks, written once for a folder and application."""
+    return lexical.TextIndex.opened(lib.chunks, _place(lib, "text"))
 
 
 @query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 20", _bm25_sql("is-the ingre"))
@@ -771,3 +807,37 @@ def fts_stored_index(lib: Library) -> DataFrame:
     """A phrase and a word, looked up in the stored postings."""
     ranked = _index(lib).bm25("is-the ingre")
     return ranked.orderBy("rank", "doc_id").limit(20).select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+_CHANGED = """
+changed AS (
+  SELECT id, title, CASE WHEN source_id % 6 = 2 THEN replace(content, 'the', 'ingre') ELSE content END AS content FROM chunks WHERE source_id % 6 <> 1)
+"""
+
+
+def _changing_index(lib: Library) -> segments.SegmentedIndex:
+    """Two thirds of the sources, then the others, then a sixth is deleted and another rewritten, and some segments merged. Built once for a folder and application."""
+    index = segments.SegmentedIndex(lib.spark, _place(lib, "segments"))
+    if index.manifest.generation == 0:
+        chunks = lib.chunks.select("id", "source_id", "title", "content")
+        index.applied(chunks.where("source_id % 3 <> 0"))
+        index.applied(chunks.where("source_id % 3 = 0"))
+        index.applied(removed=chunks.where("source_id % 6 = 1"))
+        index.applied(chunks.where("source_id % 6 = 2").withColumn("content", F.replace("content", F.lit("the"), F.lit("ingre"))))
+        index.merged(2)
+    return index
+
+
+def _changed_sql(text: str) -> str:
+    return f"{_CHANGED},{_bm25_sql(text).replace('FROM chunks', 'FROM changed')}"
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM ranked", _changed_sql("is-the ingre"))
+def fts_after_changes(lib: Library) -> DataFrame:
+    return _changing_index(lib).bm25("is-the ingre").select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+@query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 10", _changed_sql("ingre atble"))
+def fts_block_topk(lib: Library) -> DataFrame:
+    """Of the blocks of postings only those that may hold one of the best."""
+    return _changing_index(lib).top("ingre atble", 10).select("doc_id", F.round("rank", 12).alias("rank"))
