@@ -132,6 +132,39 @@ def days_since(moment: Column, now: Column) -> Column:
     return F.when(days >= 0, days)
 
 
+# ---- folding of case ----
+
+
+def _simple(letter: str) -> str:
+    """Simple case folding: the folding if it is one letter, else lower case if that is."""
+    return next((x for x in (letter.casefold(), letter.lower()) if len(x) == 1), letter)
+
+
+def _orbit_table() -> tuple[str, str]:
+    """Letters that fold alike are one orbit; each but its first letter, and that first one."""
+    orbits: dict[str, list[str]] = {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x1F000))):
+        if unicodedata.category(c)[0] in "LNMS":
+            orbits.setdefault(_simple(c), []).append(c)
+    pairs = [(c, own[0]) for own in orbits.values() for c in own[1:]]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ORBIT_FROM, ORBIT_TO = _orbit_table()
+_ORBITS = str.maketrans(ORBIT_FROM, ORBIT_TO)
+
+
+def vfold(text: Column | str) -> Column:
+    """A key for comparing without case: each letter becomes the first of those that differ by case alone (k, K and the Kelvin sign: K)."""
+    text = _col(text)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, ORBIT_FROM, ORBIT_TO)).otherwise(F.upper(text))
+
+
+def vfold_of(text: str) -> str:
+    """The same for a text at hand."""
+    return text.translate(_ORBITS)
+
+
 # ---- full-text tokens ----
 
 # Combining marks that belong to the letter before them and are dropped; other marks part tokens.

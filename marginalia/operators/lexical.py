@@ -163,9 +163,15 @@ def grep(chunks: DataFrame, pattern: str, regex: bool = False, limit: int = 20,
     A literal is found whatever its case. A regular expression minds case and looks at
     the first REGEX_SCAN chunks only; ``grep_report`` tells how many were.
     """
-    scanned = scanned_chunks(chunks) if regex else chunks
+    return matched(scanned_chunks(chunks) if regex else chunks, pattern, regex, tx.clamp(limit, 20, 1, 200), context)
+
+
+def matched(chunks: DataFrame, pattern: str, regex: bool, limit: int | None, context: int) -> DataFrame:
+    """First match of each chunk, of the first ``limit`` by id if one is given."""
     expression = pattern if regex else "(?iu)" + tx.java_quote(pattern)
-    hits = scanned.where(F.col("content").rlike(expression)).orderBy("id").limit(tx.clamp(limit, 20, 1, 200))
+    hits = chunks.where(F.col("content").rlike(expression))
+    if limit is not None:
+        hits = hits.orderBy("id").limit(limit)
     start = F.regexp_instr("content", F.lit(expression))
     found = F.regexp_extract("content", expression, 0)
     named = hits.withColumn("__start", start).withColumn("match", found)

@@ -99,7 +99,7 @@ def indexed(tools: Tools, collection_id: int, files: DataFrame, make: Callable[[
 
     failed = files.join(statuses.where("status = 'parse'"), "source_path", "left_semi").join(ids.join(whole, "source_id", "left_semi"), "source_path", "left_anti").select("source_path", F.lit("failed").alias("status"))
     counted = statuses.join(failed.select("source_path"), "source_path", "left_anti").unionByName(failed)
-    return Tools(tools.collections, sources, chunks, vectors, tools.embedder, tools.settings), maintain.run_counts(counted)
+    return tools.changed(sources, chunks, vectors), maintain.run_counts(counted)
 
 
 def ocr_languages(wanted: Iterable[str], installed: Iterable[str]) -> list[str]:

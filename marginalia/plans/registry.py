@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import metadata as md
 from ..functions import text as tx
 from ..functions import vectors as vf
-from ..operators import chunking, filters, fusion, lexical, library, maintain, segments, vector, vector_many
+from ..operators import chunking, filters, fusion, grams, lexical, library, maintain, segments, vector, vector_many
 from ..operators.filters import Filters
 from ..sources import books, repositories
 from ..schema import CHUNKS_PER_SOURCE
+from . import sql_functions
 from .hybrid import hybrid_search
 from .tables import LIBRARY_SQL, Library
 
@@ -841,3 +842,47 @@ def fts_after_changes(lib: Library) -> DataFrame:
 def fts_block_topk(lib: Library) -> DataFrame:
     """Of the blocks of postings only those that may hold one of the best."""
     return _changing_index(lib).top("ingre atble", 10).select("doc_id", F.round("rank", 12).alias("rank"))
+
+
+# ---- grep by trigrams, folding, functions in SQL ----
+
+
+def _gram_index(lib: Library) -> grams.GramIndex:
+    return grams.GramIndex.opened(lib.chunks, _place(lib, "grams"))
+
+
+@query(_grep_sql("[Tt]h[a-z]+ble of (?:the|and)", "chunks", 1_000_000_000))
+def grep_index_regex(lib: Library) -> DataFrame:
+    """A regular expression over all chunks, read only where the index has its trigrams."""
+    return _gram_index(lib).grep(lib.chunks, "[Tt]h[a-z]+ble of (?:the|and)", regex=True).select("id", "chunk_index", "line", "match")
+
+
+@query(_grep_sql("(?i)ATBLE THE", "chunks", 1_000_000_000))
+def grep_index_literal(lib: Library) -> DataFrame:
+    return _gram_index(lib).grep(lib.chunks, "ATBLE THE").select("id", "chunk_index", "line", "match")
+
+
+@query("SELECT k, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, md5(replace(upper(replace(text, 'ß', chr(1))), chr(1), 'ß')) AS k FROM docs) GROUP BY k")
+def fold_keys(lib: Library) -> DataFrame:
+    """Texts that are alike but for case: every second one has capitals, Kelvin signs and long s for its letters."""
+    odd = F.translate(F.upper(F.replace("text", F.lit("ß"), F.lit("\u0001"))), "KS\u0001", "\u212a\u017fß")
+    text = F.when(F.col("doc_id") % 2 == 1, odd).otherwise(F.col("text"))
+    keyed = lib.documents.select("doc_id", F.md5(tx.vfold(text)).alias("k"))
+    return keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""
+SELECT id, title, collection, source_path, source_type, doc_date FROM (SELECT *, coalesce(date, author_date, last_indexed_at) AS doc_date FROM joined)
+WHERE collection_type = 'code' AND left(doc_date, 10) BETWEEN '2024-02-01' AND '2024-11-30' ORDER BY doc_date DESC, id LIMIT 40
+""")
+def sql_timeline(lib: Library) -> DataFrame:
+    """The table function ``timeline`` in SQL."""
+    sql_functions.register(lib.spark, lib.joined, lib.sources)
+    return lib.spark.sql("SELECT * FROM library_timeline('code', '', '2024-02-01', '2024-11-30', 40)")
+
+
+@query("SELECT id FROM sources WHERE starts_with(source_path, '/src1/')")
+def sql_vfold(lib: Library) -> DataFrame:
+    """The folding as a function of SQL."""
+    sql_functions.register(lib.spark, lib.joined, lib.sources)
+    return lib.spark.sql("SELECT id FROM library_sources WHERE startswith(vfold(source_path), vfold('/\u017frC1/'))")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -43,7 +43,8 @@ class Tools:
             return None
         if self.cache is not None:
             row = self.cache.where((F.col("model_key") == self.model_key) & (F.col("query") == query)).select("embedding").first()
-            if row is not None and row[0]:
+            # A vector of another length than the model's is corrupt, and is made anew.
+            if row is not None and row[0] and len(row[0]) == (self._dimension() or len(row[0])):
                 return list(row[0])
         try:
             made = self.embedder.embed_batch([query])[0]
@@ -53,8 +54,15 @@ class Tools:
             self.cache = self._remembered(query, made)
         return made
 
+    def _dimension(self) -> int | None:
+        """Length of the stored vectors."""
+        row = self.vectors.where("embedding is not null").select(F.size("embedding").alias("n")).first()
+        return row["n"] if row else None
+
     def _remembered(self, query: str, made: list[float]) -> DataFrame:
-        """The cache with a vector that it missed; the oldest rows beyond its bound go."""
+        """The cache with a vector that it missed, without one that was of no use; the oldest rows beyond its bound go."""
+        known = (F.col("model_key") == self.model_key) & (F.col("query") == query)
+        self.cache = self.cache.where(~known)
         last = self.cache.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
         row = self.cache.sparkSession.createDataFrame([(last + 1, self.model_key, query, [float(x) for x in made])], QUERY_CACHE)
         return maintain.cache_put(self.cache, row)
@@ -158,4 +166,13 @@ class Tools:
             chosen = F.col("collection_type") == collection if collection in filters.COLLECTION_TYPES else F.col("name") == collection
             own = own.join(self.collections.where(chosen).select(F.col("id").alias("collection_id")), "collection_id", "left_semi")
         gone = maintain.removed(own, present)
-        return Tools(self.collections, *maintain.cascade(gone, self.sources, self.chunks, self.vectors), self.embedder, self.settings)
+        return self.changed(*maintain.cascade(gone, self.sources, self.chunks, self.vectors))
+
+    def changed(self, sources: DataFrame, chunks: DataFrame, vectors: DataFrame) -> Tools:
+        """The tools over new tables: the model stays, query vectors are forgotten, and the text index is none until it is written again."""
+        cache = None if self.cache is None else self.cache.limit(0)
+        return replace(self, sources=sources, chunks=chunks, vectors=vectors, cache=cache, index_of_text=None)
+
+    def with_model(self, embedder: Embedder | None, model_key: str) -> Tools:
+        """Another model: no vector of a query that the old one made stays."""
+        return replace(self, embedder=embedder, model_key=model_key, cache=None if self.cache is None else self.cache.limit(0))

@@ -181,3 +181,46 @@ def test_blocks_that_cannot_reach_the_rank_are_skipped(spark, place):
     reached = bounds.where(F.col("bound") >= -found[-1]["rank"] * (1 - 1e-12)).count()
     assert 1 <= reached <= 3 and bounds.count() > 15
     assert [r["rank"] for r in found] == pytest.approx([r["rank"] for r in lexical.bm25(chunks_of(spark, rows), "word").orderBy("rank", "doc_id").limit(10).collect()])
+
+
+# ---- trigrams ----
+
+TEXTS = ["The quick brown fox", "the QUICK fox", "ab", "", None, "a\nmatch over\nlines", "Straße KELVIN ſoft", "İstanbul ıstanbul istanbul", "quack quick quock", "(group) [x] 1+1=2", "мой Дом", "thble of and", "aXXXb aXXb"]
+PATTERNS = [
+    ("quick", False), ("QUICK FOX", False), ("ab", False), ("KELVIN", False), ("soft", False), ("ISTANBUL", False), ("мой дом", False), ("1+1", False), ("", False), ("straße", False),
+    ("qu[ia]ck", True), ("(quick|brown) fox", True), ("quick|", True), ("(?:qua|quo)ck", True), ("(over\\s+)+lines", True), ("x{0,2}fox", True), ("aX{2}b", True), ("(?i)KELVIN", True),
+    ("th[a-z]+ of (?:the|and)", True), ("match.over", True), ("^the", True), ("\\p{Lu}om", True), ("(?<=quick )fox", True), ("fox(?!x)", True),
+]
+
+
+@pytest.fixture(scope="module")
+def gram_index(spark, tmp_path_factory):
+    from marginalia.operators import grams
+
+    rows = [(i, i, 1, 0, t) for i, t in enumerate(TEXTS)]
+    chunks = spark.createDataFrame(rows, "id long, source_id long, collection_id long, chunk_index int, content string").repartition(2)
+    return chunks, grams.GramIndex.written(chunks, str(tmp_path_factory.mktemp("grams")))
+
+
+@pytest.mark.parametrize(("pattern", "regex"), PATTERNS)
+def test_trigrams_find_what_a_scan_finds(gram_index, pattern, regex):
+    chunks, index = gram_index
+    want = [tuple(r) for r in lexical.matched(chunks, pattern, regex, None, 20).orderBy("id").collect()]
+    assert [tuple(r) for r in index.grep(chunks, pattern, regex, context=20).orderBy("id").collect()] == want
+
+
+def test_needs_of_patterns():
+    from marginalia.operators import grams
+
+    assert grams.pattern_needs("ab") == grams.Needs() == grams.pattern_needs("(abc|d)") == grams.pattern_needs("(abc)*") == grams.pattern_needs("(")
+    assert grams.pattern_needs("abcd").grams == {"ABC", "BCD"}
+    assert grams.pattern_needs("(abc)+x(def|ghi)").all_grams() == {"ABC", "DEF", "GHI"}
+    assert not grams.literal_needs("xy")
+
+
+def test_candidates_are_few(gram_index):
+    from marginalia.operators import grams
+
+    _, index = gram_index
+    assert {r.id for r in index.candidates(grams.literal_needs("quock")).collect()} == {8}
+    assert {r.id for r in index.candidates(grams.pattern_needs("(brown|quock)")).collect()} == {0, 8}

@@ -246,3 +246,18 @@ def scanned_tables(text):
                     break
         at += 1
     return list(dict.fromkeys(out))
+
+
+def test_vfold(spark):
+    """Letters that differ by case alone are one key, in Spark, in Python and in SQL."""
+    from marginalia.plans import sql_functions
+
+    for text, key in (("café", "CAFÉ"), ("Σσς", "ΣΣΣ"), ("Straße", "STRAßE"), ("kKK", "KKK"), ("sSſ", "SSS"), ("ǆǅǄ", "ǄǄǄ"), ("ẞß", "ßß"), ("plain", "PLAIN"), ("", ""), ("İı", "İı")):
+        assert one(spark, tx.vfold("t"), t=text) == tx.vfold_of(text) == key
+    rows = spark.createDataFrame([(1, "ſet", "c", "code", "/K/a", "md", "{}", "2024-01-01")], "id long, title string, collection string, collection_type string, source_path string, source_type string, metadata string, last_indexed_at string")
+    sql_functions.register(spark, rows, rows.select("id", "source_path", "source_type", "last_indexed_at"))
+    assert spark.sql("SELECT vfold('kſς\\'')").first()[0] == "KSΣ'"
+    assert [r.id for r in spark.sql("SELECT * FROM library_sources_like('K/A', 0)").collect()] == [1]
+    assert spark.sql("SELECT * FROM library_timeline('code', 'md', '2024-01-01', '', 0)").count() == 1
+    assert spark.sql("SELECT * FROM library_timeline('other', '', '', '', 5)").count() == 0
+    assert spark.sql("SELECT * FROM library_keys_of('c', 5)").count() == 0
