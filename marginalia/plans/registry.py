@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata as md
 from ..functions import text as tx
 from ..functions import vectors as vf
-from ..operators import chunking, filters, fusion, grams, lexical, library, maintain, segments, vector, vector_many
+from ..operators import batching, chunking, filters, fusion, grams, lexical, library, maintain, segments, store, vector, vector_many
 from ..operators.filters import Filters
 from ..sources import books, repositories
 from ..schema import CHUNKS_PER_SOURCE
@@ -886,3 +886,48 @@ def sql_vfold(lib: Library) -> DataFrame:
     """The folding as a function of SQL."""
     sql_functions.register(lib.spark, lib.joined, lib.sources)
     return lib.spark.sql("SELECT id FROM library_sources WHERE startswith(vfold(source_path), vfold('/\u017frC1/'))")
+
+
+# ---- batches, stored tables ----
+
+
+@query("SELECT source_id, n_chunks, batch FROM walked", """
+RECURSIVE_ITEMS AS (SELECT source_id, CASE WHEN bool_or(trim(content) <> '') THEN count(*) ELSE 0 END AS n_chunks FROM chunks GROUP BY source_id),
+in_order AS (SELECT *, row_number() OVER (ORDER BY source_id) AS k FROM RECURSIVE_ITEMS WHERE n_chunks > 0),
+walked(k, source_id, n_chunks, batch, open) AS (
+  SELECT k, source_id, n_chunks, CAST(0 AS BIGINT), n_chunks FROM in_order WHERE k = 1
+  UNION ALL SELECT i.k, i.source_id, i.n_chunks, batch + CASE WHEN open >= 12 THEN 1 ELSE 0 END, i.n_chunks + CASE WHEN open >= 12 THEN 0 ELSE open END
+  FROM walked w JOIN in_order i ON i.k = w.k + 1)
+""")
+def whole_item_batches(lib: Library) -> DataFrame:
+    """Documents in batches of twelve chunks or more, none cut."""
+    return batching.item_batches(batching.items_of(lib.chunks), ["source_id"], 12).select("source_id", "n_chunks", "batch")
+
+
+ORACLES["whole_item_batches"] = ORACLES["whole_item_batches"].replace("WITH", "WITH RECURSIVE", 1).replace("RECURSIVE_ITEMS", "items")
+
+
+def _stored(lib: Library) -> store.Store:
+    """All collections; then the third is without some sources, and the fifth has gone. Built once for a folder and application."""
+    own = store.Store(lib.spark, _place(lib, "store"))
+    if store.latest(lib.spark, own.place)["generation"] == 0:
+        ids = [r.id for r in lib.collections.select("id").collect()]
+        vectors = lib.vectors.join(lib.chunks.select(F.col("id").alias("document_id"), "collection_id"), "document_id")
+        own.put(ids, sources=lib.sources, chunks=lib.chunks, vectors=vectors)
+        own.put([3], **{t: own.table(t, 3).where(F.col("id" if t != "vectors" else "document_id") % 2 == 0) for t in store.TABLES})
+        own.put([5])
+    return own
+
+
+@query("""
+SELECT 'sources' AS table_name, collection_id, count(*) AS n FROM sources WHERE collection_id <> 5 AND (collection_id <> 3 OR id % 2 = 0) GROUP BY ALL
+UNION ALL SELECT 'chunks', collection_id, count(*) FROM chunks WHERE collection_id <> 5 AND (collection_id <> 3 OR id % 2 = 0) GROUP BY ALL
+UNION ALL SELECT 'vectors', collection_id, count(*) FROM vectors v JOIN chunks c ON c.id = v.document_id WHERE collection_id <> 5 AND (collection_id <> 3 OR document_id % 2 = 0) GROUP BY ALL
+""")
+def stored_tables(lib: Library) -> DataFrame:
+    """What the stored tables hold after two changes."""
+    own, out = _stored(lib), None
+    for name in store.TABLES:
+        one = own.table(name).groupBy("collection_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "collection_id", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
