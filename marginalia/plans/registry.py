@@ -44,6 +44,25 @@ def _place(lib: Library, kind: str) -> str:
     return f"{root}/marginalia-{lib.spark.sparkContext.applicationId}/{kind}-{zlib.crc32(lib.sf_dir.encode()):08x}"
 
 
+def _stored_once(lib: Library, kind: str, rows: DataFrame) -> DataFrame:
+    """A table of the folder's library, written once for the application."""
+    place = _place(lib, kind)
+    done = lib.spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not done.getFileSystem(lib.spark._jsc.hadoopConfiguration()).exists(done):
+        rows.write.mode("overwrite").parquet(place)
+    return lib.spark.read.parquet(place)
+
+
+def _joined(lib: Library) -> DataFrame:
+    """Stored chunks with their sources and collections."""
+    return _stored_once(lib, "joined", lib.joined)
+
+
+def _index(lib: Library) -> lexical.TextIndex:
+    """The stored index of the chunks, written once for a folder and application."""
+    return lexical.TextIndex.opened(_joined(lib), _place(lib, "text"))
+
+
 # ---- chunks ----
 
 
@@ -270,7 +289,7 @@ def rrf_fusion(lib: Library) -> DataFrame:
 
 @query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql()}")
 def hybrid_search_query(lib: Library) -> DataFrame:
-    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), chunks=lib.chunks))
+    return _best(hybrid_search(_joined(lib), lib.vectors, "ingre", lib.vector_of(0), index=_index(lib)))
 
 
 QUERIES["hybrid_search"] = QUERIES.pop("hybrid_search_query")
@@ -279,18 +298,18 @@ ORACLES["hybrid_search"] = ORACLES.pop("hybrid_search_query")
 
 @query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql(chr(39).join(['source_type = ', 'en', '']) + ' AND contains(lower(source_path), ' + chr(39) + 'src1' + chr(39) + ')', 'wide', 500)}")
 def hybrid_search_filtered(lib: Library) -> DataFrame:
-    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), Filters(source_type="en", path="SRC1"), chunks=lib.chunks))
+    return _best(hybrid_search(_joined(lib), lib.vectors, "ingre", lib.vector_of(0), Filters(source_type="en", path="SRC1"), index=_index(lib)))
 
 
 @query(_BEST, f"{_NEAR},{_bm25_sql('ingre')},{_fused_sql(weights=(1.0, 0.0))}")
 def hybrid_zero_weight(lib: Library) -> DataFrame:
     """A weight of 0 keeps its rows, with nothing to add."""
-    return _best(hybrid_search(lib.joined, lib.vectors, "ingre", lib.vector_of(0), vector_weight=1.0, text_weight=0.0, chunks=lib.chunks))
+    return _best(hybrid_search(_joined(lib), lib.vectors, "ingre", lib.vector_of(0), vector_weight=1.0, text_weight=0.0, index=_index(lib)))
 
 
 @query(_BEST, f"{_NEAR.replace('LIMIT 200', 'LIMIT 0')},{_bm25_sql('atble')},{_fused_sql()}")
 def hybrid_text_only(lib: Library) -> DataFrame:
-    return _best(hybrid_search(lib.joined, lib.vectors, "atble", None, chunks=lib.chunks))
+    return _best(hybrid_search(_joined(lib), lib.vectors, "atble", None, index=_index(lib)))
 
 
 # ---- grep ----
@@ -798,11 +817,6 @@ def decomposed_accents(lib: Library) -> DataFrame:
     return lib.chunks.select("id", F.char_length(F.get(found, F.lit(0))).cast("long").alias("n")).where("n is not null")
 
 
-def _index(lib: Library) -> lexical.TextIndex:
-    """The stored index of the chunks, written once for a folder and application."""
-    return lexical.TextIndex.opened(lib.chunks, _place(lib, "text"))
-
-
 @query("SELECT doc_id, round(rank, 12) AS rank FROM ranked ORDER BY ranked.rank, doc_id LIMIT 20", _bm25_sql("is-the ingre"))
 def fts_stored_index(lib: Library) -> DataFrame:
     """A phrase and a word, looked up in the stored postings."""
