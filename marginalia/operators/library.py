@@ -83,6 +83,38 @@ def facet_dates(chunks_joined: DataFrame) -> DataFrame:
     return chunks_joined.agg(F.min(own).alias("first_day"), F.max(own).alias("last_day"))
 
 
+def facets_at_once(chunks_joined: DataFrame, fields: tuple[str, ...] = FACET_FIELDS, most_keys: int = 40, most_values: int = 8) -> DataFrame:
+    """All facets from one scan: ``kind, name, value, n, first_day, last_day``.
+
+    kind is source_type (name: the type, n: its sources), key (name: the key, n: chunks), value (name: the field) or dates. A
+    chunk is taken apart to entries; a first aggregate counts equal ones, a second one counts a type's sources. Values of a field that
+    a third of all chunks share are one row a task after the first.
+    """
+
+    def entry(kind: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+
+    def values(name: str) -> Column:
+        return F.transform(md.values("metadata", name), lambda v: entry("value", F.lit(name), v))
+
+    nothing = F.lit(None).cast("string")
+    parts = [
+        F.array(entry("source_type", F.col("source_type"), F.col("source_id")), entry("dates", nothing, nothing)),
+        F.transform(md.keys("metadata"), lambda k: entry("key", k, nothing)),
+        *map(values, fields),
+    ]
+    own = F.nullif(tx.day(document_date()), F.lit(""))
+    entries = chunks_joined.select(own.alias("day"), F.explode(F.concat(*parts)).alias("e")).select("e.*", F.when(F.col("e.kind") == "dates", F.col("day")).alias("day"))
+    kept = entries.where("kind <> 'value' OR value <> ''")
+    counted = kept.groupBy("kind", "name", "value").agg(F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    value = F.when(F.col("kind") == "value", F.col("value"))
+    summed = counted.groupBy("kind", "name", value.alias("value")).agg(F.sum(F.when(F.col("kind") == "source_type", 1).otherwise(F.col("n"))).alias("n"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+    group = F.when(F.col("kind") == "value", F.col("name"))
+    place = F.row_number().over(Window.partitionBy("kind", group).orderBy(F.desc("n"), "name", "value"))
+    most = F.when(F.col("kind") == "key", most_keys).when(F.col("kind") == "value", most_values)
+    return summed.withColumn("place", place).where(most.isNull() | (F.col("place") <= most)).drop("place")
+
+
 # ---- timeline, sources ----
 
 

@@ -945,3 +945,19 @@ def stored_tables(lib: Library) -> DataFrame:
         one = own.table(name).groupBy("collection_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "collection_id", "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("""
+SELECT 'source_type' AS kind, source_type AS name, NULL AS value, count(*) AS n, NULL AS first_day, NULL AS last_day FROM sources WHERE id IN (SELECT source_id FROM chunks) GROUP BY source_type
+UNION ALL SELECT 'dates', NULL, NULL, count(*), min(left(coalesce(date, author_date, last_indexed_at), 10)), max(left(coalesce(date, author_date, last_indexed_at), 10)) FROM joined
+UNION ALL SELECT 'key', key, NULL, n, NULL, NULL FROM (
+  SELECT unnest(['lang', 'n_chars', 'tags', 'authors', 'date', 'author_date', 'sender']) AS key,
+         unnest([count(lang), count(n_chars), count(*), count(*), count(date), count(author_date), count(sender)]) AS n FROM chunks) WHERE n > 0
+UNION ALL SELECT 'value', key, value, n, NULL, NULL FROM (
+  SELECT key, value, count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, value) AS place FROM (
+    SELECT 'tags' AS key, unnest(tags) AS value FROM chunks UNION ALL SELECT 'authors', unnest(authors) FROM chunks
+    UNION ALL SELECT 'sender', sender FROM chunks WHERE sender IS NOT NULL) GROUP BY key, value) WHERE place <= 8
+""")
+def facets_at_once(lib: Library) -> DataFrame:
+    """All facets of the library from one scan."""
+    return library.facets_at_once(lib.joined)
