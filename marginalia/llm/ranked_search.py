@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, checkpointed, remove, shared_folder
 
 TOP = 10
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 SHARD_DOCS = 1 << 13
 WAVE = 128
 BLOCK_TERMS = 1 << 16
