@@ -91,3 +91,17 @@ def test_cached_vectors(spark):
     lib = Tools(*empty, HashingEmbedder(2), cache=cache, model_key="m")
     assert lib.query_vector("q") == [1.0, 2.0] and lib.query_vector("other") != [1.0, 2.0] and lib.query_vector(" ") is None
     assert lib.search("q").count() == 0 and F is not None
+
+
+def test_query_vectors_are_forgotten_and_the_model_stays(spark):
+    cache = spark.createDataFrame([(1, "m", "q", [1.0, 2.0]), (2, "m", "torn", [1.0])], schema.QUERY_CACHE)
+    collections, sources, chunks = (spark.createDataFrame([], s) for s in (schema.COLLECTIONS, schema.SOURCES, schema.CHUNKS))
+    vectors = spark.createDataFrame([(5, [1.0, 0.0])], schema.VECTORS)
+    lib = Tools(collections, sources, chunks, vectors, HashingEmbedder(2), Settings(allow_write=True), cache=cache, model_key="m")
+    # A vector of another length than the stored ones is dropped and made anew.
+    assert len(lib.query_vector("torn")) == 2 and sorted(len(r.embedding) for r in lib.cache.collect()) == [2, 2]
+    pruned = lib.prune(spark.createDataFrame([], "source_path string"))
+    assert (pruned.cache.count(), pruned.model_key, pruned.index_of_text) == (0, "m", None)
+    assert pruned.query_vector("q") != [1.0, 2.0] and pruned.cache.count() == 1
+    other = lib.with_model(HashingEmbedder(2), "n")
+    assert (other.cache.count(), other.model_key) == (0, "n")
