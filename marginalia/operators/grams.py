@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,27 @@ def _sequence_needs(tree: Iterable) -> Needs:
     return found & literal_needs(run)
 
 
+#: Rows that a task gives at a time.
+ROWS = 100_000
+#: Tasks that share the rows of one run.
+SPREAD = 16
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of each text."""
+    ids: list[int] = []
+    grams: list[str] = []
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = {text[k : k + 3] for k in range(len(text) - 2)}
+            ids += [name] * len(own)
+            grams += own
+            if len(ids) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], ["id", "gram"])
+                ids, grams = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], ["id", "gram"])
+
+
 @dataclass(frozen=True)
 class GramIndex:
     """``gram, id`` of all chunks, stored at a place."""
@@ -102,12 +124,9 @@ class GramIndex:
 
     @staticmethod
     def written(chunks: DataFrame, place: str) -> GramIndex:
-        def runs(text: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - 2, F.lit(1)))
-            return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))
-
-        own = chunks.where("content is not null").select("id", F.explode(tx.bound(folded("content"), runs)).alias("gram")).where(F.char_length("gram") == 3)
-        own.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{place}/grams")
+        own = chunks.where("content is not null").select("id", folded("content").alias("text")).mapInArrow(_runs, "id long, gram string")
+        # A run that all chunks hold is dealt to several tasks; ranges would make the runs twice, to sample them.
+        own.repartition("gram", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{place}/grams")
         return GramIndex(chunks.sparkSession, place)
 
     @staticmethod
