@@ -5,6 +5,7 @@ The SQL shares one prefix of common tables (``tables.LIBRARY_SQL``).
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from ..operators import batching, chunking, filters, fusion, grams, lexical, lib
 from ..operators.filters import Filters
 from ..sources import books, repositories
 from ..schema import CHUNKS_PER_SOURCE
+from ..streaming import ledger
 from . import sql_functions
 from .hybrid import hybrid_search
 from .tables import LIBRARY_SQL, Library
@@ -53,6 +55,18 @@ def _stored_once(lib: Library, kind: str, rows: DataFrame) -> DataFrame:
     return lib.spark.read.parquet(place)
 
 
+def _worked_once(lib: Library, kind: str, work: Callable[[str], DataFrame]) -> DataFrame:
+    """A table that takes a folder to be made, which goes when the table is written, once for the application."""
+    place = _place(lib, kind)
+    path = lib.spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(place).getFileSystem(lib.spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(f"{place}/_SUCCESS")):
+        folder = f"{place}-{uuid.uuid4()}"
+        work(folder).write.mode("overwrite").parquet(place)
+        fs.delete(path(folder), True)
+    return lib.spark.read.parquet(place)
+
+
 def _joined(lib: Library) -> DataFrame:
     """Stored chunks with their sources and collections."""
     return _stored_once(lib, "joined", lib.joined)
@@ -544,6 +558,60 @@ def run_counters(lib: Library) -> DataFrame:
     return maintain.run_counts(maintain.changes(files, known))
 
 
+@query("""
+SELECT 1 AS run, source_path, 'parse' AS status FROM files WHERE doc_id % 4 <> 3
+UNION ALL
+SELECT 2, source_path, CASE WHEN doc_id % 4 >= 2 OR doc_id % 10 = 9 THEN 'parse' WHEN doc_id % 4 = 0 THEN 'skip' ELSE 'touch' END FROM files
+UNION ALL
+SELECT 3, source_path, CASE WHEN doc_id % 10 = 9 THEN 'parse' ELSE 'skip' END FROM files
+""", ctes="files AS (SELECT *, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS source_path FROM docs)")
+def change_ledger(lib: Library) -> DataFrame:
+    """Change detection over three runs by keyed state, each by a stream restarted from its checkpoint. Files of a tenth of the ids fail whenever they are parsed."""
+    known, files = _file_states(lib)
+    file = "source_path string, file_hash string, file_modified_at string"
+
+    def work(folder: str) -> DataFrame:
+        spark = lib.spark
+        asked, told, result = (f"{folder}/{x}" for x in ("listing", "outcomes", "statuses"))
+        spark.createDataFrame([], f"{file}, ok boolean").write.parquet(told)
+        for run, listing in enumerate((known.drop("doc_id"), files, files), 1):
+            listing.select(F.lit(run).cast("long").alias("run"), "*").write.mode("append").parquet(asked)
+            listings, outcomes = spark.readStream.schema(f"run long, {file}").parquet(asked), spark.readStream.schema(f"{file}, ok boolean").parquet(told)
+            ledger.stored(ledger.ladder(listings, outcomes), result, f"{folder}/checkpoint").awaitTermination()
+            parsed = spark.read.parquet(result).where((F.col("run") == run) & (F.col("status") == "parse"))
+            parsed.select("source_path", "file_hash", "file_modified_at", (~F.col("source_path").endswith("9.txt")).alias("ok")).write.mode("append").parquet(told)
+        return spark.read.parquet(result).select(F.col("run").cast("int").alias("run"), "source_path", "status")
+
+    return _worked_once(lib, "ladder", work)
+
+
+@query("""
+SELECT run, mark, last_value(CASE WHEN NOT bad THEN sha END IGNORE NULLS) OVER (PARTITION BY mark ORDER BY run) AS sha
+FROM (SELECT run, mark, arg_max(sha, number) AS sha, bool_or(bad) AS bad FROM (
+  SELECT run, repo AS mark, number, sha, error OR cancelled AS bad FROM commits UNION ALL SELECT run, repo || ':history', number, sha, error FROM commits) GROUP BY run, mark)
+""", ctes="""commits AS (
+  SELECT doc_id % 5 + 1 AS run, source AS repo, doc_id % 5 * 1000000000000 + doc_id AS number, sha256(CAST(doc_id AS VARCHAR)) AS sha,
+         doc_id % 97 = 5 AS error, doc_id % 61 = 3 AS cancelled FROM docs)""")
+def commit_watermarks(lib: Library) -> DataFrame:
+    """Commits of five runs; a document with an error or a cancellation spoils its source's run. The stream is restarted after three runs."""
+    i, run = F.col("doc_id"), F.col("doc_id") % 5
+    commits = lib.documents.select(
+        (run + 1).alias("run"), F.col("source").alias("repo"), (run * 1000000000000 + i).alias("number"), F.sha2(i.cast("string"), 256).alias("sha"),
+        (i % 97 == 5).alias("error"), (i % 61 == 3).alias("cancelled"),
+    )
+
+    def work(folder: str) -> DataFrame:
+        told, result = f"{folder}/runs", f"{folder}/marks"
+        runs = ledger.summaries(commits)
+        for part in (runs.where("run <= 3"), runs.where("run > 3")):
+            part.write.mode("append").parquet(told)
+            stream = lib.spark.readStream.schema(runs.schema).parquet(told)
+            ledger.stored(ledger.watermarks(stream), result, f"{folder}/checkpoint").awaitTermination()
+        return lib.spark.read.parquet(result)
+
+    return _worked_once(lib, "watermarks", work)
+
+
 @query("SELECT user_id, arg_max(event_id, (event_id % 7 = 1, ts, event_id)) AS event_id FROM events GROUP BY user_id", plain=True)
 def upsert_latest_wins(lib: Library) -> DataFrame:
     """A seventh of the events comes anew: a user's newest of these stays, or else the latest of those stored."""
