@@ -3,6 +3,9 @@
 A generation writes new folders for the collections that it changes; a manifest names the folder of each table and
 collection and is renamed into place last. Readers see the generation before or the one after, and a run
 that dies leaves folders that nobody names. Each change tells how many rows went, came and stayed.
+
+The manifest records the dimension of the vectors, that of the first ones stored; others are refused until ``rebuilt`` drops all
+vectors and records another one.
 """
 
 from __future__ import annotations
@@ -75,12 +78,58 @@ class Store:
         """
         old = latest(self.spark, self.place)
         g = old["generation"] + 1
-        new = {"generation": g, "folders": {t: {c: p for c, p in old["folders"][t].items() if int(c) not in collection_ids} for t in TABLES}}
+        new = {**old, "generation": g, "folders": {t: {c: p for c, p in old["folders"][t].items() if int(c) not in collection_ids} for t in TABLES}}
         for name, rows in tables.items():
-            new["folders"][name] |= self._written(name, rows.where(F.col("collection_id").isin(collection_ids)), g)
+            rows = rows.where(F.col("collection_id").isin(collection_ids))
+            if name == "vectors":
+                new["dimension"] = old.get("dimension") or self._dimension_of(rows)
+                rows = rows.withColumn("embedding", self._fitting(new["dimension"]))
+            new["folders"][name] |= self._written(name, rows, g)
         swap(self.spark, self.place, new)
         return self._told(collection_ids, old, new)
 
+    @staticmethod
+    def _dimension_of(vectors: DataFrame) -> int | None:
+        row = vectors.where("size(embedding) > 0").select(F.size("embedding").alias("n")).first()
+        return row.n if row else None
+
+    @staticmethod
+    def _fitting(dimension: int | None):
+        """The vector; one of another dimension fails the write, and so the change. A null one has none."""
+        size = F.size("embedding")
+        wrong = F.raise_error(F.format_string("a vector of %s numbers, where %s are stored", size, F.lit(str(dimension)))).cast("array<float>")
+        return F.when(F.col("embedding").isNull() | (size == F.lit(dimension)), F.col("embedding")).otherwise(wrong)
+
+    @property
+    def dimension(self) -> int | None:
+        """Length of the stored vectors; none before any is stored."""
+        return latest(self.spark, self.place).get("dimension")
+
+    def rebuilt(self, dimension: int) -> DataFrame:
+        """Drops the vectors of all collections and records the new dimension. Returns ``collection_id, went``."""
+        old = latest(self.spark, self.place)
+        swap(self.spark, self.place, {"generation": old["generation"] + 1, "dimension": dimension, "folders": {**old["folders"], "vectors": {}}})
+        return self.table("vectors", None, old).groupBy("collection_id").agg(F.count("*").alias("went"))
+
+    def unembedded(self) -> DataFrame:
+        """Chunks without a vector: what has to be embedded after ``rebuilt``, or after a run that broke off."""
+        state = latest(self.spark, self.place)
+        return self.table("chunks", None, state).join(self.table("vectors", None, state).select(F.col("document_id").alias("id")), "id", "left_anti")
+
+    def without_orphans(self) -> DataFrame:
+        """Removes vectors whose chunk is gone; only collections that hold some are written. Returns ``collection_id, went``."""
+        old = latest(self.spark, self.place)
+        ids = self.table("chunks", None, old).select(F.col("id").alias("document_id"))
+        gone = self.table("vectors", None, old).join(ids, "document_id", "left_anti").groupBy("collection_id").agg(F.count("*").alias("went"))
+        # As many as there are collections.
+        found = [r.collection_id for r in gone.collect()]
+        if found:
+            g = old["generation"] + 1
+            own = self.table("vectors", None, old).where(F.col("collection_id").isin(found)).join(ids, "document_id", "left_semi")
+            kept = {c: p for c, p in old["folders"]["vectors"].items() if int(c) not in found} | self._written("vectors", own, g)
+            swap(self.spark, self.place, {**old, "generation": g, "folders": {**old["folders"], "vectors": kept}})
+        return gone
+
     def _told(self, collection_ids: list[int], old: dict, new: dict) -> DataFrame:
         out = None
         for name, (key, _) in TABLES.items():

@@ -1029,3 +1029,40 @@ UNION ALL SELECT 'value', key, value, n, NULL, NULL FROM (
 def facets_at_once(lib: Library) -> DataFrame:
     """All facets of the library from one scan."""
     return library.facets_at_once(lib.joined)
+
+
+@query("""
+SELECT c.collection_id, 32 AS dimension, count(*) AS n_chunks, count(v.document_id) FILTER (WHERE c.collection_id % 2 = 0) AS n_vectors
+FROM chunks c LEFT JOIN vectors v ON v.document_id = c.id GROUP BY c.collection_id
+""")
+def stored_rebuild(lib: Library) -> DataFrame:
+    """Stored vectors after a change of the dimension from 64 to 32; every second collection has been embedded anew."""
+
+    def work(folder: str) -> DataFrame:
+        own = store.Store(lib.spark, folder)
+        ids = [r.id for r in lib.collections.select("id").collect()]
+        vectors = lib.vectors.join(lib.chunks.select(F.col("id").alias("document_id"), "collection_id"), "document_id")
+        own.put(ids, sources=lib.sources, chunks=lib.chunks, vectors=vectors)
+        own.rebuilt(32)
+        anew = vectors.withColumn("embedding", F.slice("embedding", 1, 32))
+        own.put([i for i in ids if i % 2 == 0], **{t: own.table(t) for t in ("sources", "chunks")}, vectors=anew)
+        waiting = own.unembedded().select("id", F.lit(True).alias("waits"))
+        counted = own.table("chunks").join(waiting, "id", "left").groupBy("collection_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("waits").isNull()).alias("n_vectors"))
+        return counted.withColumn("dimension", F.lit(own.dimension))
+
+    return _worked_once(lib, "rebuild", work)
+
+
+@query("SELECT collection_id, count(*) AS went FROM chunks c JOIN vectors v ON v.document_id = c.id WHERE collection_id % 2 = 1 AND source_id % 3 = 0 GROUP BY collection_id")
+def stored_orphans(lib: Library) -> DataFrame:
+    """How many vectors go with chunks that every second collection has lost, by collection."""
+
+    def work(folder: str) -> DataFrame:
+        own = store.Store(lib.spark, folder)
+        ids = [r.id for r in lib.collections.select("id").collect()]
+        vectors = lib.vectors.join(lib.chunks.select(F.col("id").alias("document_id"), "collection_id"), "document_id")
+        left = lib.chunks.where((F.col("collection_id") % 2 == 0) | (F.col("source_id") % 3 != 0))
+        own.put(ids, sources=lib.sources, chunks=left, vectors=vectors)
+        return own.without_orphans()
+
+    return _worked_once(lib, "orphans", work)

@@ -36,6 +36,8 @@ class Tools:
     model_key: str = ""
     #: The stored inverted index of the chunks, if there is one.
     index_of_text: lexical.TextIndex | None = None
+    #: Length of the vectors, if a rebuild has recorded it; else that of the stored ones.
+    dimension: int | None = None
 
     def query_vector(self, query: str) -> list[float] | None:
         """From the cache if it is there, else from the model; None if there is none or it fails."""
@@ -56,6 +58,8 @@ class Tools:
 
     def _dimension(self) -> int | None:
         """Length of the stored vectors."""
+        if self.dimension:
+            return self.dimension
         row = self.vectors.where("embedding is not null").select(F.size("embedding").alias("n")).first()
         return row["n"] if row else None
 
@@ -187,3 +191,8 @@ class Tools:
     def with_model(self, embedder: Embedder | None, model_key: str) -> Tools:
         """Another model: no vector of a query that the old one made stays."""
         return replace(self, embedder=embedder, model_key=model_key, cache=None if self.cache is None else self.cache.limit(0))
+
+    def rebuilt(self, dimension: int) -> Tools:
+        """Vectors of another dimension from now on: all stored ones and those of queries go, sources and chunks stay to be embedded anew."""
+        self._may_write()
+        return replace(self, vectors=self.vectors.limit(0), cache=None if self.cache is None else self.cache.limit(0), dimension=dimension)

@@ -105,3 +105,7 @@ def test_query_vectors_are_forgotten_and_the_model_stays(spark):
     assert pruned.query_vector("q") != [1.0, 2.0] and pruned.cache.count() == 1
     other = lib.with_model(HashingEmbedder(2), "n")
     assert (other.cache.count(), other.model_key) == (0, "n")
+    anew = lib.rebuilt(3)
+    assert (anew.vectors.count(), anew.cache.count(), anew.model_key, anew._dimension()) == (0, 0, "m", 3)
+    with pytest.raises(WriteDeniedError):
+        Tools(collections, sources, chunks, vectors).rebuilt(3)

@@ -65,6 +65,36 @@ def test_a_run_that_dies_leaves_the_state_before(spark, tmp_path, monkeypatch, a
         store.swap(spark, own.place, {"generation": 2, "folders": {}})
 
 
+def test_dimension_is_recorded(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path))
+    assert own.dimension is None
+    tables = tables_of(spark, [(1, 10), (1, 11), (2, 20)])
+    own.put([1, 2], **tables)
+    before = held(own)
+    assert own.dimension == 1 and own.unembedded().count() == 0
+    wide = tables["vectors"].withColumn("embedding", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")))
+    with pytest.raises(Exception, match="a vector of 2 numbers"):
+        own.put([1], **{**tables, "vectors": wide})
+    assert held(own) == before
+    assert sorted(tuple(r) for r in own.rebuilt(2).collect()) == [(1, 2), (2, 1)]
+    assert held(own) == {**before, "vectors": []} and own.dimension == 2
+    assert sorted(r.id for r in own.unembedded().collect()) == [10, 11, 20]
+    with pytest.raises(Exception, match="a vector of 1 numbers"):
+        own.put([1], **tables)
+    own.put([1], **{**tables, "vectors": wide})
+    assert held(own)["vectors"] == [(1, 10), (1, 11)] and [r.id for r in own.unembedded().collect()] == [20]
+
+
+def test_orphans_go_with_counts(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path))
+    tables = tables_of(spark, [(1, 10), (1, 11), (2, 20), (3, 30)])
+    own.put([1, 2, 3], **{**tables, "chunks": tables["chunks"].where("id not in (11, 30)")})
+    generation, untouched = store.latest(spark, own.place)["generation"], own.table("vectors", 2).inputFiles()
+    assert sorted(tuple(r) for r in own.without_orphans().collect()) == [(1, 1), (3, 1)]
+    assert held(own)["vectors"] == [(1, 10), (2, 20)] and own.table("vectors", 2).inputFiles() == untouched
+    assert own.without_orphans().count() == 0 and store.latest(spark, own.place)["generation"] == generation + 1
+
+
 def walked(sizes, target):
     out, still, number = [], 0, 0
     for n in sizes:
