@@ -67,6 +67,65 @@ def test_word_vectors_are_sums_of_neighbours(spark):
     assert np.allclose(quality.word_vectors(df), want, atol=1e-6)
 
 
+def plain_features(text, vectors):
+    words = [vectors[zlib.crc32(w.encode()) % quality.SLOTS].astype(float) for w in (text or "").lower().split()]
+    if not words:
+        return np.zeros(quality.WIDTH)
+    mean = sum(words) / len(words)
+    spread = [math.sqrt(max(0, sum(w[d] ** 2 for w in words) / len(words) - mean[d] ** 2)) for d in range(quality.DIM)]
+    beside = sum((a * b for a, b in zip(words, words[1:], strict=False)), np.zeros(quality.DIM)) / max(1, len(words) - 1)
+    return np.array([*mean, *spread, *beside, sum(beside)])
+
+
+def plain_network(x, y, rounds=40):
+    """Weights row by row, as a function from features to a score."""
+    rng = np.random.default_rng(quality.SEED)
+    n = len(y) * 4 // 5
+    mean, scale = sum(x) / len(x), np.sqrt(sum((r - sum(x) / len(x)) ** 2 for r in x) / len(x)) + 1e-3
+    rows = [(r - mean) / scale for r in x]
+    prior = (sum(y) + 1) / (len(y) + 2)
+    w1 = rng.normal(0, math.sqrt(2 / quality.WIDTH), (quality.WIDTH, quality.HIDDEN))
+    weights = [w1, np.zeros(quality.HIDDEN), rng.normal(0, math.sqrt(2 / quality.HIDDEN), quality.HIDDEN), math.log(prior / (1 - prior))]
+    first, second, step = [0.0] * 4, [0.0] * 4, 0
+    for _ in range(rounds):
+        order = rng.permutation(n)
+        for part in np.array_split(order, max(1, n // 64)):
+            step += 1
+            slopes = [1e-4 * weights[0], 0.0, 1e-4 * weights[2], 0.0]
+            for k in part:
+                hidden = np.maximum(rows[k] @ weights[0] + weights[1], 0)
+                error = (1 / (1 + math.exp(-(hidden @ weights[2] + weights[3]))) - y[k]) / len(part)
+                below = error * weights[2] * (hidden > 0)
+                slopes = [a + b for a, b in zip(slopes, (np.outer(rows[k], below), below, error * hidden, error), strict=True)]
+            for k, slope in enumerate(slopes):
+                first[k] = 0.9 * first[k] + 0.1 * slope
+                second[k] = 0.999 * second[k] + 0.001 * slope**2
+                weights[k] = weights[k] - 0.003 * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+
+    def logit(r):
+        return float(np.maximum((r - mean) / scale @ weights[0] + weights[1], 0) @ weights[2] + weights[3])
+
+    def loss(t):
+        return sum(math.log1p(math.exp(-(1 if y[k] else -1) * logit(x[k]) / t)) for k in range(n, len(y)))
+
+    heat = min(np.geomspace(0.5, 8, 41), key=loss)
+    return lambda r: 1 / (1 + math.exp(-logit(r) / heat))
+
+
+def test_scores_are_those_of_a_plain_network(spark):
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choice(["good", "fine", "plain", "text"] if k % 2 else ["spam", "buy", "text", "now"]) + str(rng.randrange(4)) for _ in range(rng.randrange(1, 30)))) for k in range(120)]
+    texts += [(200, ""), (201, None), (202, "x" * 50_000), (203, "word " * 40_000)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    vectors = quality.word_vectors(docs.select("text"))
+    own = {k: plain_features(t, vectors).astype(np.float32).astype(float) for k, t in texts}
+    fit = sorted((k for k in range(120) if not held_out(k, 3)), key=lambda k: zlib.crc32(f"order {k}".encode()))
+    score = plain_network([own[k] for k in fit], [k % 2 for k in fit])
+    found = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    assert found.keys() == own.keys() and all(abs(found[k] - score(plain_features(t, vectors))) < 1e-3 for k, t in texts)
+
+
 # ---- language model ----
 
 
@@ -413,6 +472,34 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(documents(spark, texts), benchmark.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 60])
+def test_the_search_finds_all_that_tiling_every_pair_finds(spark, block_words):
+    rng = random.Random(block_words)
+    items = [(k, [f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 30))]) for k in range(25)]
+    texts = []
+    for k in range(60):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(20))]
+        for _ in range(rng.randrange(4)):
+            own = rng.choice(items)[1]
+            a = rng.randrange(len(own))
+            words += own[a : a + rng.randrange(1, 25)] + own[:a][: rng.randrange(10)]
+        texts.append((k, words))
+    texts += [(60, ["long" * 20_000]), (61, ["w1"] * 3000), (62, [w for _, own in items for w in own] * 10)]
+    want = {}
+    for i, doc in texts[:60]:
+        for j, item in items:
+            covered = sum(n for *_, n in plain_tiles(doc, item, min(5, len(item))))
+            if covered >= 0.6 * len(item):
+                want[i, j] = len(item), covered
+    benchmark = spark.createDataFrame([(j, " ".join(item)) for j, item in items], "item_id long, text string")
+    rows = decontaminate.contaminated(documents(spark, [(i, " ".join(doc)) for i, doc in texts]), benchmark, block_words=block_words).collect()
+    found = {(r.doc_id, r.item_id): (r.item_words, r.covered_words) for r in rows}
+    assert len(found) == len(rows) and {k: v for k, v in found.items() if k[0] < 60} == want and len(want) > 20
+    # Endless repeats and one unbroken word find what they hold; a text of all items has each whole.
+    assert not [k for k in found if k[0] == 60] and {j for i, j in found if i == 62} == {j for j, _ in items}
+    assert {j for i, j in found if i == 61} == {j for j, item in items if set(item) == {"w1"}}
+
+
 # ---- mixing ----
 
 
