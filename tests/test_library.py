@@ -129,6 +129,18 @@ def test_bm25_against_sqlite(spark, query):
     assert all(dict(found)[i] == pytest.approx(r, rel=1e-12) for i, r in want)
 
 
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 47])
+def test_all_pages_at_once(spark, n):
+    rows = [(k, 7 * k % 11, k) for k in range(n)]
+    chunks = spark.createDataFrame(rows, "id long, source_id long, chunk_index long").withColumn("collection_id", F.lit(1)).withColumn("title", F.lit("t")).repartition(5)
+    want, cursor = [], ""
+    while n and (cursor or not want):
+        page, before, after = library.page_with_cursors(chunks, cursor, 10)
+        want.append((len(want), len(page), before, after))
+        cursor = after
+    assert [tuple(r) for r in library.chunk_pages(chunks, 10).orderBy("page").collect()] == want
+
+
 def test_pages(spark):
     rows = [(10 * k + s, s, 1, k, "t") for k in range(5) for s in (2, 1)]
     chunks = spark.createDataFrame(rows, "id long, source_id long, collection_id long, chunk_index long, title string")
