@@ -6,7 +6,8 @@ documents.
 
 quality classifier     documents scored below 0.5 go
 line dedup             lines that an earlier line equals, but for one edit, go from the texts
-SimHash near-dedup     of each group of documents linked by a five-word similarity of 0.8 that with the smallest id stays
+SimHash near-dedup     of each group of documents linked by SimHash fingerprints three bits apart at most, or by a five-word similarity
+                       of 0.8, that with the smallest id stays
 decontamination        documents in which a benchmark item is found go
 source mixing          documents are repeated so that all sources weigh the same
 
@@ -33,6 +34,8 @@ from marginalia.llm.common import remove, shared_folder
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Rows of an Arrow batch: with long texts ten thousand, Spark's default, take hundreds of megabytes beside the heap of an executor.
 BATCH_ROWS = 1000
+#: Bits in which the fingerprints of near copies differ at most.
+NEAR_BITS = 3
 
 
 def in_small_batches(stage: Stage) -> Stage:
@@ -63,7 +66,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @in_small_batches
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs)
+    return near_copies.one_of_each(docs, radius=NEAR_BITS)
 
 
 @in_small_batches

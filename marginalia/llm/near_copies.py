@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles, each link checked on the shingles.
+"""Near copies by SimHash fingerprints and by the Jaccard similarity of word shingles, the latter checked on the shingles.
 
 Two texts are linked if their sets of five-word shingles (ASCII white space, A-Z lower-cased;
 a shorter text is one shingle) have a Jaccard similarity of ``LEAST`` or more.
@@ -13,8 +13,9 @@ a shorter text is one shingle) have a Jaccard similarity of ``LEAST`` or more.
    (hub, such a shingle), for which each has only as many of its rarest as must hold a shared one; the second by a join on (hub, size).
 5. Components are those of the links found.
 
-Why not SimHash: at a similarity of 0.8 some 10 of 64 bits differ, for which the block index needs
-11 blocks of 5 bits, so that each block value holds a thirtieth of all texts.
+With a ``radius``, texts are linked as well whose SimHash fingerprints (``simhash``: three-word shingles, repeats counted) differ in that many
+bits at most; components are those of both kinds of links. Fingerprints alone would lose links of the first kind: at a similarity of 0.8 some 10 of
+64 bits differ, for which the block index needs 11 blocks of 5 bits, so that each block value holds a thirtieth of all texts.
 
 Defined results: texts without words are one group; rows with a null id keep their row and take part in no
 link; rows that share an id and differ in text are judged each by its text; a very long text takes memory in proportion
@@ -23,7 +24,7 @@ to its shingles; an empty table gives an empty result; other columns are never r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, checkpointed, compact, free_names, slices
 from .line_dedup import maybe_in
-from .simhash import components
+from .simhash import components, fingerprint, near_edges
 
 SHINGLE = 5
 LEAST = 0.8
@@ -96,12 +97,22 @@ def _least(sets: list[np.ndarray]) -> np.ndarray:
     return least
 
 
-def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sets = [shingles(t) for t in as_bytes(batch.column(1))]
-        keys = band_keys(sets)
-        columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_hash", "node", "size", "keys"])
+KNOWN = "doc_id long, text_hash long, node long, size long, keys array<long>, fp long"
+
+
+def _known(printed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is known of each text; its fingerprint if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = as_bytes(batch.column(1))
+            sets = [shingles(t) for t in texts]
+            keys = band_keys(sets)
+            prints = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)) if printed else pa.nulls(len(texts), pa.int64())
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), prints]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], [f.split()[0] for f in KNOWN.split(", ")])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,18 +237,29 @@ def links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return links.union(linked(compact(compared(pairs, sets))))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links_of_prints(named: DataFrame, radius: int) -> DataFrame:
+    """Links (u > v) of nodes (node, fp) that join what have fingerprints within the radius; a node of several texts may have several."""
+    own = named.select("node", "fp").distinct()
+    reps = own.groupBy("fp").agg(F.min("node").alias("least"))
+    same = own.join(reps, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return same.union(near_edges(reps.withColumnRenamed("least", "node"), radius))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
     """For each row ``doc_id``, ``text_hash``, ``node`` (the hash of its shingles), ``component_id`` (the smallest id of its
     group) and ``stays``: whether it is the row of its group with the smallest (doc_id, text_hash)."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    known = checkpointed(picked.mapInArrow(_known, "doc_id long, text_hash long, node long, size long, keys array<long>"))
+    known = checkpointed(picked.mapInArrow(_known(radius is not None), KNOWN))
     named = known.where("doc_id is not null")
     spread = named.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     groups = compact(spread.join(shared, "key"))
     nodes = compact(groups.select("node").distinct())
     sets = compact(sets_of(picked, named, nodes), 1 << 16)
-    roots = compact(components(links_within(groups, sets).distinct()))
+    links = links_within(groups, sets)
+    if radius is not None:
+        links = links.union(links_of_prints(named, radius))
+    roots = compact(components(links.distinct()))
 
     rooted = known.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
@@ -246,9 +268,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rooted.join(first, "root", "left").select("doc_id", "text_hash", "node", component, stays.alias("stays"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay; of rows of equal id and text one."""
-    found = checkpointed(near_copies(docs, id_col, text_col))
+    found = checkpointed(near_copies(docs, id_col, text_col, radius))
     own_id, own_hash = free_names(docs, "id", "text_hash")
     gone = found.where(~F.col("stays")).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     key, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from marginalia.llm import near_copies
+from marginalia.llm import near_copies, simhash
 
 from .fixtures import TEXTS, documents
 
@@ -88,6 +88,35 @@ def test_stage_folds_copies_of_a_similarity_of_eight_tenths(spark, sf):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+def test_stage_links_by_fingerprints_too(spark, sf):
+    """Texts of one passage that repeats, each with an end of its own: one fingerprint or near ones, but few shingles in common."""
+    rng = random.Random(7)
+    texts = []
+    for group in range(12):
+        words = " ".join([f"g{group}w{k}" for k in range(11)] * 50)
+        texts += [(100 * group + k, " ".join([words, *[f"own{rng.randrange(10**6)}" for _ in range(30)]])) for k in range(3)]
+    texts.append((5000, " ".join(f"alone{k}" for k in range(50))))
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in texts}
+    assert plain_groups(texts) == sorted((i, i) for i, _ in texts)
+    want = sorted(i for i, _ in texts if not any((prints[i] ^ prints[j]).bit_count() <= 3 for j, _ in texts if j < i and j // 100 == i // 100))
+    assert len(want) <= 20
+    out = corpus_pipeline.near_duplicate_stage(spark, documents(spark, texts), sf)
+    assert sorted(r.doc_id for r in out.collect()) == want
+
+
+def test_links_of_both_kinds_join(spark):
+    """The first and second text are linked by their fingerprints, the second and third by their shingles."""
+    rng = random.Random(3)
+    block = [f"w{k}" for k in range(11)]
+    first = " ".join(block * 50)
+    second = " ".join(block * 50 + [f"end{k}" for k in range(30)])
+    third = " ".join(block * 3 + [f"end{k}" for k in range(30)])
+    texts = [(1, first), (2, second), (3, third), (4, " ".join(f"other{rng.randrange(99)}" for _ in range(60)))]
+    assert plain_groups(texts) == [(1, 1), (2, 2), (3, 2), (4, 4)]
+    found = near_copies.near_copies(documents(spark, texts), radius=3).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_links_at_the_very_threshold(spark):
     """Fragments of one text: many pairs have a similarity of just 0.8, or a shingle less; which one is the hub doesn't matter."""
     rng = random.Random(5)
