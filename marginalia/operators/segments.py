@@ -7,7 +7,7 @@ chunks of each term are kept as sums of segments less those of what is gone, so
 a scan. Which tables count is told by a manifest that is renamed into place last: readers see
 the state before a change or the one after it, whatever fails between. ``merged`` writes segments of one size class as one, without what is gone.
 
-Chunks of a segment are ordered by length and cut to blocks of BLOCK_ROWS. For each term and block the
+Chunks of a segment whose lengths lie within a twelfth of each other are dealt by their ids to blocks of BLOCK_ROWS on average. For each term and block the
 largest frequency and the smallest length bound what the term can add to a rank. ``top`` ranks the blocks by the sum of
 their terms' bounds, scores the best ones, and then those blocks alone that may still reach the k-th rank.
 """
@@ -29,6 +29,8 @@ BLOCK_ROWS = 128
 #: Blocks that are scored first; segments of a size class that are merged, and how far sizes in a class lie apart.
 FIRST_BLOCKS = 8
 FANOUT = 4
+#: Classes of length for each doubling; a block has chunks of one class.
+CLASSES = 8
 #: Blocks that a scan names one by one.
 NAMED_BLOCKS = 500
 
@@ -200,36 +202,39 @@ class SegmentedIndex:
             lost = own.lengths.join((ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).distinct(), "doc_id", "left_semi")
             lost.select("doc_id", "length").write.parquet(f"{self.place}/{name}/ids")
             lost = self.spark.read.parquet(f"{self.place}/{name}/ids")
-            own.postings.join(lost, "doc_id", "left_semi").groupBy("term").agg(F.count_distinct("doc_id").alias("n")).write.parquet(f"{self.place}/{name}/terms")
+            own.postings.join(lost, "doc_id", "left_semi").groupBy("term").agg(F.count_if("lead").alias("n")).write.parquet(f"{self.place}/{name}/terms")
             n, tokens = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
             gone.append((name, g, n, tokens))
         if added is not None:
-            segments.append(self._segment(lexical.postings(added), added.select(F.col("id").alias("doc_id")), g))
+            draft = f"{self.place}/draft-{g}-{uuid.uuid4()}"
+            lexical.inverted(added).write.parquet(draft)
+            rows = self.spark.read.parquet(draft)
+            segments.append(self._segment(rows.where("term is not null"), rows.where("term is null"), g))
+            path, files = _files(self.spark, draft)
+            files.delete(path, True)
         new = Manifest(g, tuple(segments), tuple(gone))
         write_manifest(self.spark, self.place, new)
         return new
 
-    def _segment(self, postings: DataFrame, ids: DataFrame, g: int) -> tuple[str, int, int, int]:
-        """Writes the tables of a segment of these postings and chunks."""
+    def _segment(self, postings: DataFrame, lengths: DataFrame, g: int) -> tuple[str, int, int, int]:
+        """Writes the tables of a segment of these postings (``lexical.INVERTED``) and lengths. A chunk's block follows from its id and length, so postings and lengths needn't meet."""
         name = f"segment-{g}-{uuid.uuid4()}"
         at = f"{self.place}/{name}"
-        postings.select("term", "doc_id", "column_name", "tf", "positions").write.parquet(f"{at}/draft")
-        draft = self.spark.read.parquet(f"{at}/draft")
-        sums = ids.join(draft.groupBy("doc_id").agg(F.sum("tf").alias("length")), "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
-        # Task and place of a row within it, in the order of lengths.
-        spot = F.monotonically_increasing_id()
-        block = F.shiftright(spot, 33) * (1 << 33) + F.shiftright(spot.bitwiseAND(F.lit((1 << 33) - 1)), BLOCK_ROWS.bit_length() - 1)
-        sums.repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id").select("doc_id", "length", block.alias("block")).write.parquet(f"{at}/lengths")
+        lengths = lengths.select("doc_id", "length", F.floor(F.log2(F.col("length") + 1) * CLASSES).cast("long").alias("class"))
+        # As many rows as there are classes of length: some hundreds at most.
+        slots = [(r["class"], -(-r.n // BLOCK_ROWS)) for r in lengths.groupBy("class").agg(F.count("*").alias("n")).collect()]
+        dealt = F.broadcast(self.spark.createDataFrame(slots, "class long, slots long"))
+        block = (F.shiftleft("class", 32) + F.pmod(F.xxhash64("doc_id"), F.col("slots"))).alias("block")
+        lengths.join(dealt, "class").select("doc_id", "length", block).sortWithinPartitions("block", "doc_id").write.parquet(f"{at}/lengths")
         lengths = self.spark.read.parquet(f"{at}/lengths")
-        whole = draft.join(lengths, "doc_id")
-        whole.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "doc_id").write.parquet(f"{at}/postings")
+        columns = [x.split()[0] for x in lexical.INVERTED.split(", ")]
+        own = postings.select(*columns, F.floor(F.log2(F.col("length") + 1) * CLASSES).cast("long").alias("class")).join(dealt, "class").select(*columns, block)
+        # A term that all chunks hold is dealt to several tasks, by whole blocks.
+        own.repartition("term", F.pmod(F.xxhash64("block"), F.lit(lexical.SPREAD))).sortWithinPartitions("term", "block", "doc_id").write.parquet(f"{at}/postings")
         stored = self.spark.read.parquet(f"{at}/postings")
-        by_chunk = stored.groupBy("term", "block", "doc_id").agg(F.sum("tf").alias("f"), F.first("length").alias("length"))
-        by_block = by_chunk.groupBy("term", "block").agg(F.max("f").alias("most"), F.min("length").alias("least"), F.count("*").alias("n"))
-        by_block.repartitionByRange("term").sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
+        by_block = stored.groupBy("term", "block").agg(F.max("f").alias("most"), F.min("length").alias("least"), F.count_if("lead").alias("n"))
+        by_block.sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
         self.spark.read.parquet(f"{at}/blocks").groupBy("term").agg(F.sum("n").alias("n")).write.parquet(f"{at}/terms")
-        path, files = _files(self.spark, f"{at}/draft")
-        files.delete(path, True)
         n, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         return name, g, n, tokens
 
@@ -245,7 +250,7 @@ class SegmentedIndex:
         g = old.generation + 1
         some = Manifest(old.generation, tuple(full), old.gone)
         live = self.index(some)
-        made = self._segment(live.postings, live.lengths.select("doc_id"), g)
+        made = self._segment(live.postings, live.lengths, g)
         rest = tuple(s for s in old.segments if s not in full)
         new = Manifest(g, (*rest, made), self._still_gone(old, rest))
         write_manifest(self.spark, self.place, new)
@@ -267,7 +272,7 @@ class SegmentedIndex:
             lost.write.parquet(f"{self.place}/{fresh}/ids")
             lost = self.spark.read.parquet(f"{self.place}/{fresh}/ids")
             postings = self._live(self._table("postings", older, _POSTINGS), earlier)
-            postings.join(lost, "doc_id", "left_semi").groupBy("term").agg(F.count_distinct("doc_id").alias("n")).write.parquet(f"{self.place}/{fresh}/terms")
+            postings.join(lost, "doc_id", "left_semi").groupBy("term").agg(F.count_if("lead").alias("n")).write.parquet(f"{self.place}/{fresh}/terms")
             n, tokens = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
             if n:
                 out.append((fresh, g, n, tokens))
@@ -285,6 +290,6 @@ class SegmentedIndex:
         return sorted(x.getName() for x in old)
 
 
-_POSTINGS = "term string, doc_id long, column_name string, tf long, positions array<int>, length long, block long"
+_POSTINGS = f"{lexical.INVERTED}, block long"
 _LENGTHS = "doc_id long, length long, block long"
 _BLOCKS = "term string, block long, most long, least long, n long"

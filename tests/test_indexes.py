@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as tx
 from marginalia.operators import lexical, segments, vector, vector_many
 
 
@@ -183,6 +184,21 @@ def test_blocks_that_cannot_reach_the_rank_are_skipped(spark, place):
     assert [r["rank"] for r in found] == pytest.approx([r["rank"] for r in lexical.bm25(chunks_of(spark, rows), "word").orderBy("rank", "doc_id").limit(10).collect()])
 
 
+def test_postings_of_chunks_need_no_shuffle(spark):
+    rows = [*some_rows(range(700), 6), (900, "of", None), (901, None, "of the of"), (902, None, None), (903, "", "-")]
+    found = lexical.postings(chunks_of(spark, rows).coalesce(1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == chunks_of(spark, rows)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    want = {}
+    for i, *columns in rows:
+        for name, text in zip(("title", "content"), columns, strict=True):
+            for k, term in enumerate(tx.tokens_of(text or "")):
+                want.setdefault((i, name, term), []).append(k)
+    assert sorted((r.doc_id, r.column_name, r.term, r.tf, r.positions) for r in found.collect()) == sorted((*key, len(at), at) for key, at in want.items())
+    whole = {r.doc_id: r.tf for r in lexical.inverted(chunks_of(spark, rows)).where("term is null").collect()}
+    assert whole == {i: sum(len(at) for key, at in want.items() if key[0] == i) for i, *_ in rows}
+
+
 # ---- trigrams ----
 
 TEXTS = ["The quick brown fox", "the QUICK fox", "ab", "", None, "a\nmatch over\nlines", "Straße KELVIN ſoft", "İstanbul ıstanbul istanbul", "quack quick quock", "(group) [x] 1+1=2", "мой Дом", "thble of and", "aXXXb aXXb"]
