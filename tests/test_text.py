@@ -1,5 +1,6 @@
 """Column functions over text, metadata and vectors."""
 
+import random
 import re
 
 import pytest
@@ -261,3 +262,25 @@ def test_vfold(spark):
     assert spark.sql("SELECT * FROM library_timeline('code', 'md', '2024-01-01', '', 0)").count() == 1
     assert spark.sql("SELECT * FROM library_timeline('other', '', '', '', 5)").count() == 0
     assert spark.sql("SELECT * FROM library_keys_of('c', 5)").count() == 0
+
+
+def plain_shell_functions(text):
+    """Line by line."""
+    out = []
+    for line in text.split("\n"):
+        head, bracket, rest = line.partition("(")
+        words = re.split("[ \t]+", head.rstrip(" \t"))
+        word = words[0] if len(words) == 1 else words[1] if len(words) == 2 and words[0] == "function" else ""
+        if bracket and rest.lstrip(" \t").startswith(")") and re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", word) and word not in out:
+            out.append(word)
+    return out
+
+
+def test_shell_functions_against_lines(spark):
+    rng = random.Random(12)
+    parts = ["function", "function ", " ", "\t", "(", ")", "()", "( )", "\n", "\n", "\r", "\u2028", "f", "g1", "_h", "9", "é", "-"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000)]
+    found = tx.shell_functions("t")
+    assert "lambda" not in str(found)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", found.alias("names")).collect()
+    assert {r.k: r.names for r in rows} == {k: plain_shell_functions(t) for k, t in enumerate(texts)}
