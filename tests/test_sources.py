@@ -239,3 +239,22 @@ def test_activity(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = ingest.activity(events)
     assert out.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_pages_of_a_batch_are_taken_apart_in_parts(spark):
+    """Pages of 60 MB in one batch take less than half of that besides."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from marginalia.sources import formats
+
+    page = "<script>" + "x" * 30_000 + "</script><p>a page</p>"
+    markups = pa.array([page] * 2000 + [None])
+    tracemalloc.start()
+    texts = formats.texts_of_html(markups)
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+    assert texts.to_pylist() == ["a page"] * 2000 + [""] and formats.texts_of_html(markups[:0]).to_pylist() == []
+    rows = spark.createDataFrame([("<p>a</p><b>c</b>",), (None,)], "html string")
+    assert sorted(r[0] for r in rows.select(formats.html_text(F.col("html"))).collect()) == ["", "a\nc"]
