@@ -1,6 +1,6 @@
 """Grep by an index of trigrams.
 
-The index has a row for each chunk and each run of three characters that it holds, folded by case and sorted
+The index has for each run of three characters, folded by case, the chunks that hold it, sorted
 by the run. What a match must hold is read off the pattern: a literal all of its trigrams, a
 sequence what its parts need, alternatives what one of them needs, a repeated part what it needs if it
 stands once at least. Anything else needs nothing. Chunks whose trigrams meet that are candidates; only these are
@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,8 @@ class Needs:
         return set(self.grams).union(*(x.all_grams() for own in self.choices for x in own))
 
     def test(self, held: Column) -> Column:
-        """Whether a chunk's set of runs meets it."""
-        parts = [F.array_contains(held, g) for g in sorted(self.grams)]
+        """Whether a chunk's set of runs, by their keys, meets it."""
+        parts = [F.array_contains(held, key_of(g)) for g in sorted(self.grams)]
         parts += [reduce(lambda a, b: a | b, [x.test(held) for x in own]) for own in self.choices]
         return reduce(lambda a, b: a & b, parts)
 
@@ -94,39 +95,50 @@ def _sequence_needs(tree: Iterable) -> Needs:
     return found & literal_needs(run)
 
 
-#: Rows that a task gives at a time.
-ROWS = 100_000
+#: Chunks whose runs are gathered at once.
+AT_ONCE = 1000
 #: Tasks that share the rows of one run.
 SPREAD = 16
 
 
+def key_of(gram: str) -> int:
+    """Three characters of 21 bits each as one number."""
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct runs of each text."""
-    ids: list[int] = []
-    grams: list[str] = []
+    """Each run of some texts with the ids of those that hold it."""
     for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {text[k : k + 3] for k in range(len(text) - 2)}
-            ids += [name] * len(own)
-            grams += own
-            if len(ids) >= ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], ["id", "gram"])
-                ids, grams = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], ["id", "gram"])
+        for low in range(0, batch.num_rows, AT_ONCE):
+            yield _runs_of(batch.slice(low, AT_ONCE))
+
+
+def _runs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts, n = batch.column(1).to_pylist(), batch.num_rows
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(n), [len(t) for t in texts])
+    within = row[2:] == row[:-2]
+    keys = pa.array((letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])[within]).dictionary_encode()
+    held = np.unique(keys.indices.to_numpy().astype(np.int64) * n + row[2:][within])
+    code = held // n
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    ids = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)], pa.int32()), batch.column(0).take(pa.array(held % n)))
+    return pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(code[first])), ids], ["gram", "ids"])
 
 
 @dataclass(frozen=True)
 class GramIndex:
-    """``gram, id`` of all chunks, stored at a place."""
+    """``gram`` (see ``key_of``) and ``ids`` of all chunks, stored at a place. A run has a row for each thousand chunks or so."""
 
     spark: SparkSession
     place: str
 
     @staticmethod
     def written(chunks: DataFrame, place: str) -> GramIndex:
-        own = chunks.where("content is not null").select("id", folded("content").alias("text")).mapInArrow(_runs, "id long, gram string")
+        own = chunks.where("content is not null").select("id", folded("content").alias("text")).mapInArrow(_runs, "gram long, ids array<long>")
         # A run that all chunks hold is dealt to several tasks; ranges would make the runs twice, to sample them.
-        own.repartition("gram", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{place}/grams")
+        own.repartition("gram", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD))).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{place}/grams")
         return GramIndex(chunks.sparkSession, place)
 
     @staticmethod
@@ -138,8 +150,8 @@ class GramIndex:
 
     def candidates(self, needs: Needs) -> DataFrame:
         """``id`` of chunks that may match. A chunk's set is at most as large as the pattern's."""
-        rows = self.spark.read.parquet(f"{self.place}/grams").where(F.col("gram").isin(sorted(needs.all_grams())))
-        return rows.groupBy("id").agg(F.collect_set("gram").alias("held")).where(needs.test(F.col("held"))).select("id")
+        rows = self.spark.read.parquet(f"{self.place}/grams").where(F.col("gram").isin(sorted(map(key_of, needs.all_grams()))))
+        return rows.select("gram", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("gram").alias("held")).where(needs.test(F.col("held"))).select("id")
 
     def chunks_for(self, chunks: DataFrame, pattern: str, regex: bool = False) -> DataFrame:
         """The chunks that may match; all of them where the pattern needs no run of three characters."""

@@ -234,6 +234,20 @@ def test_needs_of_patterns():
     assert not grams.literal_needs("xy")
 
 
+def test_a_run_is_one_row_for_many_chunks(spark, place):
+    from marginalia.operators import grams
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abc мÄ\U0001F600", k=rng.randrange(12))) for _ in range(300)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, content string").coalesce(1)
+    rows = spark.read.parquet(f"{grams.GramIndex.written(chunks, place).place}/grams").collect()
+    want = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 2):
+            want.setdefault(grams.key_of(grams.folded_of(t)[i : i + 3]), set()).add(k)
+    assert len(rows) == len(want) and {r.gram: set(r.ids) for r in rows} == want
+
+
 def test_candidates_are_few(gram_index):
     from marginalia.operators import grams
 
