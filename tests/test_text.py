@@ -38,6 +38,31 @@ def test_windows(spark, n):
         assert len(found[0].split()) == 20 and found[1].split()[:5] == found[0].split()[-5:]
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(20, 15), (5, 4), (3, 2), (50, 90), (7, 4)])
+def test_windows_that_share_most_words(spark, size, overlap):
+    """The same windows, cut out of stretches of five windows' words at most."""
+    texts = ["  ".join(f"w{i}" if i % 3 else f"é\u4e2d{i}\U0001f600" for i in range(n)) for n in (1, size, size + 1, 5 * size, 5 * size + 1, 333)]
+    texts = ["", " \n\u3000", None, *texts, f"  {texts[4]}\u2003"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    kept, n = df.select("k", "text"), {"plain": tx.clamp_window(size, overlap), "code": (size, overlap if overlap < size else 0)}
+    ways = {"plain": (chunking.chunk_plain, chunking.plain_chunks(F.col("text"), *n["plain"])), "code": (chunking.chunk_code_windows, tx.windows(F.col("text"), *n["code"]))}
+    for way, (chunk, whole) in ways.items():
+        found = chunk(kept, size=size, overlap=overlap)
+        want = df.select("k", F.posexplode(whole).alias("chunk_index", "content"))
+        assert found.dtypes == want.dtypes and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())), way
+    # Not made side by side in one row, as many times the text as a window holds words.
+    assert "substring(joined" in chunking.chunk_plain(kept, size=size, overlap=overlap)._jdf.queryExecution().toString()
+    longest = df.select(F.explode(tx.window_blocks(F.col("text"), *n["plain"], 4 * size // (n["plain"][0] - n["plain"][1]))).alias("b")).select(F.max(F.size("b.words"))).first()[0]
+    assert longest <= 5 * size
+
+
+def test_word_starts(spark):
+    for n in (0, 1, 7, 8, 9, 16, 17, 100):
+        own = [("é" if i % 2 else "ab") * (i % 5 + 1) for i in range(n)]
+        found = spark.range(1).select(tx.word_starts(F.array(*map(F.lit, own)) if own else F.array().cast("array<string>"))).first()[0]
+        assert found == [len("".join(w + " " for w in own[:k]).encode()) for k in range(n + 1)]
+
+
 def test_clamps():
     assert tx.clamp_window(0, 9) == (1, 0) and tx.clamp_window(10, 10) == (10, 9) and tx.clamp_window(10, -1) == (10, 0)
     assert tx.clamp_code_window(10, 10) == (10, 0) and tx.clamp_code_window(10, 9) == (10, 9)
