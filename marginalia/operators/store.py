@@ -57,19 +57,19 @@ class Store:
         return self.spark.read.schema(schema).parquet(*[f"{self.place}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
     def _written(self, name: str, rows: DataFrame, generation: int) -> dict[str, str]:
-        """New folders by collection. Rows are dealt by ranges of collection and id, so that a large collection is several files."""
-        key, schema = TABLES[name]
+        """New folders by collection. Rows are dealt by collection, and adaptive execution splits large ones, so that these are several files; the rows are made once."""
+        _, schema = TABLES[name]
         folder = f"{name}/g{generation}-{uuid.uuid4()}"
         columns = [c.split()[0] for c in schema.split(", ")]
-        dealt = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).repartitionByRange("collection_id", key)
+        dealt = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).hint("rebalance", "collection_id")
         dealt.withColumn("part", F.col("collection_id")).write.partitionBy("part").parquet(f"{self.place}/{folder}")
-        # As many as there are collections.
-        found = self.spark.read.parquet(f"{self.place}/{folder}").select("part").distinct().collect() if self._has_parts(folder) else []
-        return {str(r.part): f"{folder}/part={r.part}" for r in found}
+        return {p.removeprefix("part="): f"{folder}/{p}" for p in self._parts(folder)}
 
-    def _has_parts(self, folder: str) -> bool:
+    def _parts(self, folder: str) -> list[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{folder}")
-        return any(x.isDirectory() for x in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path))
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        # As many as there are collections.
+        return [x.getPath().getName() for x in found if x.isDirectory() and x.getPath().getName().startswith("part=")]
 
     def put(self, collection_ids: list[int], **tables: DataFrame) -> DataFrame:
         """Replaces the collections by the rows of ``sources``, ``chunks`` and ``vectors`` (all with collection_id; a table not given becomes empty there).

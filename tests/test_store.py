@@ -95,6 +95,31 @@ def test_orphans_go_with_counts(spark, tmp_path):
     assert own.without_orphans().count() == 0 and store.latest(spark, own.place)["generation"] == generation + 1
 
 
+def test_rows_are_made_once_for_a_write(spark, tmp_path):
+    own, made = store.Store(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    tables = tables_of(spark, [(k % 3, k) for k in range(300)])
+    tables["chunks"] = tables["chunks"].mapInPandas(counted, tables["chunks"].schema)
+    own.put([0, 1, 2], **tables)
+    assert made.value == 300 and len(held(own)["chunks"]) == 300
+    assert {c: len(f) for c, f in store.latest(spark, own.place)["folders"].items()} == dict.fromkeys(store.TABLES, 3)
+
+
+def test_a_large_collection_is_several_files(spark, tmp_path):
+    own, key = store.Store(spark, str(tmp_path)), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    tables = tables_of(spark, [(1 + (k == 0), k) for k in range(20000)])
+    tables["chunks"] = tables["chunks"].withColumn("content", F.sha2(F.col("id").cast("string"), 512)).repartition(8, "id")
+    spark.conf.set(key, "200k")
+    own.put([1, 2], **tables)
+    spark.conf.unset(key)
+    assert len(own.table("chunks", 1).inputFiles()) > 2 and own.table("chunks", 1).count() == 19999
+
+
 def walked(sizes, target):
     out, still, number = [], 0, 0
     for n in sizes:

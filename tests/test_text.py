@@ -63,6 +63,15 @@ def test_word_starts(spark):
         assert found == [len("".join(w + " " for w in own[:k]).encode()) for k in range(n + 1)]
 
 
+def test_trimmed_is_white_space_of_words(spark):
+    """All letters of the first plane: what is trimmed is what parts words, at the ends alone and without a look at each character between."""
+    df = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    t = F.concat("c", F.lit("a "), "c", F.lit(" b"), "c", F.lit("\n"), "c")
+    assert df.where(tx.trimmed(t) != F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).count() == 0
+    assert df.where(tx.trimmed(t) == F.concat(F.lit("a "), "c", F.lit(" b"))).count() == 25
+    assert "regexp" not in df.select(tx.trimmed(t))._jdf.queryExecution().toString()
+
+
 def test_clamps():
     assert tx.clamp_window(0, 9) == (1, 0) and tx.clamp_window(10, 10) == (10, 9) and tx.clamp_window(10, -1) == (10, 0)
     assert tx.clamp_code_window(10, 10) == (10, 0) and tx.clamp_code_window(10, 9) == (10, 9)
