@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -67,10 +67,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpointed, and how many rows were written, which the job that writes them tells."""
+    seen = Observation()
+    df = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return df, seen.get["n"]
+
+
 def compact(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
     """Checkpointed, in tasks of ``rows`` rows at most where it has fewer: what one task can hold needs no more shuffles."""
-    df = checkpointed(df)
-    tasks = max(1, -(-df.count() // rows))
+    df, n = counted(df)
+    tasks = max(1, -(-n // rows))
     return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df
 
 

@@ -239,7 +239,7 @@ def links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links_of_prints(named: DataFrame, radius: int) -> DataFrame:
     """Links (u > v) of nodes (node, fp) that join what have fingerprints within the radius; a node of several texts may have several."""
-    own = named.select("node", "fp").distinct()
+    own = compact(named.select("node", "fp").distinct())
     reps = own.groupBy("fp").agg(F.min("node").alias("least"))
     same = own.join(reps, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     return same.union(near_edges(reps.withColumnRenamed("least", "node"), radius))
@@ -259,13 +259,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links_within(groups, sets)
     if radius is not None:
         links = links.union(links_of_prints(named, radius))
-    roots = compact(components(links.distinct()))
+    roots = compact(components(links))
 
     rooted = known.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rooted.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    stays = F.col("doc_id").isNull() | (F.struct("doc_id", "text_hash") == F.col("first"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("first.doc_id")).alias("component_id")
-    return rooted.join(first, "root", "left").select("doc_id", "text_hash", "node", component, stays.alias("stays"))
+    # A row without others in its group is its first one.
+    first = rooted.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
+    first = compact(first.where("n > 1").select("root", "first"))
+    stays = F.col("doc_id").isNull() | F.col("first").isNull() | (F.struct("doc_id", "text_hash") == F.col("first"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")).alias("component_id")
+    return rooted.join(small(first), "root", "left").select("doc_id", "text_hash", "node", component, stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
@@ -273,6 +275,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = checkpointed(near_copies(docs, id_col, text_col, radius))
     own_id, own_hash = free_names(docs, "id", "text_hash")
     gone = found.where(~F.col("stays")).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    gone = small(compact(gone))
     key, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
     kept = docs.join(gone, (key == F.col(own_id)) & (text_hash == F.col(own_hash)), "left_anti")
     repeated = found.where("stays and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_group, checkpointed
+from .common import as_bytes, by_group, checkpointed, counted
 
 BITS = 64
 FANOUT = 8
@@ -216,8 +216,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     one until each component is a star. A round is a few joins; the rounds grow with
     the logarithm of the longest path. Each round is checkpointed.
     """
-    edges = checkpointed(edges)
-    tasks = max(1, -(-edges.count() // EDGES_AT_ONCE))
+    edges, n = counted(edges)
+    tasks = max(1, -(-n // EDGES_AT_ONCE))
     edges = checkpointed(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
     seen = None
     for _ in range(most_rounds if tasks > 1 else 0):

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from marginalia.llm import near_copies, simhash
+from marginalia.llm.common import compact
 
 from .fixtures import TEXTS, documents
 
@@ -129,3 +130,19 @@ def test_links_at_the_very_threshold(spark):
             texts.append((len(texts), " ".join(words[low:high] + [f"own{rng.randrange(30)}" for _ in range(rng.randrange(6))])))
     found = near_copies.near_copies(documents(spark, texts)).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == plain_groups(texts)
+
+
+def test_rows_are_counted_by_the_job_that_writes_them(spark):
+    context = spark.sparkContext
+    for rows, most, tasks in ((0, 10, 1), (100, 1000, 1), (100, 30, 4)):
+        df = spark.range(0, 100, numPartitions=5).where(f"id < {rows}")
+        group = f"compact {rows} {most}"
+        context.setJobGroup(group, group)
+        try:
+            out = compact(df, most)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+            context.setLocalProperty("spark.job.description", None)
+        assert len(context.statusTracker().getJobIdsForGroup(group)) <= 1
+        assert out.rdd.getNumPartitions() == tasks
+        assert sorted(r.id for r in out.collect()) == list(range(rows))
