@@ -1,24 +1,29 @@
 """A full-text index that follows insertions, deletions and rewritings, and a top-k that reads few postings.
 
-The index is a set of segments, each written once: postings, lengths, block maxima and counts of terms. A
-change writes a segment of what is new and a table of what is gone; both bear its generation, and a row
-is live unless its id is gone by a later generation. The number of chunks, their tokens and the
-chunks of each term are kept as sums of segments less those of what is gone, so no statistic needs
-a scan. Which tables count is told by a manifest that is renamed into place last: readers see
+The index is a set of segments, each written once. A change writes a segment of what is new and a table of
+what is gone; both bear its generation, and a row is live unless its id is gone by a later generation. The number of
+chunks, their tokens and the chunks of each term are kept as sums of segments less those of what is gone, so no
+statistic needs a scan. Which tables count is told by a manifest that is renamed into place last: readers see
 the state before a change or the one after it, whatever fails between. ``merged`` writes segments of one size class as one, without what is gone.
 
-Chunks of a segment whose lengths lie within a twelfth of each other are dealt by their ids to blocks of BLOCK_ROWS on average. For each term and block the
-largest frequency and the smallest length bound what the term can add to a rank. ``top`` ranks the blocks by the sum of
-their terms' bounds, scores the best ones, and then those blocks alone that may still reach the k-th rank.
+A task inverts its own chunks: no posting is shuffled, and none is written twice. Some thousand chunks at a time are ordered by length, and BLOCK_ROWS at
+most, whose lengths lie within a twelfth of each other, make a block. A row has the postings of a term and a block, and with them the largest
+frequency and the smallest length, which bound what the term can add to a rank; a row without a term has the block's chunks and their lengths. ``top`` ranks the
+blocks by the sum of their terms' bounds, scores the best ones, and then those blocks alone that may still reach the k-th rank.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,98 @@ FANOUT = 4
 CLASSES = 8
 #: Blocks that a scan names one by one.
 NAMED_BLOCKS = 500
+#: Chunks and tokens that are inverted at once, which bound a task's memory.
+AT_ONCE = 4096
+TOKENS_AT_ONCE = 2**20
+#: Ids of what is gone that are broadcast; more are joined as Spark decides.
+SENT_IDS = 2**22
+ROWS = "term string, block long, most long, least long, n long, docs array<struct<doc_id: long, title: array<int>, content: array<int>>>, chunks array<struct<doc_id: long, length: long>>"
+NAMES = ["term", "block", "most", "least", "n", "docs", "chunks"]
+
+
+def _block_rows(generation: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """ROWS of chunks (id, tokens of the title, of the content). Blocks are numbered by task, so that none is in two."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Far beyond these ranges two blocks may get one number, which makes one larger block.
+        block = (generation % 2**20 << 43) + (TaskContext.get().partitionId() % 2**20 << 23)
+        for batch in batches:
+            tokens = np.cumsum(sum(_sizes(batch)))
+            low = 0
+            while low < batch.num_rows:
+                most = np.searchsorted(tokens, (tokens[low - 1] if low else 0) + TOKENS_AT_ONCE, "right")
+                high = min(low + AT_ONCE, max(low + 1, int(most)), batch.num_rows)
+                made, blocks = _rows_of(batch.slice(low, high - low), block)
+                yield made
+                block, low = block + blocks, high
+
+    return rows
+
+
+def _sizes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [pc.fill_null(pc.list_value_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2)]
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it; the first one does."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for key in keys:
+        out[1:] |= key[1:] != key[:-1]
+    return out
+
+
+def _rows_of(batch: pa.RecordBatch, block: int) -> tuple[pa.RecordBatch, int]:
+    """Rows of the blocks of these chunks, numbered from ``block`` on, and how many blocks these are."""
+    n, sizes = batch.num_rows, _sizes(batch)
+    length = sum(sizes)
+    order = np.argsort(length, kind="stable")
+    at, sorted_length = np.arange(n), length[order]
+    new = _new(np.floor(np.log2(sorted_length + 1) * CLASSES))
+    edges = np.flatnonzero(new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % BLOCK_ROWS == 0))
+    blocks, own = len(edges), np.repeat(np.arange(len(edges)), np.diff(np.r_[edges, n]))
+    ranked = np.empty(n, np.int64)
+    ranked[order] = at
+
+    values = pa.concat_arrays([batch.column(k).flatten() for k in (1, 2)]).dictionary_encode()
+    code = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    chunk = ranked[np.concatenate([np.repeat(at, x) for x in sizes])]
+    column = np.repeat(np.arange(2), [x.sum() for x in sizes])
+    place = np.concatenate([np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for x in sizes])
+    row = own[chunk] * max(1, len(values.dictionary)) + code
+    # By block, term and chunk; titles come first and places ascend already.
+    by = np.argsort(row * n + chunk, kind="stable")
+    code, row, chunk, column, place = code[by], row[by], chunk[by], column[by], place[by]
+
+    first = np.flatnonzero(_new(row, chunk))
+    f = np.diff(np.r_[first, len(row)])
+    doc = np.repeat(np.arange(len(first)), f)
+    places = []
+    for k in (0, 1):
+        ends = np.cumsum(np.bincount(doc[column == k], minlength=len(first)))
+        places.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(place[column == k], pa.int32())))
+    code, row, chunk = code[first], row[first], chunk[first]
+    lead = np.flatnonzero(_new(row))
+    terms, none = len(lead), np.zeros(blocks, np.int64)
+    ids = batch.column(0).take(pa.array(order))
+    docs = pa.StructArray.from_arrays([ids.take(pa.array(chunk)), *places], ["doc_id", "title", "content"])
+    chunks = pa.StructArray.from_arrays([ids, pa.array(sorted_length)], ["doc_id", "length"])
+    columns = [
+        pa.concat_arrays([values.dictionary.take(pa.array(code[lead])).cast(pa.string()), pa.nulls(blocks, pa.string())]),
+        pa.array(block + np.r_[own[chunk[lead]], np.arange(blocks)]),
+        pa.array(np.r_[np.maximum.reduceat(f, lead) if terms else lead, none]),
+        pa.array(np.r_[np.minimum.reduceat(sorted_length[chunk], lead) if terms else lead, sorted_length[edges]]),
+        pa.array(np.r_[np.diff(np.r_[lead, len(row)]), np.diff(np.r_[edges, n])]),
+        _listed(docs, np.r_[lead, len(row)], 0, blocks),
+        _listed(chunks, np.r_[edges, n], terms, 0),
+    ]
+    return pa.RecordBatch.from_arrays(columns, NAMES), blocks
+
+
+def _listed(values: pa.Array, edges: np.ndarray, before: int, after: int) -> pa.Array:
+    """Lists between the edges, and nulls before and after them."""
+    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+    return pa.concat_arrays([pa.nulls(before, lists.type), lists, pa.nulls(after, lists.type)])
 
 
 @dataclass(frozen=True)
@@ -98,18 +195,30 @@ class SegmentedIndex:
             out = out.unionByName(more)
         return out
 
+    def _gone(self, manifest: Manifest) -> DataFrame:
+        return self._table("ids", manifest.gone, "doc_id long").select(F.col("doc_id").alias("__gone"), F.col("generation").alias("__since"))
+
     def _live(self, rows: DataFrame, manifest: Manifest) -> DataFrame:
         """Rows (doc_id, generation) whose id isn't gone by a later generation."""
         if not manifest.gone:
             return rows
-        gone = self._table("ids", manifest.gone, "doc_id long").select(F.col("doc_id").alias("__gone"), F.col("generation").alias("__since"))
-        return rows.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__since") > F.col("generation")), "left_anti")
+        return rows.join(self._gone(manifest), (F.col("doc_id") == F.col("__gone")) & (F.col("__since") > F.col("generation")), "left_anti")
+
+    def _lengths(self, tables: tuple[tuple[str, int, int, int], ...]) -> DataFrame:
+        """``doc_id, length, block, generation`` of all chunks of some segments, gone ones as well."""
+        return self._table("rows", tables, ROWS).where("term is null").select("generation", "block", F.explode("chunks").alias("x")).select("x.doc_id", "x.length", "block", "generation")
+
+    def _postings(self, tables: tuple[tuple[str, int, int, int], ...]) -> DataFrame:
+        """``lexical.postings`` of them, with block and generation."""
+        docs = self._table("rows", tables, ROWS).where("term is not null").select("term", "generation", "block", F.explode("docs").alias("x"))
+        columns = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"x.{c}").alias("positions")) for c in ("title", "content")])
+        each = docs.select("term", "generation", "block", F.col("x.doc_id").alias("doc_id"), F.explode(columns).alias("y")).where(F.size("y.positions") > 0)
+        return each.select("doc_id", "y.column_name", "term", F.size("y.positions").cast("long").alias("tf"), "y.positions", "block", "generation")
 
     def index(self, manifest: Manifest | None = None) -> lexical.TextIndex:
         """Live postings and lengths."""
         m = manifest or self.manifest
-        postings = self._live(self._table("postings", m.segments, _POSTINGS), m)
-        return lexical.TextIndex(postings, self._live(self._table("lengths", m.segments, _LENGTHS), m))
+        return lexical.TextIndex(self._live(self._postings(m.segments), m), self._live(self._lengths(m.segments), m))
 
     def bm25(self, query: str) -> DataFrame:
         """The same ranks as ``lexical.bm25`` over the live chunks; the statistics are those of the manifest."""
@@ -124,7 +233,8 @@ class SegmentedIndex:
         """Live chunks that hold a phrase: of one term by the sums, of several by their postings."""
         if len(phrase) > 1:
             return own.phrase(phrase).count()
-        counts = [self._table("terms", t, "term string, n long").where(F.col("term") == phrase[0]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (m.segments, m.gone) if t]
+        sums = [self._table(kind, t, "term string, n long") for kind, t in (("rows", m.segments), ("terms", m.gone)) if t]
+        counts = [x.where(F.col("term") == phrase[0]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in sums]
         return counts[0] - sum(counts[1:])
 
     def _ranked(self, own: lexical.TextIndex, phrases: list[list[str]], having: list[int], m: Manifest) -> DataFrame:
@@ -143,12 +253,13 @@ class SegmentedIndex:
 
     def bounds(self, phrases: list[list[str]], having: list[int], m: Manifest) -> DataFrame:
         """``generation, block, bound``: what a chunk of the block can have at most, as a rank with the sign turned. Blocks without one of the terms are none."""
-        rows = self._table("blocks", m.segments, _BLOCKS)
+        rows = self._table("rows", m.segments, "term string, block long, most long, least long")
         out, bound = None, F.lit(0.0)
         for k, phrase in enumerate(phrases):
             own = None
             for t in set(phrase):
-                one = rows.where(F.col("term") == t).select("generation", "block", "most", "least")
+                # A merged block has a row of each of those it was made from.
+                one = rows.where(F.col("term") == t).groupBy("generation", "block").agg(F.max("most").alias("most"), F.min("least").alias("least"))
                 # A phrase stands as often as its rarest term at most.
                 own = one if own is None else own.join(one.select("generation", "block", F.col("most").alias("m"), F.col("least").alias("l")), ["generation", "block"]).select(
                     "generation", "block", F.least("most", "m").alias("most"), F.greatest("least", "l").alias("least")
@@ -195,67 +306,81 @@ class SegmentedIndex:
         old = self.manifest
         g = old.generation + 1
         segments, gone = list(old.segments), list(old.gone)
-        ids = [x.select(F.col("id").alias("doc_id")) for x in (added, removed) if x is not None]
-        if ids and old.segments:
-            name = f"gone-{g}-{uuid.uuid4()}"
-            own = self.index(old)
-            lost = own.lengths.join((ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).distinct(), "doc_id", "left_semi")
-            lost.select("doc_id", "length").write.parquet(f"{self.place}/{name}/ids")
-            lost = self.spark.read.parquet(f"{self.place}/{name}/ids")
-            own.postings.join(lost, "doc_id", "left_semi").groupBy("term").agg(F.count_if("lead").alias("n")).write.parquet(f"{self.place}/{name}/terms")
-            n, tokens = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-            gone.append((name, g, n, tokens))
+        ids = [] if removed is None else [removed.select(F.col("id").alias("doc_id"))]
         if added is not None:
-            draft = f"{self.place}/draft-{g}-{uuid.uuid4()}"
-            lexical.inverted(added).write.parquet(draft)
-            rows = self.spark.read.parquet(draft)
-            segments.append(self._segment(rows.where("term is not null"), rows.where("term is null"), g))
-            path, files = _files(self.spark, draft)
-            files.delete(path, True)
+            cut = added.select("id", tx.tokens("title").alias("title"), tx.tokens("content").alias("content"))
+            made = self._segment(cut.mapInArrow(_block_rows(g), ROWS), g)
+            segments.append(made)
+            ids.append(self._lengths((made,)).select("doc_id"))
+        if ids and old.segments:
+            asked = (ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).distinct()
+            gone.append(self._taken(self._live(self._lengths(old.segments), old).join(asked, "doc_id", "left_semi"), old.segments, g))
         new = Manifest(g, tuple(segments), tuple(gone))
         write_manifest(self.spark, self.place, new)
         return new
 
-    def _segment(self, postings: DataFrame, lengths: DataFrame, g: int) -> tuple[str, int, int, int]:
-        """Writes the tables of a segment of these postings (``lexical.INVERTED``) and lengths. A chunk's block follows from its id and length, so postings and lengths needn't meet."""
+    def _segment(self, rows: DataFrame, g: int) -> tuple[str, int, int, int]:
+        """Writes a segment of ROWS. Each task sorts its own; blocks needn't meet, as no one is in two tasks unless it was merged."""
         name = f"segment-{g}-{uuid.uuid4()}"
-        at = f"{self.place}/{name}"
-        lengths = lengths.select("doc_id", "length", F.floor(F.log2(F.col("length") + 1) * CLASSES).cast("long").alias("class"))
-        # As many rows as there are classes of length: some hundreds at most.
-        slots = [(r["class"], -(-r.n // BLOCK_ROWS)) for r in lengths.groupBy("class").agg(F.count("*").alias("n")).collect()]
-        dealt = F.broadcast(self.spark.createDataFrame(slots, "class long, slots long"))
-        block = (F.shiftleft("class", 32) + F.pmod(F.xxhash64("doc_id"), F.col("slots"))).alias("block")
-        lengths.join(dealt, "class").select("doc_id", "length", block).sortWithinPartitions("block", "doc_id").write.parquet(f"{at}/lengths")
-        lengths = self.spark.read.parquet(f"{at}/lengths")
-        columns = [x.split()[0] for x in lexical.INVERTED.split(", ")]
-        own = postings.select(*columns, F.floor(F.log2(F.col("length") + 1) * CLASSES).cast("long").alias("class")).join(dealt, "class").select(*columns, block)
-        # A term that all chunks hold is dealt to several tasks, by whole blocks.
-        own.repartition("term", F.pmod(F.xxhash64("block"), F.lit(lexical.SPREAD))).sortWithinPartitions("term", "block", "doc_id").write.parquet(f"{at}/postings")
-        stored = self.spark.read.parquet(f"{at}/postings")
-        by_block = stored.groupBy("term", "block").agg(F.max("f").alias("most"), F.min("length").alias("least"), F.count_if("lead").alias("n"))
-        by_block.sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
-        self.spark.read.parquet(f"{at}/blocks").groupBy("term").agg(F.sum("n").alias("n")).write.parquet(f"{at}/terms")
-        n, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        rows.select(*NAMES).sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.place}/{name}/rows")
+        n, tokens = self._lengths(((name, g, 0, 0),)).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return name, g, n, tokens
+
+    def _taken(self, lost: DataFrame, segments: tuple[tuple[str, int, int, int], ...], g: int) -> tuple[str, int, int, int]:
+        """Writes a table of what is gone: the ids of these rows of lengths, and how many of them hold each term."""
+        name = f"gone-{g}-{uuid.uuid4()}"
+        lost.select("doc_id", "length", "block", "generation").write.parquet(f"{self.place}/{name}/ids")
+        lost = self.spark.read.parquet(f"{self.place}/{name}/ids")
+        n, tokens = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        rows = self._table("rows", segments, ROWS).where("term is not null").select("term", "generation", "block", F.col("docs.doc_id").alias("ids"))
+        held = rows.join(self._by_block(lost, n), ["generation", "block"]).select("term", F.size(F.array_intersect("ids", "lost")).alias("n")).where("n > 0")
+        held.groupBy("term").agg(F.sum("n").alias("n")).write.parquet(f"{self.place}/{name}/terms")
         return name, g, n, tokens
 
+    @staticmethod
+    def _by_block(lost: DataFrame, n: int) -> DataFrame:
+        """``generation, block, lost``: the postings of a block are told what it has lost, so they stay where they are."""
+        own = lost.groupBy("generation", "block").agg(F.collect_list("doc_id").alias("lost"))
+        return F.broadcast(own) if n <= SENT_IDS else own
+
     def merged(self, fanout: int = FANOUT) -> Manifest:
         """Segments of a size class that has ``fanout`` of them become one; what no older segment holds is forgotten as gone."""
         old = self.manifest
         classes: dict[int, list[tuple[str, int, int, int]]] = {}
         for s in old.segments:
             classes.setdefault(int(log(max(1, s[2]), FANOUT)), []).append(s)
-        full = [s for own in classes.values() if len(own) >= fanout for s in own]
+        full = tuple(s for own in classes.values() if len(own) >= fanout for s in own)
         if not full:
             return old
         g = old.generation + 1
-        some = Manifest(old.generation, tuple(full), old.gone)
-        live = self.index(some)
-        made = self._segment(live.postings, live.lengths, g)
+        made = self._segment(self._without_gone(full, old, g), g)
         rest = tuple(s for s in old.segments if s not in full)
         new = Manifest(g, (*rest, made), self._still_gone(old, rest))
         write_manifest(self.spark, self.place, new)
         return new
 
+    def _without_gone(self, segments: tuple[tuple[str, int, int, int], ...], m: Manifest, g: int) -> DataFrame:
+        """ROWS of live chunks. Blocks stay what they are, and their bounds hold; those less than half full are dealt to new ones of their class."""
+        rows, lengths = self._table("rows", segments, ROWS), self._lengths(segments)
+        if m.gone:
+            lost = lengths.join(self._gone(m), (F.col("doc_id") == F.col("__gone")) & (F.col("__since") > F.col("generation")), "left_semi")
+            rows = rows.join(self._by_block(lost, sum(x[2] for x in m.gone)), ["generation", "block"], "left")
+            for name in ("docs", "chunks"):
+                left = F.filter(name, lambda x: ~F.array_contains("lost", x["doc_id"]))
+                rows = rows.withColumn(name, F.when(F.col("lost").isNull(), F.col(name)).otherwise(left))
+            rows = rows.withColumn("n", F.when(F.col("term").isNull(), F.size("chunks")).otherwise(F.size("docs")).cast("long")).where("n > 0")
+        sizes = self._live(lengths, m).groupBy("generation", "block").agg(F.count("*").alias("n"), F.min("length").alias("least"))
+        small = sizes.where(F.col("n") < BLOCK_ROWS // 2).withColumn("class", F.floor(F.log2(F.col("least") + 1) * CLASSES).cast("long"))
+        # As many rows as there are classes of length: some hundreds at most.
+        found = small.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).collect()
+        if not found:
+            return rows
+        slots = F.broadcast(self.spark.createDataFrame([(r["class"], -(-r.n // BLOCK_ROWS)) for r in found], "class long, slots long"))
+        fresh = F.lit(g % 2**20 << 43) + F.shiftleft("class", 32) + F.pmod(F.xxhash64("generation", "block"), F.col("slots"))
+        moved = small.join(slots, "class").select("generation", "block", fresh.alias("fresh"))
+        moved = F.broadcast(moved) if sum(r.blocks for r in found) <= SENT_IDS else moved
+        return rows.join(moved, ["generation", "block"], "left").withColumn("block", F.coalesce("fresh", "block"))
+
     def _still_gone(self, old: Manifest, rest: tuple[tuple[str, int, int, int], ...]) -> tuple[tuple[str, int, int, int], ...]:
         """Of what is gone, the ids that the segments which stay hold, as tables of their own."""
         out = []
@@ -266,16 +391,9 @@ class SegmentedIndex:
             ids = self.spark.read.parquet(f"{self.place}/{name}/ids")
             # Not those that an earlier deletion took already.
             earlier = Manifest(old.generation, older, tuple(x for x in old.gone if x[1] < g))
-            lengths = self._live(self._table("lengths", older, _LENGTHS), earlier)
-            lost = ids.join(lengths.select("doc_id"), "doc_id", "left_semi")
-            fresh = f"gone-{g}-{uuid.uuid4()}"
-            lost.write.parquet(f"{self.place}/{fresh}/ids")
-            lost = self.spark.read.parquet(f"{self.place}/{fresh}/ids")
-            postings = self._live(self._table("postings", older, _POSTINGS), earlier)
-            postings.join(lost, "doc_id", "left_semi").groupBy("term").agg(F.count_if("lead").alias("n")).write.parquet(f"{self.place}/{fresh}/terms")
-            n, tokens = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-            if n:
-                out.append((fresh, g, n, tokens))
+            made = self._taken(self._live(self._lengths(older), earlier).join(ids.select("doc_id"), "doc_id", "left_semi"), older, g)
+            if made[2]:
+                out.append(made)
         return tuple(out)
 
     def vacuumed(self) -> list[str]:
@@ -288,8 +406,3 @@ class SegmentedIndex:
         for x in old:
             files.delete(x, True)
         return sorted(x.getName() for x in old)
-
-
-_POSTINGS = f"{lexical.INVERTED}, block long"
-_LENGTHS = "doc_id long, length long, block long"
-_BLOCKS = "term string, block long, most long, least long, n long"

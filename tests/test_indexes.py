@@ -199,6 +199,93 @@ def test_postings_of_chunks_need_no_shuffle(spark):
     assert whole == {i: sum(len(at) for key, at in want.items() if key[0] == i) for i, *_ in rows}
 
 
+def shuffled_rows(spark, work):
+    """Rows that the stages of some work write to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.jvm.java.util.ArrayList
+
+    def rows():
+        found = store.stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), none())
+        return sum(found.apply(k).shuffleWriteRecords() for k in range(found.size()))
+
+    before = rows()
+    work()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return rows() - before
+
+
+def test_postings_of_a_segment_are_neither_shuffled_nor_written_twice(spark, place):
+    """What a change and a merge shuffle and store follows from chunks and terms."""
+    rng = random.Random(8)
+    rows = [(i, "t", " ".join(rng.choices([f"w{k}" for k in range(60)], k=80))) for i in range(1200)]
+    spark.createDataFrame(rows, "id long, title string, content string").coalesce(3).write.parquet(f"{place}/chunks")
+    chunks = spark.read.parquet(f"{place}/chunks")
+    n = lexical.postings(chunks).count()
+    index = segments.SegmentedIndex(spark, f"{place}/index")
+    assert n > 50_000
+    assert shuffled_rows(spark, lambda: index.applied(chunks.where("id < 700"))) < n / 20
+    assert shuffled_rows(spark, lambda: index.applied(chunks.where("id >= 600"))) < n / 20
+    assert shuffled_rows(spark, lambda: index.merged(2)) < n / 20
+    m = index.manifest
+    assert len(m.segments) == 1 and m.chunks == 1200
+    # A row for each term and block.
+    assert index._table("rows", m.segments, segments.ROWS).where("term is not null").count() < n / 5
+    same_ranks_of(index, chunks, ["w1-w2 w7", "w3 w4"])
+
+
+def same_ranks_of(index, chunks, queries):
+    for query in queries:
+        want = {r.doc_id: pytest.approx(r["rank"], rel=1e-12) for r in lexical.bm25(chunks, query).collect()}
+        assert want and {r.doc_id: r["rank"] for r in index.bm25(query).collect()} == want
+        best = lexical.bm25(chunks, query).orderBy("rank", "doc_id").limit(5).collect()
+        assert [(r.doc_id, r["rank"]) for r in index.top(query, 5).collect()] == [(r.doc_id, pytest.approx(r["rank"])) for r in best]
+
+
+@pytest.mark.parametrize("sent", [0, segments.SENT_IDS])
+def test_small_blocks_are_dealt_anew_by_a_merge(spark, place, monkeypatch, sent):
+    """Many small changes, most of them gone again, leave no more blocks than one large change does; whether tables are broadcast or joined."""
+    monkeypatch.setattr(segments, "SENT_IDS", sent)
+    rows = [(i, "t", "word " * (1 + i % 3) + "filler " * (60 - i % 3)) for i in range(80)]
+    index = segments.SegmentedIndex(spark, place)
+    for low in range(0, 80, 20):
+        index.applied(chunks_of(spark, rows[low : low + 20]), spark.range(low - 10, low))
+    live = [r for r in rows if r[0] >= 70 or r[0] % 20 < 10]
+    before = index.bounds([["word"]], [len(live)], index.manifest).count()
+    index.merged(2)
+    m = index.manifest
+    assert (m.chunks, len(m.segments), m.gone) == (len(live), 1, ())
+    assert index.bounds([["word"]], [len(live)], m).count() == 1 < before
+    same_ranks_of(index, chunks_of(spark, live), ["word", "word-filler"])
+
+
+def test_rows_of_blocks():
+    """Each posting once, with its block's bounds; texts without tokens are counted."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    columns = [[None if rng.random() < 0.1 else rng.choices(WORDS, k=rng.randrange(0, 25) if k else 1) for _ in range(600)] for k in range(2)]
+    ids = rng.sample(range(10**6), 600)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(c, pa.list_(pa.string())) for c in columns]], ["id", "title", "content"]).slice(50)
+    made, blocks = segments._rows_of(batch, 1000)
+    rows = made.to_pylist()
+    own = {c["doc_id"]: (r["block"], c["length"]) for r in rows if r["term"] is None for c in r["chunks"]}
+    size = {i: len(a or ()) + len(b or ()) for i, a, b in list(zip(ids, *columns))[50:]}
+    assert {i: n for i, (_, n) in own.items()} == size and {b for b, _ in own.values()} == set(range(1000, 1000 + blocks))
+    assert all(r["n"] == len(r["chunks"] or r["docs"]) <= segments.BLOCK_ROWS for r in rows)
+    want = {}
+    for i, *texts in list(zip(ids, *columns))[50:]:
+        for k, text in enumerate(texts):
+            for at, term in enumerate(text or ()):
+                want.setdefault((term, own[i][0]), {}).setdefault(i, ([], []))[k].append(at)
+    found = {(r["term"], r["block"]): r for r in rows if r["term"] is not None}
+    assert len(found) + blocks == len(rows)
+    assert {key: {d["doc_id"]: (d["title"], d["content"]) for d in r["docs"]} for key, r in found.items()} == want
+    for key, r in found.items():
+        assert r["most"] == max(len(a) + len(b) for a, b in want[key].values()) and r["least"] == min(size[i] for i in want[key])
+    nothing = pa.RecordBatch.from_arrays([pa.array([7, 8]), *[pa.array([None, []], pa.list_(pa.string()))] * 2], ["id", "title", "content"])
+    assert [(r["term"], r["chunks"]) for r in segments._rows_of(nothing, 5)[0].to_pylist()] == [(None, [{"doc_id": 7, "length": 0}, {"doc_id": 8, "length": 0}])]
+
+
 # ---- trigrams ----
 
 TEXTS = ["The quick brown fox", "the QUICK fox", "ab", "", None, "a\nmatch over\nlines", "Straße KELVIN ſoft", "İstanbul ıstanbul istanbul", "quack quick quock", "(group) [x] 1+1=2", "мой Дом", "thble of and", "aXXXb aXXb"]
