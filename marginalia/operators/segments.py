@@ -92,12 +92,14 @@ def _rows_of(batch: pa.RecordBatch, block: int) -> tuple[pa.RecordBatch, int]:
     ranked[order] = at
 
     values = pa.concat_arrays([batch.column(k).flatten() for k in (1, 2)]).dictionary_encode()
-    code = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # Rows that are in order by term within a window leave Spark's sort little to do.
+    ordered = pc.array_sort_indices(values.dictionary).to_numpy()
+    code = np.argsort(ordered)[values.indices.to_numpy(zero_copy_only=False)]
     chunk = ranked[np.concatenate([np.repeat(at, x) for x in sizes])]
     column = np.repeat(np.arange(2), [x.sum() for x in sizes])
     place = np.concatenate([np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for x in sizes])
-    row = own[chunk] * max(1, len(values.dictionary)) + code
-    # By block, term and chunk; titles come first and places ascend already.
+    row = code * blocks + own[chunk]
+    # By term, block and chunk; titles come first and places ascend already.
     by = np.argsort(row * n + chunk, kind="stable")
     code, row, chunk, column, place = code[by], row[by], chunk[by], column[by], place[by]
 
@@ -115,13 +117,13 @@ def _rows_of(batch: pa.RecordBatch, block: int) -> tuple[pa.RecordBatch, int]:
     docs = pa.StructArray.from_arrays([ids.take(pa.array(chunk)), *places], ["doc_id", "title", "content"])
     chunks = pa.StructArray.from_arrays([ids, pa.array(sorted_length)], ["doc_id", "length"])
     columns = [
-        pa.concat_arrays([values.dictionary.take(pa.array(code[lead])).cast(pa.string()), pa.nulls(blocks, pa.string())]),
-        pa.array(block + np.r_[own[chunk[lead]], np.arange(blocks)]),
-        pa.array(np.r_[np.maximum.reduceat(f, lead) if terms else lead, none]),
-        pa.array(np.r_[np.minimum.reduceat(sorted_length[chunk], lead) if terms else lead, sorted_length[edges]]),
-        pa.array(np.r_[np.diff(np.r_[lead, len(row)]), np.diff(np.r_[edges, n])]),
-        _listed(docs, np.r_[lead, len(row)], 0, blocks),
-        _listed(chunks, np.r_[edges, n], terms, 0),
+        pa.concat_arrays([pa.nulls(blocks, pa.string()), values.dictionary.take(pa.array(ordered[code[lead]])).cast(pa.string())]),
+        pa.array(block + np.r_[np.arange(blocks), own[chunk[lead]]]),
+        pa.array(np.r_[none, np.maximum.reduceat(f, lead) if terms else lead]),
+        pa.array(np.r_[sorted_length[edges], np.minimum.reduceat(sorted_length[chunk], lead) if terms else lead]),
+        pa.array(np.r_[np.diff(np.r_[edges, n]), np.diff(np.r_[lead, len(row)])]),
+        _listed(docs, np.r_[lead, len(row)], blocks, 0),
+        _listed(chunks, np.r_[edges, n], 0, terms),
     ]
     return pa.RecordBatch.from_arrays(columns, NAMES), blocks
 
@@ -327,14 +329,16 @@ class SegmentedIndex:
         return name, g, n, tokens
 
     def _taken(self, lost: DataFrame, segments: tuple[tuple[str, int, int, int], ...], g: int) -> tuple[str, int, int, int]:
-        """Writes a table of what is gone: the ids of these rows of lengths, and how many of them hold each term."""
+        """Writes a table of what is gone: the ids of these rows of lengths, and how many of them hold each term of a block."""
         name = f"gone-{g}-{uuid.uuid4()}"
         lost.select("doc_id", "length", "block", "generation").write.parquet(f"{self.place}/{name}/ids")
         lost = self.spark.read.parquet(f"{self.place}/{name}/ids")
         n, tokens = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         rows = self._table("rows", segments, ROWS).where("term is not null").select("term", "generation", "block", F.col("docs.doc_id").alias("ids"))
-        held = rows.join(self._by_block(lost, n), ["generation", "block"]).select("term", F.size(F.array_intersect("ids", "lost")).alias("n")).where("n > 0")
-        held.groupBy("term").agg(F.sum("n").alias("n")).write.parquet(f"{self.place}/{name}/terms")
+        # Most rows have one chunk. Rows of a term are summed by those who ask: a sum here would shuffle a row for each task and term.
+        held = F.when(F.size("ids") == 1, F.array_contains("lost", F.get("ids", F.lit(0))).cast("int")).otherwise(F.size(F.array_intersect("ids", "lost"))).cast("long")
+        found = rows.join(self._by_block(lost, n), ["generation", "block"]).select("term", held.alias("n")).where("n > 0")
+        found.sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{self.place}/{name}/terms")
         return name, g, n, tokens
 
     @staticmethod
